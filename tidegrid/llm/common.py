@@ -72,3 +72,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     forget(df._tidegrid_path)
+
+
+def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
+    """Rows that go to Python at once: so many, and 64 MB, at most. Long texts then don't pile up."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+
+
+def filesystem(uri: str):
+    """pyarrow's file system of a URI, and the path in it: file, s3, gs and hdfs alike."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))

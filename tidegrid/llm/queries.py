@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, urlrules
+import public_tokenizers
+
+from . import idstore, licenses, packing, urlrules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+#: The end id that the contracts of op7 and op9 fix.
+END_ID = 2
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, 1024)
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -39,6 +53,8 @@ FROM p JOIN size USING (r) LEFT JOIN m ON p.r = m.r AND m.k = 1""" % ", ".join(s
 
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op7_pack_sequences": op7_pack_sequences,
+    "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
 }
 SQL: dict[str, str] = {
