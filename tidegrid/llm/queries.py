@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import idstore, licenses, packing, urlrules
+from . import idstore, licenses, mixing, packing, urlrules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
 #: The end id that the contracts of op7 and op9 fix.
 END_ID = 2
 
@@ -29,6 +33,10 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, 1024)
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
@@ -53,7 +61,9 @@ FROM p JOIN size USING (r) LEFT JOIN m ON p.r = m.r AND m.k = 1""" % ", ".join(s
 
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op3_warc_archive": op3_warc_archive,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_mix_sources": op8_mix_sources,
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
 }
