@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import idstore, licenses, mixing, packing, setsketch, urlrules, warc
+from . import idstore, licenses, mixing, packing, quality, setsketch, urlrules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -66,6 +70,7 @@ FROM p JOIN size USING (r) LEFT JOIN m ON p.r = m.r AND m.k = 1""" % ", ".join(s
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_warc_archive": op3_warc_archive,
+    "op4_quality_rules": op4_quality_rules,
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_mix_sources": op8_mix_sources,
