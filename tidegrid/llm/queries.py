@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import idstore, licenses, mixing, packing, quality, setsketch, urlrules, warc
+from . import idstore, licenses, mixing, packing, quality, setsketch, urlrules, vamana, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_vamana_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, n_expre
 FROM p JOIN size USING (r) LEFT JOIN m ON p.r = m.r AND m.k = 1""" % ", ".join(str(r) for r in URL_RULES)
 
 QUERIES: dict[str, Query] = {
+    "op1_vamana_dedup": op1_vamana_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
