@@ -24,6 +24,8 @@ SHARD_MOST, QUERY_MOST = 3000, 1000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 #: Links that lead out of a dense group: so many to nodes OUTER_FAR times as far as the last neighbour, and so many back.
 OUTER, OUTER_BACK, OUTER_FAR = 4, 8, 3.0
+#: Links that lead to each node from its own neighbours at least.
+WAYS_IN = 3
 #: Nodes, drawn at random, where searches of a shard may begin besides its medoids.
 ENTRIES = 96
 #: Nodes that miss the threshold by so much are still expanded.
@@ -122,10 +124,18 @@ def build_graph(vecs: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
     back = [[] for _ in range(n)]
     for i, k in zip(*np.nonzero(far > -2)):
         back[int(outer[i, k])].append((-float(far[i, k]), int(i)))
+    # Pruning leaves some members of a dense group without a link from it. Each gets WAYS_IN from those of its
+    # own neighbours that gave the fewest.
+    given = [0] * n
+    ways: list[list[int]] = [[] for _ in range(n)]
+    for i, x in enumerate(pruned):
+        for j in sorted(x.tolist(), key=given.__getitem__)[:WAYS_IN]:
+            ways[j].append(i)
+            given[j] += 1
     heads = np.zeros(n, np.int64)
     out = []
     for i, x in enumerate(pruned):
-        x = [*x.tolist(), *outer[i, far[i] > -2].tolist(), *(j for _, j in sorted(back[i])[:OUTER_BACK])]
+        x = [*x.tolist(), *ways[i], *outer[i, far[i] > -2].tolist(), *(j for _, j in sorted(back[i])[:OUTER_BACK])]
         out.append(list(dict.fromkeys(x)))
         heads[out[-1]] += 1
     # A node without a way in can't be found: its nearest neighbour gets one.
