@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import idstore, licenses, mixing, packing, quality, setsketch, urlrules, vamana, warc
+from . import idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 #: The end id that the contracts of op7 and op9 fix.
 END_ID = 2
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
     "op5_setsketch_dedup": op5_setsketch_dedup,
+    "op6_maxent_scores": op6_maxent_scores,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_ids": op9_token_ids,
