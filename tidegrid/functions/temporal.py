@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..spec import PanelSpec
 
@@ -61,20 +60,19 @@ def ewm_folded(c: str, span: int, w: WindowSpec) -> Column:
 
 def add_ewm(df: DataFrame, panel: PanelSpec, columns: tuple[str, ...], spans: tuple[int, ...]) -> DataFrame:
     """{c}_ewm_{span}: the same for groups of any length and with nulls, linear in rows, a group at a time in Arrow batches."""
-    schema = df.schema
+    schema = StructType(list(df.schema.fields))
     names = [f"{c}_ewm_{s}" for c in columns for s in spans]
     for n in names:
         schema = schema.add(n, "double")
 
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups:
-            pdf = pdf.sort_values([panel.time, *panel.ties], kind="stable")
-            for c in columns:
-                for s in spans:
-                    pdf[f"{c}_ewm_{s}"] = pdf[c].astype("float64").ewm(span=s, adjust=False).mean()
-            yield pdf
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([panel.time, *panel.ties], kind="stable")
+        for c in columns:
+            for s in spans:
+                pdf[f"{c}_ewm_{s}"] = pdf[c].astype("float64").ewm(span=s, adjust=False).mean()
+        return pdf
 
-    return df.groupBy(*panel.groups).applyInPandas(lambda pdf: next(run(iter([pdf]))), schema)
+    return df.groupBy(*panel.groups).applyInPandas(run, schema)
 
 
 def difference(c: str, k: int, w: WindowSpec) -> Column:

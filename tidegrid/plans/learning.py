@@ -1,4 +1,117 @@
+"""Queries of operators that learn a state, and of the whole feature pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import learned
+from ..sources import tables
+from ..sources.tables import PANEL_SQL
+from ..spec import FeatureConfig, PanelSpec
+from .pipeline import FeaturePipeline
 from .register import Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
+SPEC = PanelSpec(("district_id",), "timestamp", ("crowd",))
+
+
+def _panel(spark, d):
+    return tables.panel(spark, d).select("district_id", "timestamp", "crowd")
+
+
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT district_id, timestamp, crowd, coalesce(crowd - lag(crowd) OVER (PARTITION BY district_id ORDER BY timestamp), 0)::DOUBLE AS x FROM panel),
+e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0, 0.3, 0.7, 1]))) AS e FROM s),
+b AS (SELECT district_id, timestamp, crowd, len(list_filter(e, lambda v: x > v)) AS k, len(e) + 1 AS n FROM s, e)
+SELECT district_id, timestamp, crowd, CASE n WHEN 5 THEN ['Very_Low', 'Low', 'Medium', 'High', 'Very_High'][k + 1] WHEN 4 THEN 'Q' || k ELSE ['Low', 'Medium', 'High'][k + 1] END AS crowd_magnitude,
+crowd * pow(2.0::DOUBLE, k - n // 2) AS crowd_adjusted FROM b""")
+def traffic_adjust(spark, d):
+    return learned.TrafficAdjuster(SPEC).fit_transform(_panel(spark, d))
+
+
+_LEVELS = f"""WITH {PANEL_SQL}, r AS (SELECT district_id, timestamp, crowd, row_number() OVER (PARTITION BY district_id ORDER BY crowd, timestamp) AS k, count(*) OVER (PARTITION BY district_id) AS n FROM panel),
+l AS (SELECT district_id, timestamp, crowd, ((k > 1 + 0.3::DOUBLE * (n - 1))::INTEGER + (k > 1 + 0.7::DOUBLE * (n - 1))::INTEGER) AS level FROM r)"""
+
+
+@query(f"{_LEVELS} SELECT district_id, timestamp, crowd, level::INTEGER AS level FROM l")
+def demand_levels(spark, d):
+    return learned.demand_levels(_panel(spark, d), "crowd", 3, ("district_id",), ("timestamp",))
+
+
+@query(f"""WITH {PANEL_SQL}, r AS (SELECT district_id, timestamp, crowd, row_number() OVER (ORDER BY crowd, timestamp, district_id) AS k, count(*) OVER () AS n FROM panel)
+SELECT district_id, timestamp, crowd, ((k > 1 + 0.25::DOUBLE * (n - 1))::INTEGER + (k > 1 + 0.4::DOUBLE * (n - 1))::INTEGER + (k > 1 + 0.85::DOUBLE * (n - 1))::INTEGER)::INTEGER AS level FROM r""")
+def demand_levels_global(spark, d):
+    return learned.demand_levels(_panel(spark, d), "crowd", 5, (), ("timestamp", "district_id"))
+
+
+@query(f"""{_LEVELS}, e AS (SELECT district_id, level, min(crowd)::DOUBLE AS lo, max(crowd)::DOUBLE AS hi FROM l GROUP BY ALL),
+x AS (SELECT district_id, list_sort(list_distinct(list_concat(list(lo), list(hi)))) AS x FROM e GROUP BY 1),
+g AS (SELECT district_id, list_concat([-1::DOUBLE], x[2:-2]) AS edges FROM x)
+SELECT district_id, timestamp, crowd, (len(list_filter(edges, lambda v: crowd > v)) - 1)::INTEGER AS mask FROM panel JOIN g USING (district_id)""")
+def demand_level_mask(spark, d):
+    p = _panel(spark, d)
+    levels = learned.demand_levels(p, "crowd", 3, ("district_id",), ("timestamp",))
+    return learned.apply_levels(p, "crowd", learned.level_edges(levels, "crowd", ("district_id",)), ("district_id",))
+
+
+@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, (crowd - lo) / coalesce(nullif(hi - lo, 0), 1)::DOUBLE AS crowd FROM panel, (SELECT min(crowd) AS lo, max(crowd) AS hi FROM panel)")
+def minmax(spark, d):
+    return learned.MinMax(("crowd",)).fit_transform(_panel(spark, d))
+
+
+@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, (crowd - lo) / coalesce(nullif(hi - lo, 0), 1)::DOUBLE AS crowd FROM panel JOIN (SELECT district_id, min(crowd) AS lo, max(crowd) AS hi FROM panel GROUP BY 1) USING (district_id)")
+def minmax_by_group(spark, d):
+    return learned.MinMax(("crowd",), ("district_id",)).fit_transform(_panel(spark, d))
+
+
+def _encoded(share: str) -> str:
+    return f"""WITH {PANEL_SQL}, a AS (SELECT avg(crowd) AS m FROM panel), c AS (SELECT district_id, count(*)::DOUBLE AS n, avg(crowd) AS v FROM panel GROUP BY 1)
+SELECT district_id, timestamp, crowd, v * ({share}) + m * (1 - ({share})) AS district_id__target_0_enc FROM panel JOIN c USING (district_id), a"""
+
+
+@query(_encoded("n / (n + 10)"))
+def target_encode_additive(spark, d):
+    return learned.TargetEncoder("district_id", ("crowd",)).fit_transform(_panel(spark, d))
+
+
+@query(_encoded("1 / (1 + exp(-(n - 1) / 500))"))
+def target_encode_exponential(spark, d):
+    return learned.TargetEncoder("district_id", ("crowd",), 500.0, 1, "exponential").fit_transform(_panel(spark, d))
+
+
+@query(f"WITH {PANEL_SQL} SELECT (dense_rank() OVER (ORDER BY district_id) - 1)::DOUBLE AS district_id, timestamp, crowd FROM panel")
+def ordinal(spark, d):
+    return learned.Ordinal("district_id").fit_transform(_panel(spark, d))
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"(o_orderstatus = '{v}')::INTEGER AS o_orderstatus_{v}" for v in "FOP") + " FROM orders")
+def onehot(spark, d):
+    o = tables.read(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
+    return learned.OneHot("o_orderstatus").fit_transform(o).drop("o_orderstatus")
+
+
+@query()
+def fourier(spark, d):
+    return learned.Fourier(SPEC, 30).fit_transform(_panel(spark, d))
+
+
+@query()
+def yeo_johnson(spark, d):
+    return learned.Power(("crowd",)).fit_transform(_panel(spark, d))
+
+
+@query()
+def box_cox(spark, d):
+    return learned.Power(("crowd",), "box-cox").fit_transform(_panel(spark, d).where("crowd > 0"))
+
+
+@query()
+def feature_pipeline(spark, d):
+    p = _panel(spark, d)
+    return FeaturePipeline(FeatureConfig(SPEC)).fit(p).transform(p)
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"o_{c}" for c in ("custkey", "totalprice")) + " FROM orders")
+def numeric_selection(spark, d):
+    o = tables.read(spark, d, "orders")
+    return o.select(*learned.numeric_columns(o))
