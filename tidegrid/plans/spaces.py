@@ -1,4 +1,115 @@
+"""Queries of spatial joins and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.calendar import web_mercator
+from ..operators import graph, panel, spatial
+from ..sources import tables
 from .register import Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
+RADIUS = 0.03
+#: Districts: unit squares cut into quarters, as rings.
+_BOXES = [("south_west", -1.0, -1.0, 0.0, 0.0), ("south_east", 0.001, -1.0, 1.0, 0.0), ("north_west", -1.0, 0.001, 0.0, 1.0), ("centre", -0.1, -0.1, 0.1, 0.1)]
+_P = "p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+_B = "b(district_id, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, a, b, c, d in _BOXES) + ")"
+_IN = "x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
+_E = f"{_P}, e AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.point_id <> b.point_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {RADIUS * RADIUS!r}::DOUBLE WHERE a.point_id < 500 AND b.point_id < 500)"
+
+
+def _districts(spark):
+    rows = [(n, f"POLYGON (({a} {b}, {c} {b}, {c} {d}, {a} {d}, {a} {b}))") for n, a, b, c, d in _BOXES]
+    return spark.createDataFrame(rows, "district_id string, wkt string").select("district_id", spatial.parse_polygon(F.col("wkt")).alias("ring"))
+
+
+def _located(spark, d):
+    return spatial.points_in_polygons(tables.points(spark, d), _districts(spark), 0.25)
+
+
+def _stations(spark, d):
+    """The stations of the reference graph: the points that a city would have, 500."""
+    return tables.points(spark, d).where("point_id < 500")
+
+
+def _graph(spark, d):
+    s = _stations(spark, d)
+    return s.select(F.col("point_id").alias("node")), graph.undirected(spatial.neighbours_within(s, RADIUS, "point_id"))
+
+
+@query(f"WITH {_P}, {_B} SELECT point_id, x, y, district_id FROM p JOIN b ON {_IN}")
+def point_in_district(spark, d):
+    return _located(spark, d)
+
+
+@query(f"WITH {_P}, {_B} SELECT district_id, (point_id % 24)::BIGINT AS timestamp, count(point_id) AS crowd FROM p JOIN b ON {_IN} GROUP BY ALL")
+def crowd_series(spark, d):
+    return panel.crowd_series(_located(spark, d).withColumn("timestamp", F.col("point_id") % 24), ("district_id", "timestamp"))
+
+
+@query(f"WITH {_E} SELECT a, b FROM e")
+def adjacency_radius(spark, d):
+    return spatial.neighbours_within(_stations(spark, d), RADIUS, "point_id")
+
+
+@query(f"WITH {_E} SELECT point_id, coalesce(array_to_string(list_sort(list(b) FILTER (b IS NOT NULL)), ','), '') AS neighbours FROM p LEFT JOIN e ON a = point_id WHERE point_id < 500 GROUP BY 1")
+def adjacency_lists(spark, d):
+    s = _stations(spark, d)
+    return spatial.adjacency_lists(s, spatial.neighbours_within(s, RADIUS, "point_id"), "point_id").withColumn("neighbours", F.array_join("neighbours", ","))
+
+
+@query(f"WITH {_B} SELECT m.district_id AS a, n.district_id AS b FROM b m JOIN b n ON m.district_id <> n.district_id AND m.x0 <= n.x1 AND n.x0 <= m.x1 AND m.y0 <= n.y1 AND n.y0 <= m.y1")
+def adjacency_polygons(spark, d):
+    return spatial.polygon_neighbours(_districts(spark), 0.5, "district_id")
+
+
+@query("SELECT vec_id AS point_id, radians(embedding[1]::DOUBLE * 10) * 6378137 AS x, ln(tan(pi() / 4 + radians(embedding[2]::DOUBLE * 10) / 2)) * 6378137 AS y FROM embeddings")
+def web_mercator_points(spark, d):
+    x, y = web_mercator(F.col("x") * 10, F.col("y") * 10)
+    return tables.points(spark, d).select("point_id", x.alias("x"), y.alias("y"))
+
+
+@query(f"WITH {_E} SELECT point_id AS node, count(b) AS degree, count(b) / (count(*) FILTER (true) * 0 + (SELECT count(*) FROM p WHERE point_id < 500) - 1)::DOUBLE AS degree_centrality FROM p LEFT JOIN e ON a = point_id WHERE point_id < 500 GROUP BY 1")
+def degree(spark, d):
+    return graph.degree(*_graph(spark, d))
+
+
+@query(f"""WITH {_E}, t AS (SELECT x.a AS node, count(*) AS t FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY 1), g AS (SELECT a AS node, count(*) AS d FROM e GROUP BY 1)
+SELECT point_id AS node, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM p LEFT JOIN g ON g.node = point_id LEFT JOIN t ON t.node = point_id WHERE point_id < 500""")
+def clustering(spark, d):
+    return graph.clustering(*_graph(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_E}, r(node, reach) AS (SELECT point_id, point_id FROM p WHERE point_id < 500 UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def graph_components(spark, d):
+    return graph.components(*_graph(spark, d))
+
+
+@query()
+def pagerank(spark, d):
+    return graph.pagerank(*_graph(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_E}, r(node, reach, k) AS (SELECT point_id, point_id, 0 FROM p WHERE point_id < 500 UNION SELECT r.node, e.b, k + 1 FROM r JOIN e ON e.a = r.reach WHERE k < 40),
+s AS (SELECT node, reach, min(k) AS k FROM r GROUP BY ALL), c AS (SELECT node, count(*) - 1 AS m, sum(k) AS far FROM s GROUP BY 1)
+SELECT node, CASE WHEN far > 0 THEN m / far::DOUBLE * m / ((SELECT count(*) FROM c) - 1)::DOUBLE ELSE 0 END AS closeness FROM c""")
+def closeness(spark, d):
+    return graph.closeness_betweenness(*_graph(spark, d)).select("node", "closeness")
+
+
+@query()
+def betweenness(spark, d):
+    return graph.closeness_betweenness(*_graph(spark, d)).select("node", "betweenness")
+
+
+@query()
+def eigenvector(spark, d):
+    return graph.eigenvector(*_graph(spark, d))
+
+
+@query()
+def node_features(spark, d):
+    return graph.node_features(*_graph(spark, d), "station_id")
