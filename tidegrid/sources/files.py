@@ -74,7 +74,7 @@ def source_summary(spark: SparkSession, root: str) -> DataFrame:
 def _bad_encoding(spark: SparkSession, files: list[str]) -> bool:
     """Whether a line of the files isn't UTF-8."""
     raw = spark.read.text(files)
-    return not raw.where(F.col("value").contains("�")).isEmpty()
+    return not raw.where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_csv(spark: SparkSession, files: list[str] | str) -> DataFrame:
@@ -111,7 +111,7 @@ def read_zipped_csv(spark: SparkSession, files: list[str] | str, chunk: int = 10
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                for z, n, enc in members(content):
+                for z, n, enc in members(bytes(content)):
                     with z.open(n) as f:
                         yield pd.DataFrame({"name": standard_names(list(pd.read_csv(f, encoding=enc, nrows=0).columns))})
 
@@ -125,7 +125,8 @@ def read_zipped_csv(spark: SparkSession, files: list[str] | str, chunk: int = 10
                     with z.open(n) as f:
                         for part in pd.read_csv(f, encoding=enc, dtype=str, chunksize=chunk):
                             part.columns = standard_names(list(part.columns))
-                            yield part.reindex(columns=names)
+                            part = part.reindex(columns=names).astype(object)
+                            yield part.where(part.notna(), None)
 
     return raw.mapInPandas(rows, StructType([StructField(n, StringType()) for n in names]))
 
