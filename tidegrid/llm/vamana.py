@@ -30,6 +30,8 @@ WAYS_IN = 3
 ENTRIES = 96
 #: Nodes that miss the threshold by so much are still expanded.
 SLACK = 0.08
+#: (Query, node) pairs that are expanded at once.
+FRONT = 30_000
 #: Queries of the audit, and the recall below which the search is made again, wider.
 AUDIT_QUERIES, AUDIT_RECALL = 256, 0.99
 
@@ -230,12 +232,17 @@ class Searcher:
         q, x, s = (np.concatenate(c) for c in zip(*found))
         front = s >= least - SLACK
         hits = [(q[s >= least], x[s >= least])]
-        fq, fx = q[front], x[front]
-        while len(fq):
+        waiting = [(q[front], x[front])]
+        while waiting:
+            fq, fx = waiting.pop()
+            if len(fq) > FRONT:  # a dense group's front is long: a part at a time bounds memory
+                waiting += [(fq[at : at + FRONT], fx[at : at + FRONT]) for at in range(0, len(fq), FRONT)]
+                continue
             near = self.table[fx]
             q, x, s = self._look(queries, np.repeat(fq, near.shape[1]), near.ravel())
             hits.append((q[s >= least], x[s >= least]))
-            fq, fx = q[s >= least - SLACK], x[s >= least - SLACK]
+            if (s >= least - SLACK).any():
+                waiting.append((q[s >= least - SLACK], x[s >= least - SLACK]))
         del self.seen
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
