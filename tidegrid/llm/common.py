@@ -85,3 +85,8 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
+
+
+def spread(rows: DataFrame, most: int = 20_000) -> int:
+    """Tasks for rows that each stand for much work: one a row, up to a bound."""
+    return max(1, min(most, rows.count()))

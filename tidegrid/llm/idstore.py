@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, new_path, written
+from .common import bounded_batches, filesystem, new_path, spread, written
 from .tokens import encoder
 
 MAGIC = b"TGIDS1\0\0"
@@ -76,6 +76,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_wid
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = filesystem(path)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=3)  # else each document's frame would digest the dictionary anew
         press = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
         number, name = TaskContext.get().partitionId(), ""
         offsets, counts, ids, at, out = [], [], [], _HEAD_SIZE, None
@@ -172,7 +174,8 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                     at += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out.values()], names=list(out))
 
-    return blocks.repartition(F.col("file"), F.col("first")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A row is much work in few bytes: the number of tasks is given, else Spark would merge them.
+    return blocks.repartition(spread(manifest)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int, **kwargs) -> DataFrame:

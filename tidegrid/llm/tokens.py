@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 
 import numpy as np
@@ -32,6 +33,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache_items = cache_items
         self.cache: dict[str, bytes] = {}
+        # A tokenizer that lower-cases all reads A-Z as a-z: then fewer stretches are distinct.
+        self.folds = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
         # One that cuts at a special token: it divides stretches that don't hold its string.
         self.cutter = self._load(path)
         self.mark, self.mark_id = max(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), key=lambda x: x[1], default=("", -1))
@@ -63,6 +66,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
+        if self.folds:
+            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if t else t for t in texts]
         split = [stretches(t) if t else [] for t in texts]
         heads = [words[0] for words in split if words]
         for words in split:
