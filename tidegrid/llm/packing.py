@@ -211,7 +211,8 @@ def pack(pieces: DataFrame, capacity: int, *, block_items: int = BLOCK_ITEMS, is
     sizes = part.groupBy("block").agg(F.reverse(F.array_sort(F.collect_list(F.col("length").cast("int")))).alias("sizes"))
     state = sizes.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))).alias("island"), F.lit(0).cast("long").alias("epoch"), "sizes", F.array().cast("array<array<int>>").alias("members"))
     for epoch in range(epochs):
-        state = written(state.repartition(F.col("block"), F.col("island")).mapInArrow(_island(capacity, generations, seed), _ISLAND), "islands")
+        # A row is much work in few bytes: the number of tasks is given, else Spark would merge them.
+        state = written(state.repartition(max(1, min(20_000, blocks * islands))).mapInArrow(_island(capacity, generations, seed), _ISLAND), "islands")
         if epoch + 1 < epochs and islands > 1:
             elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("members", 1, 1).alias("guest"))
             state = state.join(elite, ["block", "island"]).select("block", "island", "epoch", "sizes", F.concat("guest", "members").alias("members"))

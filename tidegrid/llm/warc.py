@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, new_path, written
+from .common import bounded_batches, filesystem, new_path, spread, written
 from .idstore import train_dictionary
 
 _SKIPPABLE, _ZSTD = 0x184D2A5D, 0xFD2FB528
@@ -177,7 +177,10 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             for record in records:
                 if out is None:
                     dictionary = train_dictionary([x[:SAMPLE_BYTES] for x in records[:SAMPLE_RECORDS]], DICTIONARY_BYTES)
-                    press = zstandard.ZstdCompressor(level=3, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+                    shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+                    if shared:
+                        shared.precompute_compress(level=3)
+                    press = zstandard.ZstdCompressor(level=3, write_checksum=True, dict_data=shared)
                     name = f"part-{number:06d}-{uuid.uuid4().hex}.warc.zst"
                     out = where.open_output_stream(f"{folder}/{name}", compression=None)
                     out.write(dictionary_frame(dictionary))
@@ -232,7 +235,8 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, *, payloa
                     yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     kinds = {"int64": "long", "string": "string", "binary": "binary"}
-    return manifest.repartition(F.col("file"), F.col("start")).mapInArrow(read, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
+    # Rows of the manifest are small, what they stand for isn't: the number of tasks is given, else Spark would merge them.
+    return manifest.repartition(spread(manifest)).mapInArrow(read, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
 
 
 def archive_and_read_back(pages: DataFrame, **kwargs) -> DataFrame:
