@@ -61,20 +61,14 @@ def sainte_lague(cells: DataFrame, seats: int, votes: str = "votes", order: tupl
     exact = None
     for _ in range(14):
         cuts = [low + (high - low) * (k + 1) / (_CUTS + 1) for k in range(_CUTS)]
-        sums = cells.agg(*[F.sum(count(d)).alias(f"s{k}") for k, d in enumerate(cuts)]).first()
+        sums = list(cells.agg(*[F.sum(count(d)).alias(f"s{k}") for k, d in enumerate(cuts)]).first())
         if seats in sums:
-            exact = cuts[list(sums).index(seats)]
+            exact = cuts[sums.index(seats)]
             break
         many = [d for d, s in zip(cuts, sums) if s > seats]
         few = [d for d, s in zip(cuts, sums) if s < seats]
-        new_low, new_high = max(many, default=low), min(few, default=high)
-        if (new_low, new_high) == (low, high):
-            # nothing in the middle: either the ends must widen or they meet in rounding
-            if many and few:
-                break
-            low, high = (low / 4, high) if not many else (low, high * 4)
-            continue
-        low, high = new_low, new_high
+        # Sums fall as divisors rise; an end that nothing lies beyond is moved out.
+        low, high = max(many, default=low / 4), min(few, default=high * 4)
         if math.nextafter(low, high) >= high:
             break
     if exact is not None:
