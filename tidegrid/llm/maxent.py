@@ -11,6 +11,7 @@ documents from the same model by AdaGrad, and the tasks' changes of a row are av
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -188,7 +189,7 @@ def _flat(model: Model, texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray,
     places = model.places()
     words = [[*byte_words(t.as_py()), END] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter((places[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
     return words, ids, np.cumsum(sizes) - sizes
 
 
