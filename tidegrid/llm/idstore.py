@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, new_path, spread, written
+from .common import bounded_batches, filesystem, hashed_sample, new_path, spread, written
 from .tokens import encoder
 
 MAGIC = b"TGIDS1\0\0"
@@ -65,7 +65,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_wid
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    few = rows.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(sample_docs).collect()
+    few = hashed_sample(rows, sample_docs, "doc_id", "text").where(F.length("text") > 0).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
     end = struct.pack("<I", end_id)
     dictionary = train_dictionary([_narrow(x + end, id_width)[:SAMPLE_BYTES] for x in encoder(tokenizer).encode([r["text"] for r in few])])
     where, folder = filesystem(path)

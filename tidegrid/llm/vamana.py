@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, hashed_sample, written
 from .components import connected_components
 
 #: Centroids are fitted on so many vectors at most; there is one for SHARD_ROWS vectors, and MOST_CLUSTERS at most.
@@ -266,7 +266,7 @@ def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam:
     """(rep, n): weights of the classes that each class links with; (a, b): links that connect what links connect."""
     spark = classes.sparkSession
     n = classes.count()
-    few = classes.select("rep", "vec").orderBy(F.xxhash64("rep")).limit(SAMPLE).toPandas()  # bounded
+    few = hashed_sample(classes.select("rep", "vec"), SAMPLE, "rep").toPandas()
     centers = fit_centroids(_matrix(few["vec"], dim), int(np.clip(-(-n // SHARD_ROWS), 1, MOST_CLUSTERS)))
     member_of, probes = min(member_of, len(centers)), min(probes, len(centers))
 
@@ -337,7 +337,7 @@ def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam:
 
 def audit(classes: DataFrame, links: DataFrame, dim: int, least: float, queries: int = AUDIT_QUERIES) -> float:
     """Links found of some queries by their true number: those compare with all vectors."""
-    few = classes.select("rep", "vec").orderBy(F.xxhash64("rep", F.lit(5))).limit(queries).toPandas()
+    few = hashed_sample(classes.select("rep", "vec"), queries, "rep", "vec").toPandas()
     if not len(few):
         return 1.0
     asked, reps = _matrix(few["vec"], dim), few["rep"].to_numpy()
