@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, hashed_sample
 
 #: n-grams of one and two tokens are hashed to so many buckets.
 BUCKETS = 1 << 17
@@ -112,12 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, labelled:
     """Raw counts of all documents, trusted counts of one half of the labelled clean ones, the threshold by the other half.
 
     labels: doc_id, quality (1: good), toxic. Trusted are good and not toxic. Of more labelled documents than
-    `labelled` of either kind, those with the least hashes serve. Labels without a document count nowhere.
+    `labelled` of either kind, those with the least hashes serve, about. Labels without a document count nowhere.
     """
     bounded_batches(docs.sparkSession)
     role = F.when(F.col("quality") == 1, F.when(F.coalesce("toxic", F.lit(0)) == 0, F.lit("good"))).when(F.col("quality") == 0, F.lit("bad"))
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), role.alias("role")).where("role IS NOT NULL AND l_id IS NOT NULL").groupBy("l_id").agg(F.min("role").alias("role"))  # bad < good
-    some = [known.where(F.col("role") == r).orderBy(F.xxhash64("l_id"), "l_id").limit(labelled) for r in ("good", "bad")]
+    some = [hashed_sample(known.where(F.col("role") == r), labelled, "l_id") for r in ("good", "bad")]
     half = F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(2)) == 0
     some = some[0].union(some[1]).withColumn("trusted", (F.col("role") == "good") & half)
     some = docs.sparkSession.createDataFrame(some.collect(), some.schema)  # 2 * labelled rows at most
