@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import clean, graph, metrics, models, spatial
+from tidegrid.plans import catalog
 from tidegrid.plans.pipeline import FeaturePipeline, save_features
 from tidegrid.sources import files
 from tidegrid.spec import ColumnMapping, FeatureConfig, PanelSpec
@@ -108,6 +109,21 @@ def test_graph_of_a_path_and_a_triangle(spark):
     assert ev[3] == 0 and ev[1] == pytest.approx(np.sqrt(0.5), abs=1e-3)
 
 
+def test_graph_queries_take_all_points(spark, tmp_path):
+    at = [0.0, 0.02, 0.04, 0.9, 0.92]
+    rows = [(i, [x, 0.0]) for i, x in zip((3, 499, 500, 501, 70_000), at)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda q: {r[0]: r[1] for r in catalog.QUERIES[q](spark, str(tmp_path)).collect()}
+    pairs = {tuple(r) for r in catalog.QUERIES["adjacency_radius"](spark, str(tmp_path)).collect()}
+    assert pairs == {(3, 499), (499, 3), (499, 500), (500, 499), (501, 70_000), (70_000, 501)}
+    assert run("adjacency_lists") == {3: "499", 499: "3,500", 500: "499", 501: "70000", 70_000: "501"}
+    assert run("graph_components") == {3: 3, 499: 3, 500: 3, 501: 501, 70_000: 501}
+    assert run("degree") == {3: 1, 499: 2, 500: 1, 501: 1, 70_000: 1} and set(run("clustering")) == set(run("node_features")) == {r[0] for r in rows}
+    assert run("betweenness") == pytest.approx({3: 0, 499: 2 / 12, 500: 0, 501: 0, 70_000: 0})
+    assert run("closeness") == pytest.approx({3: 1 / 3, 499: 0.5, 500: 1 / 3, 501: 0.25, 70_000: 0.25})
+    assert run("eigenvector") == pytest.approx({3: 0.5, 499: 0.5**0.5, 500: 0.5, 501: 0, 70_000: 0}, abs=1e-3)
+
+
 def test_models_learn_and_persist(spark, tmp_path):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("f"), (F.col("id") % 2).cast("double").alias("k"), F.col("id")).withColumn("y", F.col("f") * 2)
     m = models.train(df, ["f", "k"], ["y"], "regression", "rf", {"n_estimators": 5, "max_depth": 5})

@@ -29,13 +29,8 @@ def _located(spark, d):
     return spatial.points_in_polygons(tables.points(spark, d), _districts(spark), 0.25)
 
 
-def _stations(spark, d):
-    """The stations of the reference graph: the points that a city would have, 500."""
-    return tables.points(spark, d).where("point_id < 500")
-
-
 def _graph(spark, d):
-    s = _stations(spark, d)
+    s = tables.points(spark, d)
     return s.select(F.col("point_id").alias("node")), graph.undirected(spatial.neighbours_within(s, RADIUS, "point_id"))
 
 
@@ -51,12 +46,12 @@ def crowd_series(spark, d):
 
 @query(f"WITH {_E} SELECT a, b FROM e")
 def adjacency_radius(spark, d):
-    return spatial.neighbours_within(_stations(spark, d), RADIUS, "point_id")
+    return spatial.neighbours_within(tables.points(spark, d), RADIUS, "point_id")
 
 
 @query(f"WITH {_E} SELECT point_id, coalesce(array_to_string(list_sort(list(b) FILTER (b IS NOT NULL)), ','), '') AS neighbours FROM p LEFT JOIN e ON a = point_id WHERE point_id < 500 GROUP BY 1")
 def adjacency_lists(spark, d):
-    s = _stations(spark, d)
+    s = tables.points(spark, d)
     return spatial.adjacency_lists(s, spatial.neighbours_within(s, RADIUS, "point_id"), "point_id").withColumn("neighbours", F.array_join("neighbours", ","))
 
 
