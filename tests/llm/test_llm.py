@@ -236,6 +236,21 @@ def test_op6_probabilities_sum_to_one(spark):
         assert sum(10**x for x in p) + 10**unknown * rare == pytest.approx(1, abs=1e-4)
 
 
+def test_op6_whole_head_has_paths(spark):
+    words = [f"w{i}" for i in range(9000)]
+    df = docs(spark, [(i, " ".join(words[i::30]) + " a b" * 10, "s") for i in range(30)])
+    counts = common.written(maxent.count_tokens(df.select("text")), "counts")
+    model = maxent.train(df.select("text"), maxent.start_model(counts), task_tokens=2500)
+    ids = np.arange(model.n_head)
+    assert model.n_model == model.n_head == model.distinct == 9003 and model.rare_total == 0
+    assert len(set(zip(*(d.tolist() for d in maxent.digits(ids, model.n_model, model.depth))))) == 9003
+    assert len(set(maxent._context(ids, np.array([0]), model.n_model)[0].tolist())) == 9003
+    p = maxent.log_probabilities(model, np.r_[ids, -1], np.arange(len(ids) + 1))  # each at a document's start
+    assert (10 ** p[:-1]).sum() + 10 ** p[-1] * 0.5 / 0.5 == pytest.approx(1, abs=1e-4)
+    assert all(np.abs(t).sum() for t in model.tables) and len(maxent.score_documents(df).collect()) == 30
+    assert [maxent.slices_of(n) for n in (0, 3_000_000, 9_000_000, 96_000_000)] == [(1, 1), (1, 1), (2, 2), (6, 6)]
+
+
 def encoded(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True

@@ -1,17 +1,20 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A frequent word has a path of three digits: class, group in the class, word in the group. Each digit is a
-softmax over WIDTH outcomes; its weights are rows of hashed tables, one row for each n-gram or skip feature of
-the words before, given the digits before. The last class holds all other words: there the word's share is
-that of its count. So the probabilities of all words, with one unknown, sum to one.
+Each word of the head has a path of three digits or more, as many as the head needs: class, groups in the class,
+word in the last group. Each digit is a softmax over WIDTH outcomes; its weights are rows of hashed tables, one
+row for each n-gram or skip feature of the words before, given the digits before. The last class holds all words
+beyond the head: there the word's share is that of its count. So the probabilities of all words, with one unknown,
+sum to one.
 
 Biases are logarithms of counts. The rows are trained by distributed gradient updates: each task goes over its
 documents from the same model by AdaGrad, and the tasks' changes of a row are averaged by how often each saw it.
+A round goes over the documents in slices, whose number grows with the tokens: each starts from the one before.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, byte_words, written
 
 WIDTH = 20
-#: Rows of each digit's table, a power of two.
+#: Digits of a path at least.
+DEPTH = 3
+#: Rows of each digit's table at least, a power of two; there are as many as words with a path.
 ROWS = 1 << 15
 #: Words whose counts go to every task at most; the counts of others are joined.
 HEAD = 1 << 18
@@ -58,6 +63,8 @@ class Model:
     complete: bool  # the head holds all of them
     n_model: int  # the first so many of the head have a path
     rare_total: int
+    depth: int = DEPTH
+    rows: int = ROWS  # of a digit's table
     bias: list[np.ndarray] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
 
@@ -77,24 +84,39 @@ class Model:
         return _places[self.key]
 
 
-def _mix(*parts) -> np.ndarray:
+def _mix(size: int, *parts) -> np.ndarray:
     x = np.uint64(0x2545F4914F6CDD1D)
     for p in parts:
         x = (x ^ (np.asarray(p).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
         x = x ^ (x >> np.uint64(29))
-    return (x & np.uint64(ROWS - 1)).astype(np.int64)
+    return (x & np.uint64(size - 1)).astype(np.int64)
 
 
-def features(digit: int, before: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
-    """Rows of a digit's table: the last word, the one before it (a skip), for the class both together."""
-    rows = [_mix(1, before, p1), _mix(2, before, p2)]
-    return [*rows, _mix(3, before, p1, p2)] if digit == 0 else rows
+def features(model: Model, digit: int, before: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
+    """Rows of a digit's table: the last word, the one before it (a skip), for all but the last two digits both together."""
+    rows = [_mix(model.rows, 1, before, p1), _mix(model.rows, 2, before, p2)]
+    return [*rows, _mix(model.rows, 3, before, p1, p2)] if digit <= model.depth - 3 else rows
 
 
-def digits(ids: np.ndarray, n_model: int) -> list[np.ndarray]:
+def digits(ids: np.ndarray, n_model: int, depth: int = DEPTH) -> list[np.ndarray]:
     """Paths of places in the head; words without one have the last class, and no further digits."""
     rare = (ids < 0) | (ids >= n_model)
-    return [np.where(rare, WIDTH - 1, ids // WIDTH**2), ids // WIDTH % WIDTH, ids % WIDTH]
+    return [np.where(rare, WIDTH - 1, ids // WIDTH ** (depth - 1)), *(ids // WIDTH**k % WIDTH for k in range(depth - 2, -1, -1))]
+
+
+def depth_of(words: int) -> int:
+    """Digits that so many words need: all classes but the last are theirs."""
+    depth = DEPTH
+    while (WIDTH - 1) * WIDTH ** (depth - 1) < words:
+        depth += 1
+    return depth
+
+
+def slices_of(tokens: int, task_tokens: int = TASK_TOKENS) -> tuple[int, int]:
+    """Slices of a round, and tasks of a slice: both grow with the root of the tokens."""
+    tasks = max(1, -(-tokens // task_tokens))
+    slices = math.isqrt(tasks - 1) + 1
+    return slices, -(-tasks // slices)
 
 
 def _softmax(model: Model, digit: int, before: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +143,14 @@ def _context(ids: np.ndarray, starts: np.ndarray, n_model: int) -> tuple[np.ndar
 def log_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 of the model's probability of each token's path; a rare word's share of its class isn't in it."""
     p1, p2 = _context(ids, starts, model.n_model)
-    d = digits(ids, model.n_model)
+    d = digits(ids, model.n_model, model.depth)
     out = np.zeros(len(ids))
     for at in range(0, len(ids), CHUNK):
         part = slice(at, at + CHUNK)
         a, b, q = p1[part], p2[part], [x[part] for x in d]
         where, before = np.arange(len(a)), np.zeros(len(a), np.int64)
-        for k in range(3):
-            z, e = _softmax(model, k, before, features(k, before, a, b))
+        for k in range(model.depth):
+            z, e = _softmax(model, k, before, features(model, k, before, a, b))
             own = q[k][where]
             out[at + where] += (z[np.arange(len(z)), own] - np.log(e.sum(axis=1))) / np.log(10)
             go = q[0][where] != WIDTH - 1
@@ -140,23 +162,23 @@ class Trainer:
     """Gradient updates of a copy of the tables."""
 
     def __init__(self, model: Model, rate: float = RATE) -> None:
-        self.model, self.rate = model, rate
-        self.start = [t.copy() for t in model.tables]
+        self.model, self.rate, self.start = model, rate, model.tables
+        self.model.tables = [t.astype(np.float32) for t in self.start]
         self.squares = [np.full(len(t), 1e-2, np.float32) for t in model.tables]
         self.seen = [np.zeros(len(t), np.int64) for t in model.tables]
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
         m = self.model
         p1, p2 = _context(ids, starts, m.n_model)
-        d = digits(ids, m.n_model)
+        d = digits(ids, m.n_model, m.depth)
         for at in range(0, len(ids), CHUNK):
             part = slice(at, at + CHUNK)
             a, b, q = p1[part], p2[part], [x[part] for x in d]
             before, own = np.zeros(len(a), np.int64), q[0]
-            for k in range(3):
+            for k in range(m.depth):
                 if not len(a):
                     break
-                rows = features(k, before, a, b)
+                rows = features(m, k, before, a, b)
                 _, e = _softmax(m, k, before, rows)
                 e /= e.sum(axis=1, keepdims=True)
                 e[np.arange(len(e)), own] -= 1
@@ -164,7 +186,7 @@ class Trainer:
                     self._step(k, r, e)
                 go = q[0] != WIDTH - 1
                 before, a, b, q = before[go] * WIDTH + own[go], a[go], b[go], [x[go] for x in q]
-                own = q[min(k + 1, 2)]
+                own = q[min(k + 1, m.depth - 1)]
 
     def _step(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
@@ -232,29 +254,29 @@ def start_model(counts: DataFrame, *, head: int = HEAD) -> Model:
     rows = counts.where(F.col("c") >= least).collect() if words else []  # head rows at most
     rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     c = np.array([r["c"] for r in rows], np.float64)
-    n_model = min(len(rows), (WIDTH - 1) * WIDTH**2)
-    model = Model(uuid.uuid4().hex, spark.sparkContext.broadcast([bytes(r["word"]) for r in rows]), len(rows), least, np.log10(c + 0.5), total, distinct, words == distinct, n_model, total - int(c[:n_model].sum()))
-    mass = np.zeros(WIDTH**3)
-    mass[:n_model] = c[:n_model]
-    mass = mass.reshape(WIDTH, WIDTH, WIDTH)
-    classes = mass.sum(axis=(1, 2))
+    n_model, depth = len(rows), depth_of(len(rows))
+    model = Model(uuid.uuid4().hex, spark.sparkContext.broadcast([bytes(r["word"]) for r in rows]), len(rows), least, np.log10(c + 0.5), total, distinct, words == distinct, n_model, total - int(c.sum()), depth, max(ROWS, 1 << max(0, n_model - 1).bit_length()))
+    mass = np.zeros(WIDTH**depth)
+    mass[:n_model] = c
+    classes = mass.reshape(WIDTH, -1).sum(axis=1)
     classes[-1] = model.rare_total + 0.5
     log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9)), -1e9).astype(np.float32)
-    model.bias = [log(classes)[None, :], log(mass.sum(axis=2)), log(mass).reshape(WIDTH**2, WIDTH)]
-    model.tables = [np.zeros((ROWS, WIDTH), np.float32) for _ in range(3)]
+    model.bias = [log(classes)[None, :], *(log(mass.reshape(WIDTH**k, WIDTH, -1).sum(axis=2)) for k in range(1, depth))]
+    model.tables = [np.zeros((model.rows, WIDTH), np.float32) for _ in range(depth)]
     return model
 
 
 def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> Model:
-    """Distributed gradient updates over all tokens of all texts, rounds times."""
-    spark = texts.sparkSession
-    tasks = max(1, -(-model.total // task_tokens))
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model.tables)
+    """Distributed gradient updates over all tokens of all texts, rounds times; a text is in one slice of a round."""
+    spark, n_rows = texts.sparkSession, model.depth * model.rows
+    slices, tasks = slices_of(model.total, task_tokens)
+    for turn in range(rounds * slices):
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == turn % slices) if slices > 1 else texts
+        sent = spark.sparkContext.broadcast([t.astype(np.float16) for t in model.tables])
         bare = Model(**{**model.__dict__, "tables": []})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, bare=bare) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Model(**{**bare.__dict__, "tables": [t.copy() for t in sent.value]}))
+            trainer = Trainer(Model(**{**bare.__dict__, "tables": sent.value}))
             for batch in batches:
                 if batch.num_rows:
                     _, ids, starts = _flat(trainer.model, batch.column(0))
@@ -262,40 +284,47 @@ def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens:
             for k, rows, seen, change in trainer.changes():
                 raw = change.astype("<f2").tobytes()
                 for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part + k * ROWS), pa.array(seen[at : at + 10_000]), pa.array([raw[2 * WIDTH * i : 2 * WIDTH * (i + 1)] for i in range(at, at + len(part))], pa.binary())], names=["row", "seen", "change"])
+                    some = rows[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some + k * bare.rows), pa.array(seen[at : at + 10_000]), pa.array([raw[2 * WIDTH * i : 2 * WIDTH * (i + 1)] for i in range(at, at + len(some))], pa.binary())], names=["row", "seen", "change"])
 
         # Fewer, larger tasks than files: the changes that travel then keep to the number of tokens.
-        changes = texts.coalesce(tasks).mapInArrow(run, "row long, seen long, change binary")
+        changes = part.coalesce(tasks).mapInArrow(run, "row long, seen long, change binary")
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, seen = np.zeros((3 * ROWS, WIDTH), np.float64), np.zeros(3 * ROWS, np.int64)
+            place, at = np.full(n_rows, -1, np.int32), np.empty(0, np.int64)  # where a row of this task is
+            sums, seen = np.zeros((0, WIDTH), np.float64), np.zeros(0, np.int64)
             for batch in batches:
                 if batch.num_rows:
                     row, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                     change = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f2").reshape(-1, WIDTH).astype(np.float64)
-                    np.add.at(sums, row, change * n[:, None])
-                    np.add.at(seen, row, n)
-            at = np.flatnonzero(seen)
-            mean = (sums[at] / seen[at][:, None]).astype("<f4")
+                    new = np.unique(row[place[row] < 0])
+                    place[new] = len(at) + np.arange(len(new))
+                    at = np.r_[at, new]
+                    if len(at) > len(seen):
+                        sums, seen = (np.concatenate([x, np.zeros((len(at), *x.shape[1:]), x.dtype)]) for x in (sums, seen))
+                    np.add.at(sums, place[row], change * n[:, None])
+                    np.add.at(seen, place[row], n)
+            mean = (sums[: len(at)] / seen[: len(at), None]).astype("<f2")
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in mean], pa.binary())], names=["row", "change"])
 
-        merged = changes.repartition(F.col("row")).mapInArrow(merge, "row long, change binary").toPandas()  # 3 * ROWS rows at most
-        tables = np.concatenate(model.tables)
-        if len(merged):
-            tables[merged["row"].to_numpy()] += np.frombuffer(b"".join(merged["change"]), "<f4").reshape(-1, WIDTH)
-        model = Model(**{**model.__dict__, "tables": list(tables.reshape(3, ROWS, WIDTH))})
-        sent.unpersist()
+        merged = changes.repartition(F.col("row")).mapInArrow(merge, "row long, change binary").toArrow()  # depth * rows rows at most
+        for batch in merged.to_batches(10_000):
+            row, change = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, WIDTH)
+            for k in np.unique(row // model.rows).tolist():
+                own = row // model.rows == k
+                model.tables[k][row[own] % model.rows] += change[own]
+        del merged
+        sent.destroy()
     return model
 
 
 def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """rows (doc_id, text, held_out) with n_tokens, n_known, train_tokens, base_score, score in place of text."""
-    sent = rows.sparkSession.sparkContext.broadcast(model.tables)
+    sent = rows.sparkSession.sparkContext.broadcast([t.astype(np.float16) for t in model.tables])
     bare = Model(**{**model.__dict__, "tables": []})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**{**bare.__dict__, "tables": sent.value})
+        m = Model(**{**bare.__dict__, "tables": [t.astype(np.float32) for t in sent.value]})
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
