@@ -116,6 +116,24 @@ def test_op2_licenses(spark):
         assert all((2 * min(n, k) >= 0.8 * (n + k)) == (lo <= k <= hi) for k in range(1, 4 * n))
 
 
+def test_op2_notices_in_longer_texts(spark):
+    prose = " ".join(f"word{k} stone{k}" for k in range(150))
+    rows, want = [], {}
+    for i, t in enumerate(licenses.TEMPLATES):
+        wrapped = "\n".join(" * " + " ".join(t.text.split()[k : k + 9]) for k in range(0, len(t.text.split()), 9))
+        rows += [(2 * i, f"{prose}\n\n{prose}\n{wrapped}\n{prose}\n" * 2, "s"), (2 * i + 1, f"{prose}\n{prose} {t.text} {prose}", "s")]
+        want |= {2 * i: (t.name, 4), 2 * i + 1: (t.name, 2)}
+    rows += [(100, f"{prose}\npermission license redistribution\n{prose}", "s")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, (name, line) in want.items():
+        assert got[i]["license"] == name and got[i]["line"] == line and got[i]["dice"] >= 0.8, (i, got[i])
+    assert got[100]["license"] is None and got[100]["n_lines"] == 3
+    for t in licenses.TEMPLATES:
+        p = licenses.template_pairs(t.text)
+        low, _ = licenses.size_bounds(len(p), 0.8)
+        assert sum(not set(x.split()) & set(licenses.needed_words(p, low)) for x in p) < low
+
+
 def test_op3_archives(spark):
     big = "<p>same</p>" * 20
     rows = [(5, "http://a/\r\nX: y z", big, "d"), (3, None, big, "d"), (9, "http://b/é", big, "d"), (4, "u", None, "d"), (6, "u", "", "d"), (7, "u", "short", "d"), (8, "u", "short", "d"), (10, "u", "日本" * 30_000, "d"), (None, "u", big, "d"), (3, None, big, "d")]

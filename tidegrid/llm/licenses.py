@@ -1,4 +1,7 @@
-"""Licence scan: Dice coefficient over word bigrams of normalised text, with size bounds. DataFrame functions only."""
+"""Licence scan: Dice coefficient over word bigrams of normalised text, with size bounds. DataFrame functions only.
+
+Units are lines, whole texts and, where these match nothing, stretches of words. scan_sql() has the first two only.
+"""
 
 from __future__ import annotations
 
@@ -34,12 +37,19 @@ TEMPLATES = [
 THRESHOLD = 0.8
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words of the normalised text: A-Z lower-cased, all but a-z and 0-9 as one space."""
-    words = F.split(F.trim(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " ")), " ")
+def _words(text: Column) -> Column:
+    """The words of the normalised text: A-Z lower-cased, all but a-z and 0-9 as one space. An empty one where there is none."""
+    return F.split(F.trim(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def _pairs(words: Column) -> Column:
     # zipped with itself, shifted by one: linear in the number of words
-    pair = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pair)
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+    return F.array_distinct(_pairs(_words(text)))
 
 
 def template_pairs(text: str) -> list[str]:
@@ -47,6 +57,16 @@ def template_pairs(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def needed_words(pairs: list[str], low: int) -> list[str]:
+    """Long words of which a text that holds low of the pairs has one at least: fewer than low pairs do without them."""
+    left, out = list(pairs), []
+    for w in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
+        if len(left) < low:
+            break
+        left, out = [p for p in left if w not in p.split()], [*out, w]
+    return out
+
+
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """Sizes that a set can have with 2*min/(n+size) >= threshold."""
     low = next(k for k in range(1, n + 1) if 2 * k >= threshold * (n + k))
@@ -56,13 +76,41 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return low, high
 
 
+def _stretch(pairs: Column, i: int, p: list[str], lo: int, hi: int, threshold: float) -> Column:
+    """The best stretch of a text's pairs against a template: dice, -place of its first word, -template; null if none reaches the threshold.
+
+    The best one begins and ends with pairs of the template. Only texts that hold lo of its pairs are looked at.
+    """
+    most = 2 * hi  # pairs of a stretch, of which hi differ at most
+
+    def of(at: Column, k: Column, places: Column) -> Column:
+        ends = F.filter(F.slice(places, k + 1, F.lit(most)), lambda e: (e >= at + lo - 1) & (e < at + most))
+        sets = F.filter(F.transform(ends, lambda e: F.array_distinct(F.slice(pairs, at + 1, e - at + 1))), lambda x: F.size(x).between(lo, hi))
+        return F.array_max(F.transform(sets, lambda x: F.size(F.array_intersect(x, F.lit(p))) * F.lit(2.0) / (F.size(x) + len(p))))
+
+    places = F.filter(F.transform(pairs, lambda x, k: F.when(F.array_contains(F.lit(p), x), k)), lambda k: k.isNotNull())
+    # bound once: a lambda's variable is not evaluated again for each place
+    best = F.transform(F.array(places), lambda all_: F.array_max(F.filter(F.transform(all_, lambda at, k: F.struct(of(at, k, all_).alias("dice"), (-at).cast("int").alias("line"), F.lit(-i).alias("template"))), lambda s: s["dice"] >= threshold)))
+    return F.when(F.size(F.array_intersect(pairs, F.lit(p))) >= lo, best[0])
+
+
+def _line_of(lines: Column, word: Column) -> Column:
+    """The line, from 1, of a text's word, from 0."""
+    count = lambda x: F.size(F.filter(_words(x), lambda w: w != ""))
+    start = F.struct(word.cast("int").alias("left"), F.lit(0).alias("line"))
+    step = lambda acc, x: F.when(acc["left"] < 0, acc).otherwise(F.struct((acc["left"] - count(x)).alias("left"), (acc["line"] + 1).alias("line")))
+    return F.aggregate(lines, start, step)["line"]
+
+
 def scan_licenses(docs: DataFrame, *, templates: list[Template] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, license, dice, line, template.
 
     Each line of a text, and the whole text, is normalised and compared to each template whose size
     bounds it meets. dice is the highest coefficient of at least the threshold, line where it was found
     (from 1; 0 for the whole text), template its number from 0; of equal ones the first line, then the
-    first template. Where nothing reaches the threshold, license, dice, line and template are null.
+    first template. Where neither a line nor the whole text reaches the threshold, all stretches of words do
+    as units, within a line or over several, and line is that of the first word: so wrapped notices and notices
+    amid prose are found. Where nothing reaches the threshold, license, dice, line and template are null.
     Null and empty texts match nothing; a null text has n_lines 0. Ids may be null or repeated: each row
     gives one row. Other columns are ignored. No shuffle: each row is judged where it is read.
     """
@@ -87,7 +135,15 @@ def scan_licenses(docs: DataFrame, *, templates: list[Template] | None = None, t
             return F.array_max(F.array(*each))
 
         best = F.array_max(F.filter(F.transform(pairs, against), lambda s: s["dice"] >= threshold))
-    out = base.select("doc_id", F.size("lines").cast("long").alias("n_lines"), best.alias("best"))
+    out = base.withColumn("best", best)
+    if known:
+        some = sorted({w for _, _, p, lo, _ in known for w in needed_words(p, lo)})
+        out = out.withColumn("words", F.when(F.col("best").isNull(), _words(F.col("text"))))
+        out = out.withColumn("pairs", F.when(F.arrays_overlap("words", F.lit(some)), _pairs(F.col("words"))))
+        found = F.array_max(F.array(*[_stretch(F.col("pairs"), i, p, lo, hi, threshold) for i, _, p, lo, hi in known], none))
+        out = out.withColumn("found", F.when(F.col("pairs").isNotNull(), found))
+        out = out.withColumn("best", F.coalesce("best", F.when(F.col("found").isNotNull(), F.struct(F.col("found.dice").alias("dice"), (-_line_of(F.col("lines"), -F.col("found.line"))).alias("line"), F.col("found.template").alias("template")))))
+    out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "best")
     template = -F.col("best.template")
     names = F.create_map(*[x for i, name, *_ in known for x in (F.lit(i), F.lit(name))]) if known else None
     return out.select("doc_id", "n_lines", (names[template] if known else F.lit(None).cast("string")).alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.line")).cast("int").alias("line"), template.cast("int").alias("template"))
