@@ -153,6 +153,14 @@ def test_forest_finds_what_lies_apart():
     assert set(np.argsort(-s)[:2]) == {300, 301}
 
 
+def test_forest_threshold_is_of_all_rows(spark):
+    # A third of the rows are alike: a sample by their values holds all of them or none.
+    df = spark.range(3000).select(F.col("id").alias("TripId"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(1)).alias("v"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(2)).alias("w")).cache()
+    kept = clean.drop_outliers_forest(df, {"v": F.col("v"), "w": F.col("w")}, sample=300)
+    ids = {r["TripId"] for r in kept.collect()}
+    assert kept.columns == df.columns and abs(len(ids) - 2700) <= 3 and set(range(0, 3000, 3)) <= ids
+
+
 def test_pipeline_reads_no_future(spark):
     rows = [("a", T(2024, 1, 1) + dt.timedelta(hours=i), float(i % 7 + i % 3)) for i in range(80)]
     df = spark.createDataFrame(rows, "g string, t timestamp_ntz, x double")

@@ -182,21 +182,28 @@ class IsolationForest:
         return 2 ** (-total / len(self.trees) / self.norm)
 
 
-def drop_outliers_forest(df: DataFrame, features: dict[str, Column], contamination: float = 0.1, sample: int = 20_000, seed: int = 42) -> DataFrame:
-    """Rows that an isolation forest, fitted on a sample of bounded size, scores as outliers; a null counts as -1."""
+def drop_outliers_forest(df: DataFrame, features: dict[str, Column], contamination: float = 0.1, sample: int = 20_000, seed: int = 42, id_col: str = "TripId") -> DataFrame:
+    """Rows that an isolation forest scores as outliers; a null counts as -1.
+
+    Its trees are fitted on rows drawn by the hash of their id (of all columns where there is none), so equal
+    values are drawn as often as they occur. All rows are scored; the threshold is the quantile of all scores.
+    """
     wide = df.withColumns({f"_f{i}": F.coalesce(c.cast("double"), F.lit(-1.0)) for i, c in enumerate(features.values())})
     names = [f"_f{i}" for i in range(len(features))]
-    x = wide.select(*names).orderBy(F.xxhash64(*names)).limit(sample).toPandas().to_numpy()
+    keys = [id_col] if id_col in df.columns else df.columns
+    x = wide.orderBy(F.xxhash64(*keys), *names).limit(sample).select(*names).toPandas().to_numpy()
     if not len(x):
         return df
     forest = IsolationForest(contamination=contamination, seed=seed).fit(x)
 
-    @F.pandas_udf("boolean")
-    def inlier(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            yield pd.Series(forest.score(np.column_stack(cols)) <= forest.threshold)
+            yield pd.Series(forest.score(np.column_stack(cols)))
 
-    return wide.where(inlier(*names)).drop(*names)
+    scored = wide.withColumn("_score", score(*names)).drop(*names)
+    most = scored.agg(F.percentile("_score", F.lit(1 - contamination)).alias("_most"))
+    return scored.crossJoin(F.broadcast(most)).where("_score <= _most").drop("_score", "_most")
 
 
 def forest_features() -> dict[str, Column]:
