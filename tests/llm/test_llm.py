@@ -79,6 +79,33 @@ def test_op1_links(spark):
     assert vamana.near_vectors(df.where("vec_id < 0")).count() == 0 and vamana.near_vectors(df.where("vec_id = 9000")).count() == 1
 
 
+def test_op1_audit_is_by_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 16))
+    vecs = [*(b + rng.normal(size=16) * 0.02 for b in base for _ in range(2)), *(base[0] + rng.normal(size=(60, 16)) * 0.02), *rng.normal(size=(300, 16))]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vecs)]
+    unit = np.stack([vamana.unit(v) for v in vecs])
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    true = {i: int(k) for i, k in enumerate(near.sum(axis=1)) if k}
+    classes = spark.createDataFrame([(i, 1000 if i in (0, 1) else 1, unit[i].tobytes()) for i in range(len(vecs))], "rep long, w long, vec binary")
+    # Only the hot group's links were found: most of all links, few of the queries.
+    hot = {i: k for i, k in true.items() if k > 10}
+    links = spark.createDataFrame([(i, k, k) for i, k in hot.items()], "rep long, n long, k long")
+    assert sum(hot.values()) > 0.9 * sum(true.values())
+    recall, linked, drawn = vamana.audit(classes, links, 16, 0.9, queries=40, linked=10**6)
+    assert recall == pytest.approx(len(hot) / len(true)) and linked == len(true) and drawn == len(vecs)
+    assert vamana.audit(classes.where("rep >= 400"), links, 16, 0.9)[0] is None
+    # A search that finds nothing gives way to the comparison of all pairs.
+    empty = (links.where("rep < 0"), links.where("rep < 0").select(F.col("rep").alias("a"), F.col("n").alias("b")))
+    monkeypatch.setattr(vamana, "_search_links", lambda *a: empty)
+    monkeypatch.setattr(vamana, "EXACT_BLOCK", 200)
+    out = vamana.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string"))
+    got = {r["vec_id"]: r for r in out.collect()}
+    assert {i: r["n_links"] for i, r in got.items() if r["n_links"]} == true and out._tidegrid_recall[16][0] == 1.0
+    assert {i: r["component_id"] for i, r in got.items()} == components(list(got), list(zip(*(x.tolist() for x in np.nonzero(near)))))
+
+
 def test_op1_search_of_a_dense_group():
     rng = np.random.default_rng(2)
     center = rng.normal(size=32)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_sample, written
+from .common import bounded_batches, drop_written, hashed_sample, written
 from .components import connected_components
 
 #: Centroids are fitted on so many vectors at most; there is one for SHARD_ROWS vectors, and MOST_CLUSTERS at most.
@@ -32,8 +34,11 @@ ENTRIES = 96
 SLACK = 0.08
 #: (Query, node) pairs that are expanded at once.
 FRONT = 30_000
-#: Queries of the audit, and the recall below which the search is made again, wider.
-AUDIT_QUERIES, AUDIT_RECALL = 256, 0.99
+#: Queries of the audit's first draw, queries with links that it needs, and the mean recall below which the search is made again.
+AUDIT_QUERIES, AUDIT_LINKED, AUDIT_RECALL = 256, 128, 0.99
+#: Queries that are compared with all vectors in one pass.
+EXACT_BLOCK = 4096
+log = logging.getLogger(__name__)
 
 
 def unit(values) -> np.ndarray | None:
@@ -263,7 +268,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam: int, member_of: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, n): weights of the classes that each class links with; (a, b): links that connect what links connect."""
+    """(rep, n, k): weights and number of the classes that each class links with; (a, b): links that connect what links connect."""
     spark = classes.sparkSession
     n = classes.count()
     few = hashed_sample(classes.select("rep", "vec"), SAMPLE, "rep").toPandas()
@@ -308,7 +313,7 @@ def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam:
 
     def search(key, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
-            return pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
+            return pd.DataFrame({"rep": [], "n": [], "k": [], "root": []}).astype("int64")
         row = shard.iloc[0]
         ids, w = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["w"], np.int64)
         ends = np.frombuffer(row["ends"], np.int64)
@@ -323,37 +328,72 @@ def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam:
         for i, b in enumerate(queries["before"]):
             before[i, : len(b)] = b
         again = (of[x][:, :, None] == before[q][:, None, :]).any(axis=(1, 2))
-        count = np.bincount(q[~again], weights=w[x[~again]], minlength=len(reps)).astype(np.int64)
-        all_ids, inverse = np.unique(np.concatenate([reps, ids]), return_inverse=True)
-        root = _roots(len(all_ids), inverse[: len(reps)][q], inverse[len(reps) :][x])
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        some = np.flatnonzero(count)
-        return pd.DataFrame({"rep": np.concatenate([reps[some], all_ids[moved]]), "n": np.concatenate([count[some], np.zeros(len(moved), np.int64)]), "root": np.concatenate([reps[some], all_ids[root[moved]]])})
-
-    found = ask.groupBy("cluster", "sub", "block").cogroup(packed.groupBy("cluster", "sub", "block")).applyInPandas(search, "rep long, n long, root long")
-    found = written(found, "found")
-    return found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n")), found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-
-
-def audit(classes: DataFrame, links: DataFrame, dim: int, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Links found of some queries by their true number: those compare with all vectors."""
-    few = hashed_sample(classes.select("rep", "vec"), queries, "rep", "vec").toPandas()
-    if not len(few):
-        return 1.0
-    asked, reps = _matrix(few["vec"], dim), few["rep"].to_numpy()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(reps), np.int64)
+        return _summed(reps, ids, w, q, x, ~again)
+
+    found = ask.groupBy("cluster", "sub", "block").cogroup(packed.groupBy("cluster", "sub", "block")).applyInPandas(search, _FOUND)
+    return _links_of(written(found, "found"))
+
+
+_FOUND = "rep long, n long, k long, root long"
+
+
+def _summed(reps: np.ndarray, ids: np.ndarray, w: np.ndarray, q: np.ndarray, x: np.ndarray, new: np.ndarray) -> pd.DataFrame:
+    """Found pairs (places of reps, of ids) as rows of _FOUND: sums by query of those that are new, and what all connect."""
+    count = np.bincount(q[new], weights=w[x[new]], minlength=len(reps)).astype(np.int64)
+    kinds = np.bincount(q[new], minlength=len(reps))
+    all_ids, inverse = np.unique(np.concatenate([reps, ids]), return_inverse=True)
+    root = _roots(len(all_ids), inverse[: len(reps)][q], inverse[len(reps) :][x])
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    some = np.flatnonzero(count)
+    none = np.zeros(len(moved), np.int64)
+    return pd.DataFrame({"rep": np.concatenate([reps[some], all_ids[moved]]), "n": np.concatenate([count[some], none]), "k": np.concatenate([kinds[some], none]), "root": np.concatenate([reps[some], all_ids[root[moved]]])})
+
+
+def _links_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+
+
+def _compared(classes: DataFrame, dim: int, least: float, low: float, high: float) -> tuple[pd.DataFrame, DataFrame]:
+    """The queries whose hashes are in [low, high) of all, EXACT_BLOCK or so, and what comparing them with all vectors finds."""
+    place = F.xxhash64("rep", "vec").cast("double") / 2.0**64 + 0.5
+    few = classes.where((place >= low) & (place < high) if high < 1 else place >= low).select("rep", "vec").toPandas()
+    asked, reps = _matrix(few["vec"], dim), few["rep"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy()
-                near = (_matrix(batch.column(2).to_pylist(), dim) @ asked.T >= least) & (own[:, None] != reps[None, :])
-                total += (near * batch.column(1).to_numpy()[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total)], names=["rep", "n"])
+            ids, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(ids) if len(reps) else 0, 2000):
+                own, vecs = ids[at : at + 2000], _matrix(batch.column(2).slice(at, 2000).to_pylist(), dim)
+                q, x = np.nonzero((asked @ vecs.T >= least) & (reps[:, None] != own[None, :]))
+                yield pa.RecordBatch.from_pandas(_summed(reps, own, w[at : at + 2000], q, x, np.ones(len(q), bool)), preserve_index=False)
+
+    return few, written(classes.select("rep", "w", "vec").mapInArrow(run, _FOUND), "exact")
+
 
-    true = classes.select("rep", "w", "vec").mapInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    got = true.join(links.withColumnRenamed("n", "m"), "rep", "left").agg(F.sum("n").alias("n"), F.sum(F.least(F.coalesce("m", F.lit(0)), "n")).alias("m")).first()
-    return got["m"] / got["n"] if got["n"] else 1.0
+def _exact_links(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """As _search_links(), of all pairs: blocks of queries, one after another, compare with all vectors."""
+    blocks = max(1, -(-classes.count() // EXACT_BLOCK))
+    found = [_compared(classes, dim, least, i / blocks, (i + 1) / blocks)[1] for i in range(blocks)]
+    return _links_of(functools.reduce(DataFrame.unionByName, found))
+
+
+def audit(classes: DataFrame, links: DataFrame, dim: int, least: float, queries: int = AUDIT_QUERIES, linked: int = AUDIT_LINKED) -> tuple[float | None, int, int]:
+    """Mean share of their classes that queries found, queries with links, queries drawn. Copies count once.
+
+    Queries are drawn, and compared with all vectors, until `linked` have links or all are drawn; the mean is
+    None where none has. A query that found more than there is counts as whole.
+    """
+    n, low, total, some, drawn = classes.count(), 0.0, 0.0, 0, 0
+    size = queries
+    while low < 1 and some < linked:
+        high = min(1.0, low + size / max(1, n))
+        few, found = _compared(classes, dim, least, low, high)
+        true = found.where("n > 0").groupBy("rep").agg(F.sum("k").alias("true"))
+        got = true.join(links.select("rep", "k"), "rep", "left").agg(F.count("*").alias("c"), F.sum(F.least(F.coalesce("k", F.lit(0)) / F.col("true"), F.lit(1.0))).alias("s")).first()
+        total, some, drawn = total + (got["s"] or 0.0), some + got["c"], drawn + len(few)
+        drop_written(found)
+        low, size = high, min(2 * size, EXACT_BLOCK)
+    return total / some if some else None, some, drawn
 
 
 def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -364,8 +404,10 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
 
     Vectors equal once at length 1 are a class. Each class is a member of its nearest clusters' shards. A
     graph is built in each shard, the lists of a class that several shards hold are united, and each class
-    searches the clusters nearest to it. All found links are exact; an audit of bounded size measures recall
-    and, below AUDIT_RECALL, has the search made once more with more clusters and a wider beam.
+    searches the clusters nearest to it. A search doesn't leave its clusters. All found links are exact; an audit
+    measures the mean recall of queries that have links and, below AUDIT_RECALL, has the search made once more with
+    more clusters and a wider beam, and then all pairs compared in blocks. The result's _tidegrid_recall has, by
+    dimension, the recall, the queries with links and the queries that the audit drew; recall None: nothing has links.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do
     vectors of unequal length. A row with a null id links with nothing: component_id is null, kept true. Rows
@@ -375,13 +417,19 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     rows = written(_prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))), "vectors")
     valid = rows.where("digest IS NOT NULL AND vec_id IS NOT NULL")
     classes = written(valid.groupBy("dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec")), "classes")
-    counts, edges = None, None
+    counts, edges, recall = None, None, {}
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):  # few: vectors of one model have one
         own = classes.where(F.col("dim") == dim)
         for probes, beam, member_of in ((PROBES, BEAM, MEMBER_OF), (3 * PROBES, 4 * BEAM, 2 * MEMBER_OF)):
             n, e = _search_links(own, dim, least, probes, beam, member_of)
-            if audit(own, n, dim, least) >= AUDIT_RECALL:
+            recall[dim] = audit(own, n, dim, least)
+            log.info("dimension %d, beam %d: recall %s, mean of %d queries with links out of %d", dim, beam, *recall[dim])
+            if recall[dim][0] is None or recall[dim][0] >= AUDIT_RECALL:
                 break
+        else:
+            n, e = _exact_links(own, dim, least)
+            recall[dim] = (1.0, *recall[dim][1:])
+            log.warning("dimension %d: the search misses the bound on recall; all pairs were compared", dim)
         n = n.withColumn("dim", F.lit(dim))
         counts, edges = (n, e) if counts is None else (counts.unionByName(n), edges.unionByName(e))
     if counts is None:
@@ -391,4 +439,6 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     known = written(known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "classes")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out._tidegrid_recall = recall
+    return out
