@@ -56,6 +56,14 @@ def test_components(spark):
     assert connected_components(df.where("a < 0")).count() == 0
 
 
+def test_sample_is_of_least_hashes(spark):
+    df = spark.range(4000).withColumn("h", F.xxhash64("id"))
+    want = sorted((r["h"], r["id"]) for r in df.collect())[:1000]
+    for parts in (1, 7):
+        got = common.hashed_sample(df.repartition(parts, F.col("id") % 13), 1000, "id").collect()
+        assert sorted((r["h"], r["id"]) for r in got) == want
+
+
 def test_op1_links(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 16))

@@ -93,10 +93,12 @@ def spread(rows: DataFrame, most: int = 20_000) -> int:
 
 
 def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """About n rows, n at most, whose hashes are least by a bound that the number of rows sets.
+    """The n rows, or about so many, whose hashes are least: the same in each run.
 
-    Unlike orderBy(...).limit(n), no task keeps, and the driver never gets, n rows of each partition.
+    A bound that the number of rows sets leaves about 1.2 n, which alone are sorted, by hash and keys. So,
+    unlike orderBy(...).limit(n) over all rows, no task keeps, and the driver never gets, n rows of each partition.
     """
     share = 1.2 * n / max(1, df.count())
-    place = F.xxhash64(*keys).cast("double") / 2.0**64 + 0.5
-    return (df.where(place < share) if share < 1 else df).limit(n)
+    hashed = F.xxhash64(*keys)
+    place = hashed.cast("double") / 2.0**64 + 0.5
+    return (df.where(place < share) if share < 1 else df).orderBy(hashed, *keys).limit(n)
