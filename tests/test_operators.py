@@ -140,6 +140,23 @@ def test_models_learn_and_persist(spark, tmp_path):
         models.estimator("regression", "magic")
 
 
+@pytest.mark.parametrize("name, kind", [("gbt_forecast", "gbt"), ("rf_forecast", "rf"), ("rf_demand_levels", "rf"), ("scalability_curve", "rf")])
+def test_model_queries_train_whole_models(spark, tmp_path, monkeypatch, name, kind):
+    rows = [(f"e{i % 2}", T(2024, 1, 1) + dt.timedelta(hours=i // 2), float(i % 9)) for i in range(400)]
+    spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+
+    class Seen(Exception):
+        pass
+
+    def estimator(task, kind, params=None, seed=42):
+        raise Seen(kind, params)
+
+    monkeypatch.setattr(models, "estimator", estimator)
+    with pytest.raises(Seen) as e:
+        catalog.QUERIES[name](spark, str(tmp_path))
+    assert e.value.args[0] == kind and e.value.args[1] == models.DEFAULTS
+
+
 def test_search_closes_in():
     best, value, log = models.search(lambda p: (p["learning_rate"] - 0.1) ** 2, 30)
     assert abs(best["learning_rate"] - 0.1) < 0.05 and len(log) == 30 and value == min(x["value"] for x in log)

@@ -98,7 +98,7 @@ def _supervised(spark, d):
 
 def _fit_predict(spark, d, kind):
     s = _supervised(spark, d)
-    m = models.train(s.where("split = 'train'"), FEATURES, ["target_crowd"], Task.REGRESSION, kind, {"n_estimators": 10, "max_depth": 4})
+    m = models.train(s.where("split = 'train'"), FEATURES, ["target_crowd"], Task.REGRESSION, kind, models.DEFAULTS)
     return m.transform(s.where("split = 'test'"), positive=True, whole=True).select("district_id", "timestamp", "target_crowd", "pred_target_crowd")
 
 
@@ -118,11 +118,11 @@ def rf_demand_levels(spark, d):
     levels = learned.demand_levels(s.where("split = 'train'"), "target_crowd", 3, GROUPS, ("timestamp",))
     edges = learned.level_edges(levels, "target_crowd", GROUPS, upper_only=True)
     s = learned.apply_levels(s, "target_crowd", edges, GROUPS)
-    m = models.train(s.where("split = 'train'"), FEATURES, ["mask"], Task.CLASSIFICATION, "rf", {"n_estimators": 10, "max_depth": 4})
+    m = models.train(s.where("split = 'train'"), FEATURES, ["mask"], Task.CLASSIFICATION, "rf", models.DEFAULTS)
     return m.transform(s.where("split = 'test'")).select("district_id", "timestamp", "mask", F.col("pred_mask").cast("int").alias("pred_mask"))
 
 
 @query()
 def scalability_curve(spark, d):
     s = split.increments(_supervised(spark, d), "timestamp", 3)
-    return models.learning_curve(s, 3, FEATURES, "target_crowd", GROUPS, "rf", {"n_estimators": 5, "max_depth": 3})
+    return models.learning_curve(s, 3, FEATURES, "target_crowd", GROUPS, "rf", models.DEFAULTS)
