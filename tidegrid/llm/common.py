@@ -4,18 +4,34 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words whose hashes a Python worker keeps, for all operators together: some 25 MB.
+KEPT_WORDS = 200_000
 _written: dict[str, SparkSession] = {}
 
 
+class _Hashes(dict):
+    def __missing__(self, word) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _Hashes()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,9 +46,35 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def column_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of byte_words(), as strings, of all texts one after another, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    ends = np.cumsum(sizes)
+    kept = np.concatenate([[0], np.cumsum(full)])
+    return words.filter(pa.array(full)), kept[ends] - kept[ends - sizes]
+
+
+def release_memory() -> None:
+    """Gives back what a Python worker has freed: Arrow and the C library would keep it, in each of several idle workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def word_hashes(words: list) -> np.ndarray:
+    """64-bit hashes of words, as bytes or as strings. Words of one text alone can exceed the bound, until the next text."""
+    if len(_hashes) > KEPT_WORDS:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a local one is made if driver and executors are one process; else that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a folder that they share")
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='tidegrid-')}"
         spark.sparkContext._conf.set("spark.checkpoint.dir", where)
@@ -74,10 +116,16 @@ def drop_written(df: DataFrame) -> None:
     forget(df._tidegrid_path)
 
 
-def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
-    """Rows that go to Python at once: so many, and 64 MB, at most. Long texts then don't pile up."""
+def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+    """Rows that go to Python at once: so many, and so many bytes, at most. Long texts then don't pile up.
+
+    The session keeps these settings, as results are evaluated after the operator returns.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if now <= 0 or now > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def filesystem(uri: str):

@@ -8,11 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_sample
+from .common import bounded_batches, hashed_sample, word_hashes
 
 #: n-grams of one and two tokens are hashed to so many buckets.
 BUCKETS = 1 << 17
@@ -28,27 +27,12 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-class _Hashes(dict):
-    def __missing__(self, word) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _hash_all(words: list) -> np.ndarray:
-    if len(_hashes) > 800_000:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in a window of so many words found twice or more in the text, its first place included."""
     n = len(words) - window + 1
     if n < 2:
         return 0
-    h = _hash_all(words)
+    h = word_hashes(words)
     x = np.zeros(n, np.uint64)
     for i in range(window):
         x = (x ^ h[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +62,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 def buckets_of(text: str | None, buckets: int) -> np.ndarray:
     """The buckets of all n-grams of a text's tokens: runs of letters and digits, runs of other signs."""
-    h = _hash_all(_TOKEN.findall((text or "").lower()))
+    h = word_hashes(_TOKEN.findall((text or "").lower()))
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     pair ^= pair >> np.uint64(31)
     return (np.concatenate([h, pair]) % np.uint64(buckets)).astype(np.int64)

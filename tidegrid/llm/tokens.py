@@ -1,4 +1,8 @@
-"""Texts to token ids by a public tokenizer's own code, encoding each distinct stretch between spaces once."""
+"""Texts to token ids by a public tokenizer's own code, encoding each distinct piece of a text once.
+
+Texts are cut before each lone space, and these stretches are numbered natively, a column at a time. Distinct
+stretches fall into pieces at places where the tokenizers here can't but cut; pieces seen before are looked up.
+"""
 
 from __future__ import annotations
 
@@ -6,89 +10,217 @@ import functools
 import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import release_memory
+
 #: A lone space between two characters that aren't white space. In byte-level and word-end BPE alike no
 #: token, and nothing that decides on a token, reaches across the left side of such a space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_TWO_SPACES = re.compile(r"\s\s")
-_MISSES_AT_ONCE = 50_000
-_LONG = 64
+#: What Python calls white space, for a native search: a text with two in a row, or with a space at an end, is cut by _LONE_SPACE.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ODD = rf"^ | $|{_WHITE}{_WHITE}"
+#: Both tokenizers end a run of letters before these signs, and white space before a letter. Natively a mark goes in between.
+_CUT = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=\n)(?=[A-Za-z])")
+_MARK = "\x1f"
+_MARKED = [(r"([A-Za-z])([.,;:!?\n])", rf"\1{_MARK}\2"), (r"\n([A-Za-z])", f"\n{_MARK}\\1")]
+#: Pieces that are encoded as one text, characters of a piece that is kept, stretches whose ids are gathered at once.
+_TOGETHER, _LONG, _GATHER = 64, 64, 1 << 17
+#: Bytes of texts that are encoded at once.
+GROUP_BYTES = 6 << 20
 
 
-def stretches(text: str) -> list[str]:
-    """The text cut before each lone space, without those spaces."""
-    if _TWO_SPACES.search(text) or text[0] == " " or text[-1] == " ":
-        return _LONE_SPACE.split(text)
-    return text.split(" ")  # all its spaces are lone
+def _gathered(store: np.ndarray, starts: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Runs of store, each given by its number among the starts and lengths."""
+    out, end = np.empty(int(lengths[place].sum()), store.dtype), 0
+    for k in range(0, len(place), _GATHER):
+        p = place[k : k + _GATHER]
+        m = lengths[p]
+        n = int(m.sum())
+        out[end : end + n] = store[np.repeat(starts[p] - (np.cumsum(m) - m), m) + np.arange(n)]
+        end += n
+    return out
 
 
 class Encoder:
-    """encode() gives the ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) would."""
+    """Gives the ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) would.
+
+    cache_items: pieces that are kept, some 40 bytes each; once there are more, only those of the latest texts stay.
+    """
 
-    def __init__(self, path: str, cache_items: int = 800_000) -> None:
-        self.tokenizer = self._load(path)
+    def __init__(self, path: str, cache_items: int = 500_000) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache_items = cache_items
-        self.cache: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.store, self.starts, self.lengths = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
         # A tokenizer that lower-cases all reads A-Z as a-z: then fewer stretches are distinct.
         self.folds = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
-        # One that cuts at a special token: it divides stretches that don't hold its string.
-        self.cutter = self._load(path)
-        self.mark, self.mark_id = max(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), key=lambda x: x[1], default=("", -1))
-
-    @staticmethod
-    def _load(path: str) -> Tokenizer:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return tokenizer
-
-    def _encode_stretches(self, some: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(some), _MISSES_AT_ONCE):
-            out += self._joined(some[k : k + _MISSES_AT_ONCE])
+        # Where pieces that are encoded together begin or end.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = bool(suffix)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith(suffix) if suffix else token.startswith("Ġ")
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+
+    def _native(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+    def _together(self, pieces: list[str], between: str) -> np.ndarray:
+        """Ids of pieces that are encoded _TOGETHER as one text; not all at once, as an encoding is a hundred times larger than its ids."""
+        out = []
+        for at in range(0, len(pieces), 64 * _TOGETHER):
+            some = pieces[at : at + 64 * _TOGETHER]
+            got = self.tokenizer.encode_batch_fast([between.join(some[k : k + _TOGETHER]) + between for k in range(0, len(some), _TOGETHER)], add_special_tokens=False)
+            out.append(np.fromiter(itertools.chain.from_iterable(x.ids for x in got), "<u4"))
+        return np.concatenate(out) if out else np.empty(0, "<u4")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that are a space and letters each: so many tokens begin with the space, or end the word."""
+        ids = self._together(words, "")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self._native(words)
+        cuts = [0, *(at + 1).tolist()] if self.ends else [*at.tolist(), len(ids)]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(cuts)]
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space but for a space before them, which stand in a line each."""
+        if self.line < 0:
+            return self._native(pieces)
+        ids = self._together(pieces, "\n")
+        at = np.flatnonzero(ids == self.line).tolist()
+        if len(at) != len(pieces):
+            return self._native(pieces)
+        raw = ids.tobytes()
+        return [raw[4 * a + 4 : 4 * b] for a, b in itertools.pairwise([-1, *at])]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        kinds: tuple[list, list, list] = ([], [], [])
+        for i, p in enumerate(pieces):
+            own = p[1:] if p[:1] == " " else p
+            kinds[0 if own.isalpha() and (own is not p or self.ends) and len(p) <= _LONG else 1 if p and len(own.split()) == 1 and own.strip() == own else 2].append(i)
+        out = [b""] * len(pieces)
+        for some, encode in zip(kinds, (lambda x: self._words([p if p[0] == " " else f" {p}" for p in x]), self._lines, self._native)):
+            for i, ids in zip(some, encode([pieces[i] for i in some])):
+                out[i] = ids
         return out
 
-    def _joined(self, some: list[str]) -> list[bytes]:
-        text = self.mark.join(some)
-        if not self.mark or text.count("<|") != (len(some) - 1) * self.mark.count("<|"):
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            return [np.asarray(x.ids, dtype="<u4").tobytes() for x in got]
-        ids = np.asarray(self.cutter.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        raw, out, last = ids.tobytes(), [], 0
-        for end in np.flatnonzero(ids == self.mark_id).tolist():
-            out.append(raw[4 * last : 4 * end])
-            last = end + 1
-        return [*out, raw[4 * last :]]
+    def _looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A store of ids, and where in it those of distinct pieces start and how many there are."""
+        found = pc.index_in(pieces, value_set=self.known)
+        missing = pieces.filter(found.is_null())
+        ids = self._encoded(missing.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store = np.concatenate([self.store, np.frombuffer(b"".join(ids), "<u4")])
+        starts = np.concatenate([self.starts, len(self.store) + np.cumsum(lengths) - lengths])
+        lengths = np.concatenate([self.lengths, lengths])
+        place = found.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), 0, place).astype(np.int64) if found.null_count else place.astype(np.int64)
+        place[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+        short = pc.less_equal(pc.utf8_length(missing), _LONG).to_numpy(zero_copy_only=False)
+        if len(self.known) + len(missing) <= self.cache_items and short.all():
+            self.known = pa.concat_arrays([self.known, missing])
+            self.store, self.starts, self.lengths = store, starts, lengths
+        else:
+            kept = pc.less_equal(pc.utf8_length(pieces), _LONG).to_numpy(zero_copy_only=False)
+            if len(self.known) + len(missing) <= self.cache_items:  # all but the long ones
+                kept = np.concatenate([np.arange(len(self.known)), len(self.known) + np.flatnonzero(short)])
+                names = pa.concat_arrays([self.known, missing.filter(pa.array(short))])
+            else:
+                names, kept = pieces.filter(pa.array(kept)), place[kept]
+            self.known, self.lengths = names, lengths[kept]
+            self.store = _gathered(store, starts, lengths, kept)
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        return store, starts[place], lengths[place]
+
+    def _coded(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stretches one after another, with the space before those that have one, and the number of each one's."""
+        if pc.any(pc.match_substring(stretches, _MARK)).as_py():
+            split = pa.array([_CUT.split(s) for s in stretches.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            for pattern, by in _MARKED:
+                stretches = pc.replace_substring_regex(stretches, pattern, by)
+            split = pc.split_pattern(stretches, _MARK)
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        store, begin, lengths = self._looked_up(coded.dictionary)
+        place = coded.indices.to_numpy()
+        counts = np.add.reduceat(lengths[place], np.cumsum(sizes) - sizes)
+        return _gathered(store, begin, lengths, place), counts
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of each text's; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.folds:
+            texts = pc.ascii_lower(texts)
+        counts = np.zeros(len(texts), np.int64)
+        full = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) & full
+        rows = np.concatenate([np.flatnonzero(full & ~odd), np.flatnonzero(odd)])
+        if not len(rows):
+            return np.empty(0, "<u4"), counts
+        lists = [pc.split_pattern(texts.filter(pa.array(full & ~odd)), " ")]
+        if odd.any():
+            lists.append(pa.array([_LONE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists[0].type))
+        sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        coded = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+        place, words = coded.indices.to_numpy().copy(), coded.dictionary
+        # The first stretch of a text has no space before it: those are numbered after the others.
+        starts = np.cumsum(sizes) - sizes
+        heads, inverse = np.unique(place[starts], return_inverse=True)
+        place[starts] = len(words) + inverse
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+        store, lengths = self._coded(pa.concat_arrays([spaced, words.take(pa.array(heads))]))
+        if odd.any():  # stretches in the order of the texts
+            order = np.argsort(rows, kind="stable")
+            sizes, starts, rows = sizes[order], starts[order], rows[order]
+            place = place[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            starts = np.cumsum(sizes) - sizes
+        counts[rows] = np.add.reduceat(lengths[place], starts)
+        return _gathered(store, np.cumsum(lengths) - lengths, lengths, place), counts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        if self.folds:
-            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if t else t for t in texts]
-        split = [stretches(t) if t else [] for t in texts]
-        heads = [words[0] for words in split if words]
-        for words in split:
-            if words:
-                words[0] = ""
-        cache = self.cache
-        if len(cache) > self.cache_items:
-            cache.clear()
-        new = list(set(itertools.chain.from_iterable(split)).difference(cache))
-        coded = self._encode_stretches([*heads, *(f" {w}" for w in new)])
-        cache.update(zip(new, coded[len(heads) :]))
-        cache[""] = b""
-        first = iter(coded)
-        out = [next(first) + b"".join(map(cache.__getitem__, words)) if words else b"" for words in split]
-        for w in new:
-            if len(w) > _LONG:
-                del cache[w]
-        return out
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
+    """One for each Python worker."""
     return Encoder(path)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, of most bytes of a text column or one batch more: the more texts, the fewer of their stretches are distinct."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if size >= most:
+                whole, held, size = joined(), [], 0
+                yield whole
+                del whole
+                release_memory()
+    if held:
+        yield joined()
+        held = []
+    release_memory()
