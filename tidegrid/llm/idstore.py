@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, hashed_sample, new_path, spread, written
-from .tokens import encoder
+from .common import bounded_batches, drop_written, filesystem, hashed_sample, new_path, spread, written
+from .tokens import encoder, grouped
 
 MAGIC = b"TGIDS1\0\0"
 _HEAD, _TAIL = "<8s32sB7x", "<QQ8s"
@@ -40,8 +40,10 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4096, 64 * 1024
 DOCS_PER_READ = 4000
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+def _narrow(ids: np.ndarray, width: int) -> np.ndarray:
+    if width == 2 and len(ids) and ids.max() > 0xFFFF:
+        raise ValueError("ids over 65535 need id_width=4")
+    return ids.astype("<u2") if width == 2 else ids
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -67,45 +69,61 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_wid
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     few = hashed_sample(rows, sample_docs, "doc_id", "text").where(F.length("text") > 0).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
     end = struct.pack("<I", end_id)
-    dictionary = train_dictionary([_narrow(x + end, id_width)[:SAMPLE_BYTES] for x in encoder(tokenizer).encode([r["text"] for r in few])])
+    dictionary = train_dictionary([_narrow(np.frombuffer(x + end, "<u4"), id_width).tobytes()[:SAMPLE_BYTES] for x in encoder(tokenizer).encode([r["text"] for r in few])])
     where, folder = filesystem(path)
     where.create_dir(folder, recursive=True)
     with where.open_output_stream(f"{folder}/dictionary") as out:
         out.write(dictionary)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = filesystem(path)
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if shared:
             shared.precompute_compress(level=3)  # else each document's frame would digest the dictionary anew
-        press = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
-        number, name = TaskContext.get().partitionId(), ""
-        offsets, counts, ids, at, out = [], [], [], _HEAD_SIZE, None
+        own = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
+        last = _narrow(np.frombuffer(end, "<u4"), id_width).tobytes()
+        for batch in grouped(batches, 1):
+            ids, counts = encoder(tokenizer).encode_column(batch.column(1))
+            raw, at, frames = memoryview(_narrow(ids, id_width)).cast("B"), 0, []
+            del ids
+            for n in (counts * id_width).tolist():
+                frames.append(own.compress(bytes(raw[at : at + n]) + last))
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = filesystem(path)
+        number, name, at, out = TaskContext.get().partitionId(), "", _HEAD_SIZE, None
+        ids, counts, sizes = [], [], []
         for batch in batches:
-            if out is None and batch.num_rows:
+            if not batch.num_rows:
+                continue
+            if out is None:
                 name = f"part-{number:06d}-{uuid.uuid4().hex}.ids"
                 out = target.open_output_stream(f"{base}/{name}")
                 out.write(struct.pack(_HEAD, MAGIC, hashlib.sha256(dictionary).digest(), id_width))
-            for x in encoder(tokenizer).encode(batch.column(1).to_pylist()):
-                frame = press.compress(_narrow(x + end, id_width))
-                out.write(frame)
-                offsets.append(at)
-                counts.append(len(x) // 4 + 1)
-                at += len(frame)
+            for frame in batch.column(2):
+                out.write(frame.as_buffer())
             ids.append(batch.column(0))
+            counts.append(batch.column(1).to_numpy())
+            sizes.append(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
         if out is None:
             return
-        names = pa.chunked_array(ids, pa.int64()).combine_chunks()
-        out.write(np.array([*offsets, at], "<u8").tobytes() + np.array(counts, "<u8").tobytes())
+        names, n_tokens = pa.chunked_array(ids, pa.int64()).combine_chunks(), np.concatenate(counts)
+        offsets = np.cumsum(np.concatenate([[at], *sizes]))
+        out.write(offsets.astype("<u8").tobytes() + n_tokens.astype("<u8").tobytes())
         out.write(pc.fill_null(names, 0).to_numpy().astype("<i8").tobytes() + pc.is_null(names).cast(pa.uint8()).to_numpy().tobytes())
-        out.write(struct.pack(_TAIL, len(counts), at, MAGIC))
+        out.write(struct.pack(_TAIL, len(n_tokens), int(offsets[-1]), MAGIC))
         out.close()
-        for first in range(0, len(counts), DOCS_PER_READ):
-            some = counts[first : first + DOCS_PER_READ]
-            yield pa.RecordBatch.from_pydict({"file": [name], "number": [number], "first": [first], "n_docs": [len(some)], "n_tokens": [sum(some)]})
-
-    done = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "file string, number long, first long, n_docs long, n_tokens long")
-    return written(done, "ids-manifest")
+        for first in range(0, len(n_tokens), DOCS_PER_READ):
+            some = n_tokens[first : first + DOCS_PER_READ]
+            yield pa.RecordBatch.from_pydict({"file": [name], "number": [number], "first": [first], "n_docs": [len(some)], "n_tokens": [int(some.sum())]})
+
+    # Encoded where they are read: only frames travel, and the sort's sample of ids doesn't encode again.
+    frames = written(rows.mapInArrow(press, "doc_id long, n_tokens long, frame binary"), "id-frames")
+    done = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "file string, number long, first long, n_docs long, n_tokens long")
+    manifest = written(done, "ids-manifest")
+    drop_written(frames)
+    return manifest
 
 
 def _read_block(where, folder: str, file: str, first: int, n: int, dictionary: bytes) -> Iterator[tuple[int | None, bytes]]:
