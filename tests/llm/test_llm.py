@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,7 +53,7 @@ def test_components(spark):
     df = spark.createDataFrame([*links, (None, 3), *links[:3]], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     want = components({x for p in links for x in p}, links)
-    assert got == {k: v for k, v in want.items() if k != 0 or True and (k in got)} and set(got) == set(want)
+    assert got == want
     assert connected_components(df.where("a < 0")).count() == 0
 
 
@@ -163,10 +164,6 @@ def test_op2_notices_in_longer_texts(spark):
     for i, (name, line) in want.items():
         assert got[i]["license"] == name and got[i]["line"] == line and got[i]["dice"] >= 0.8, (i, got[i])
     assert got[100]["license"] is None and got[100]["n_lines"] == 3
-    for t in licenses.TEMPLATES:
-        p = licenses.template_pairs(t.text)
-        low, _ = licenses.size_bounds(len(p), 0.8)
-        assert sum(not set(x.split()) & set(licenses.needed_words(p, low)) for x in p) < low
 
 
 def test_op3_archives(spark):
@@ -255,7 +252,34 @@ def test_op5_sketches_merge_and_estimate():
     assert (np.maximum(setsketch.registers(a), setsketch.registers(b)) == setsketch.registers(x)).all()
     j = len(np.intersect1d(a, b)) / len(x)
     est = setsketch.joint_estimate(setsketch.registers(a)[None], setsketch.registers(b)[None], np.array([500.0]), np.array([540.0]))[0]
-    assert abs(est - j) < 0.15 and setsketch.fine_near(setsketch.fine_bits(a), setsketch.fine_bits(b), j - 0.06) and not setsketch.fine_near(setsketch.fine_bits(a), setsketch.fine_bits(b), j + 0.08)
+    assert abs(est - j) < 0.15
+
+
+def test_op5_links_among_rows():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.r_[b[: int(rng.integers(200, len(b) + 1))], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)]) for b in base for _ in range(25)]
+    sets += [np.array([7], np.uint64)] * 2
+    labels = np.array([i if i % 3 else 0 for i in range(len(sets))])
+    true = [(i, j) for i in range(len(sets)) for j in range(i) if setsketch.similar(set(sets[i].tolist()), set(sets[j].tolist()), 80)]
+    same = [(i, 0) for i in range(len(sets)) if labels[i] == 0]
+    found = setsketch.links_among(labels, sets, 80)
+    assert {tuple(sorted(x, reverse=True)) for x in found} <= set(true) and len(found) < len(sets)
+    assert components(range(len(sets)), found + same) == components(range(len(sets)), true + same)
+
+
+@pytest.mark.parametrize("rows, turns", [(12, 3), (6, 1), (4, 0)])
+def test_op5_large_buckets_are_dealt(spark, monkeypatch, rows, turns):
+    monkeypatch.setattr(setsketch, "TURNS", turns)
+    docs_ = near_copies(9)
+    # One passage that all hold: buckets of documents that aren't similar.
+    shared = " ".join(f"s{k}" for k in range(150))
+    docs_ += [(5000 + i, f"{shared} " + " ".join(f"u{i}x{k}" for k in range(90 + i % 7)), "s") for i in range(60)]
+    docs_ += [(6000 + i, docs_[-1 - 2 * i][1] + " tail", "s") for i in range(10)]
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs(spark, docs_), k=2, bucket_rows=rows).collect()}
+    sets = {i: setsketch.shingle_set(common.byte_words(t), 2) for i, t, _ in docs_}
+    ids = list(sets)
+    assert got == components(ids, [(a, b) for x, a in enumerate(ids) for b in ids[:x] if setsketch.similar(sets[a], sets[b], 80)])
 
 
 @pytest.mark.parametrize("head", [1 << 18, 50])
@@ -281,14 +305,36 @@ def test_op6_probabilities_sum_to_one(spark):
     df = docs(spark, [(i, f"a b a c d {i % 3} e", "s") for i in range(40)])
     counts = common.written(maxent.count_tokens(df.select("text")), "counts")
     model = maxent.train(df.select("text"), maxent.start_model(counts))
-    places = model.places()
+    places = dict(zip("acd", model.places(pa.array(["a", "c", "d"], pa.large_string())).tolist()))
     rare = (0.5 / (model.rare_total + 0.5 * (model.distinct - model.n_model + 1)))
-    for before in ([], [places[b"a"]], [places[b"c"], places[b"d"]]):
+    for before in ([], [places["a"]], [places["c"], places["d"]]):
         p = [maxent.log_probabilities(model, np.array([*before, w]), np.array([0]))[-1] for w in range(model.n_model)]
         unknown = maxent.log_probabilities(model, np.array([*before, -1]), np.array([0]))[-1]
         assert sum(10**x for x in p) + 10**unknown * rare == pytest.approx(1, abs=1e-4)
 
 
+def test_op6_tree():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 20, 21, 500):
+        mass = rng.integers(1, 1000, n).astype(float)
+        nodes, digits, outcomes = maxent.tree(mass, 5)
+        paths = [tuple((a, d) for a, d in zip(x, y) if a >= 0) for x, y in zip(nodes.tolist(), digits.tolist())]
+        assert len(set(paths)) == n and all(p[0][0] == 0 for p in paths)
+        for p, m in zip(paths, mass):
+            assert outcomes[p[-1][0], p[-1][1]] == m
+            for (a, d), (b, _) in zip(p, p[1:]):
+                assert outcomes[a, d] == pytest.approx(outcomes[b].sum())
+        assert outcomes[0].sum() == pytest.approx(mass.sum())
+        assert max(mass) == 0 or len(paths[int(mass.argmax())]) == min(map(len, paths))
+
+
+def test_op6_same_weights_in_any_layout(spark):
+    df = docs(spark, corpus(n=60)).select("text")
+    counts = common.written(maxent.count_tokens(df), "counts")
+    one, two = (maxent.train(df.repartition(3, "text").sortWithinPartitions("text"), maxent.start_model(counts), task_tokens=n).table for n in (1500, 1500))
+    assert (one == two).all() and np.abs(one).sum() > 0
+
+
 def test_op6_whole_head_has_paths(spark):
     words = [f"w{i}" for i in range(9000)]
     df = docs(spark, [(i, " ".join(words[i::30]) + " a b" * 10, "s") for i in range(30)])
@@ -296,11 +342,11 @@ def test_op6_whole_head_has_paths(spark):
     model = maxent.train(df.select("text"), maxent.start_model(counts), task_tokens=2500)
     ids = np.arange(model.n_head)
     assert model.n_model == model.n_head == model.distinct == 9003 and model.rare_total == 0
-    assert len(set(zip(*(d.tolist() for d in maxent.digits(ids, model.n_model, model.depth))))) == 9003
+    assert len(set(zip(model.nodes[ids, 0].tolist(), map(tuple, model.nodes[ids].tolist()), map(tuple, model.digits[ids].tolist())))) == 9003
     assert len(set(maxent._context(ids, np.array([0]), model.n_model)[0].tolist())) == 9003
     p = maxent.log_probabilities(model, np.r_[ids, -1], np.arange(len(ids) + 1))  # each at a document's start
     assert (10 ** p[:-1]).sum() + 10 ** p[-1] * 0.5 / 0.5 == pytest.approx(1, abs=1e-4)
-    assert all(np.abs(t).sum() for t in model.tables) and len(maxent.score_documents(df).collect()) == 30
+    assert np.abs(model.table).sum() and len(maxent.score_documents(df).collect()) == 30
     assert [maxent.slices_of(n) for n in (0, 3_000_000, 9_000_000, 96_000_000)] == [(1, 1), (1, 1), (2, 2), (6, 6)]
 
 
@@ -341,10 +387,40 @@ def test_op7_packing(spark):
 def test_op7_evolution_never_loses_to_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(5):
-        sizes = sorted(rng.integers(150, 600, 200).tolist(), reverse=True)
+        sizes = np.sort(rng.integers(150, 600, 200))[::-1].copy()
         first = packing.seeds(sizes, 1000, 6, rng)
         best = packing.evolve(first, sizes, 1000, 30, rng)[0]
-        assert len(best) <= len(first[0]) and sorted(i for b in best for i in b) == list(range(200)) and max(packing._fills(best, sizes)) <= 1000
+        assert best.max() <= first[0].max() and len(best) == 200 and packing.bin_fills(best, sizes).min() > 0 and packing.bin_fills(best, sizes).max() <= 1000
+
+
+def triplets(n, capacity, rng):
+    """Sizes that fill n bins by threes, without a rest."""
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(int(0.38 * capacity), int(0.49 * capacity)))
+        b = int(rng.integers(capacity // 4, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return np.sort(out)[::-1].copy()
+
+
+def test_op7_evolution_beats_best_fit(spark):
+    rng = np.random.default_rng(2)
+    for n in (20, 40, 80):
+        sizes = triplets(n, 1000, rng)
+        first = packing.seeds(sizes, 1000, packing.POPULATION, rng)
+        best = packing.evolve(first, sizes, 1000, packing.GENERATIONS, rng)[0]
+        assert best.max() + 1 <= n + 1 < min(p.max() + 1 for p in first) and packing.bin_fills(best, sizes).max() <= 1000
+    # Islands: the elite of one comes to the next, so more epochs are never worse.
+    pieces = spark.createDataFrame([(k, 0, 0, int(x), 0, k) for k, x in enumerate(triplets(60, 1000, rng))], packing._PIECES)
+    count = [packing.pack(pieces, 1000, epochs=e, generations=4).select("sequence_id").distinct().count() for e in (1, 4)]
+    assert count[1] <= count[0] < 68
+
+
+def test_op7_fills_as_far_as_can_be():
+    sizes = np.array([7, 5, 4, 3, 3])
+    for room in range(25):
+        best = max(sum(sizes[k] for k in range(5) if m >> k & 1) for m in range(32) if sum(sizes[k] for k in range(5) if m >> k & 1) <= room)
+        assert sizes[packing.fullest(list(range(5)), sizes, room)].sum() == best
 
 
 def test_op8_mix(spark):
