@@ -1,54 +1,50 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Each word of the head has a path of three digits or more, as many as the head needs: class, groups in the class,
-word in the last group. Each digit is a softmax over WIDTH outcomes; its weights are rows of hashed tables, one
-row for each n-gram or skip feature of the words before, given the digits before. The last class holds all words
-beyond the head: there the word's share is that of its count. So the probabilities of all words, with one unknown,
-sum to one.
+Words of the head, and one class of all others, are the leaves of a tree in which the more frequent ones stand
+nearer the root: so a word's path is its class, the groups in the class, its place in the last one. Each inner node
+is a softmax over WIDTH outcomes. Its weights are rows of a hashed table, one row for each n-gram or skip feature
+of the words before, given the node. A word beyond the head has its count's share of the last class. So the
+probabilities of all words, with one unknown, sum to one.
 
 Biases are logarithms of counts. The rows are trained by distributed gradient updates: each task goes over its
-documents from the same model by AdaGrad, and the tasks' changes of a row are averaged by how often each saw it.
-A round goes over the documents in slices, whose number grows with the tokens: each starts from the one before.
+documents from the same model by AdaGrad, and the tasks' changes of a row are averaged by how often each saw it,
+in whole numbers, so that their order doesn't matter. A round goes over the documents in slices, whose number
+grows with the tokens: each starts from the one before.
 """
 
 from __future__ import annotations
 
-import itertools
+import heapq
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_words, written
+from .common import bounded_batches, column_words, written
+from .tokens import grouped
 
 WIDTH = 20
-#: Digits of a path at least.
-DEPTH = 3
-#: Rows of each digit's table at least, a power of two; there are as many as words with a path.
-ROWS = 1 << 15
+#: Rows of the table at least, a power of two; there are twice as many as words with a path.
+ROWS = 1 << 16
 #: Words whose counts go to every task at most; the counts of others are joined.
 HEAD = 1 << 18
 #: A training task gets about so many tokens; changes are sent once a task.
 TASK_TOKENS = 3_000_000
 RATE, CHUNK, ROUNDS = 0.35, 8192, 1
+#: Changes are summed as whole multiples of this.
+STEP = 2.0**-20
 #: The end of a document, as a token: no word holds a space.
-END = b" "
-_FLUSH = 300_000
+END = " "
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-_places: dict[str, _Places] = {}
+_heads: dict[str, tuple[pa.Array, int]] = {}
 
 
 @dataclass
@@ -63,10 +59,10 @@ class Model:
     complete: bool  # the head holds all of them
     n_model: int  # the first so many of the head have a path
     rare_total: int
-    depth: int = DEPTH
-    rows: int = ROWS  # of a digit's table
-    bias: list[np.ndarray] = field(default_factory=list)
-    tables: list[np.ndarray] = field(default_factory=list)
+    nodes: np.ndarray  # of each word's path, and of the others' last: inner nodes, -1 after the end
+    digits: np.ndarray  # the outcome at each
+    bias: np.ndarray  # by node
+    table: np.ndarray  # the weights
 
     @property
     def base_norm(self) -> float:
@@ -76,40 +72,74 @@ class Model:
     def rare_norm(self) -> float:
         return float(np.log10(self.rare_total + 0.5 * (self.distinct - self.n_model + 1)))
 
-    def places(self) -> _Places:
-        """Where words stand in the head, -1 elsewhere; kept for each Python worker."""
-        if self.key not in _places:
-            _places.clear()
-            _places[self.key] = _Places((w, i) for i, w in enumerate(self.head.value))
-        return _places[self.key]
-
-
-def _mix(size: int, *parts) -> np.ndarray:
-    x = np.uint64(0x2545F4914F6CDD1D)
-    for p in parts:
-        x = (x ^ (np.asarray(p).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> np.uint64(29))
-    return (x & np.uint64(size - 1)).astype(np.int64)
-
-
-def features(model: Model, digit: int, before: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
-    """Rows of a digit's table: the last word, the one before it (a skip), for all but the last two digits both together."""
-    rows = [_mix(model.rows, 1, before, p1), _mix(model.rows, 2, before, p2)]
-    return [*rows, _mix(model.rows, 3, before, p1, p2)] if digit <= model.depth - 3 else rows
-
-
-def digits(ids: np.ndarray, n_model: int, depth: int = DEPTH) -> list[np.ndarray]:
-    """Paths of places in the head; words without one have the last class, and no further digits."""
-    rare = (ids < 0) | (ids >= n_model)
-    return [np.where(rare, WIDTH - 1, ids // WIDTH ** (depth - 1)), *(ids // WIDTH**k % WIDTH for k in range(depth - 2, -1, -1))]
-
+    def _head(self) -> tuple[pa.Array, int]:
+        """Words of the head, and where the end is among them (-1: nowhere); kept for each Python worker."""
+        if self.key not in _heads:
+            _heads.clear()
+            words = pa.array(self.head.value, pa.large_string())
+            _heads[self.key] = words, pc.index(words, END).as_py()
+        return _heads[self.key]
 
-def depth_of(words: int) -> int:
-    """Digits that so many words need: all classes but the last are theirs."""
-    depth = DEPTH
-    while (WIDTH - 1) * WIDTH ** (depth - 1) < words:
-        depth += 1
-    return depth
+    @property
+    def end_place(self) -> int:
+        return self._head()[1]
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where words stand in the head, -1 elsewhere."""
+        return pc.fill_null(pc.index_in(words, value_set=self._head()[0]), -1).to_numpy().astype(np.int64)
+
+
+def tree(mass: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and digits of the paths to leaves of such mass, and the mass of each node's outcomes: Huffman's tree, node 0 the root."""
+    n = len(mass)
+    heap = [(float(m), i) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    parent, digit, children = {}, {}, []
+    take = (n - 2) % (width - 1) + 2 if n > 1 else 1  # the first node has fewer outcomes, all others width
+    while len(heap) > 1 or not children:
+        some = [heapq.heappop(heap) for _ in range(take)]
+        k = n + len(children)
+        for d, (_, i) in enumerate(some):
+            parent[i], digit[i] = k, d
+        children.append([m for m, _ in some])
+        heapq.heappush(heap, (sum(m for m, _ in some), k))
+        take = width
+    count = len(children)  # the last one made is the root
+    up = np.fromiter((parent.get(i, -1) for i in range(n + count)), np.int64, n + count)
+    own = np.fromiter((digit.get(i, 0) for i in range(n + count)), np.int8, n + count)
+    at, steps = np.arange(n), []
+    while (at >= 0).any():
+        steps.append((np.where(at >= 0, up[at], -1), np.where(at >= 0, own[at], 0)))
+        at = np.where(at >= 0, up[at], -1)
+    steps = [x for x in steps if (x[0] >= 0).any()]
+    depth = np.sum([x[0] >= 0 for x in steps], axis=0)
+    nodes, digits = np.full((n, len(steps)), -1, np.int32), np.zeros((n, len(steps)), np.int8)
+    for k, (node, d) in enumerate(steps):  # from the leaf up
+        some = np.flatnonzero(node >= 0)
+        nodes[some, depth[some] - 1 - k] = n + count - 1 - node[some]
+        digits[some, depth[some] - 1 - k] = d[some]
+    outcomes = np.zeros((count, width))
+    for k, c in enumerate(children):
+        outcomes[count - 1 - k, : len(c)] = c
+    return nodes, digits, outcomes
+
+
+def _spread(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def contexts(p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the features: the word before, the one before that (a skip), both together."""
+    a, b = _spread(p1, 1), _spread(p2, 2)
+    return [a, b, (a ^ (b >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)]
+
+
+def feature_rows(model: Model, level: int, node: np.ndarray, hashed: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of the table, given the node: at the root for all features, one level down for single words, below for the word before."""
+    own = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    shift = np.uint64(64 - (len(model.table) - 1).bit_length())
+    return [(((h + own) ^ (own >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) >> shift).astype(np.int64) for h in hashed[: max(1, 3 - level)]]
 
 
 def slices_of(tokens: int, task_tokens: int = TASK_TOKENS) -> tuple[int, int]:
@@ -119,13 +149,19 @@ def slices_of(tokens: int, task_tokens: int = TASK_TOKENS) -> tuple[int, int]:
     return slices, -(-tasks // slices)
 
 
-def _softmax(model: Model, digit: int, before: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    z = model.bias[digit][before]
-    for r in rows:
-        z += model.tables[digit][r]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e
+class _Buffers:
+    """Room for the numbers of a chunk, used again and again: to ask the system for it each time costs more than the sums."""
+
+    def __init__(self, rows: int = CHUNK) -> None:
+        self.z, self.more, self.sums = (np.empty((rows, WIDTH), np.float32) for _ in range(3))
+        self.place, self.ones = np.arange(rows), np.ones(WIDTH, np.float32)
+
+    def logits(self, model: Model, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        z, more = self.z[: len(node)], self.more[: len(node)]
+        np.take(model.bias, node, axis=0, out=z, mode="clip")
+        for r in rows:
+            z += np.take(model.table, r, axis=0, out=more, mode="clip")
+        return z
 
 
 def _context(ids: np.ndarray, starts: np.ndarray, n_model: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,76 +179,82 @@ def _context(ids: np.ndarray, starts: np.ndarray, n_model: int) -> tuple[np.ndar
 def log_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 of the model's probability of each token's path; a rare word's share of its class isn't in it."""
     p1, p2 = _context(ids, starts, model.n_model)
-    d = digits(ids, model.n_model, model.depth)
-    out = np.zeros(len(ids))
+    leaf = np.where((ids < 0) | (ids >= model.n_model), model.n_model, ids)
+    out, room = np.zeros(len(ids), np.float64), _Buffers()
     for at in range(0, len(ids), CHUNK):
         part = slice(at, at + CHUNK)
-        a, b, q = p1[part], p2[part], [x[part] for x in d]
-        where, before = np.arange(len(a)), np.zeros(len(a), np.int64)
-        for k in range(model.depth):
-            z, e = _softmax(model, k, before, features(model, k, before, a, b))
-            own = q[k][where]
-            out[at + where] += (z[np.arange(len(z)), own] - np.log(e.sum(axis=1))) / np.log(10)
-            go = q[0][where] != WIDTH - 1
-            where, before, a, b = where[go], before[go] * WIDTH + own[go], a[go], b[go]
-    return out
+        where, own, hashed = np.arange(at, at + len(leaf[part])), leaf[part], contexts(p1[part], p2[part])
+        for k in range(model.nodes.shape[1]):
+            node = model.nodes[own, k]
+            go = np.flatnonzero(node >= 0)
+            if not len(go):
+                break
+            if len(go) < len(node):
+                where, own, node, hashed = where[go], own[go], node[go], [h[go] for h in hashed]
+            z = room.logits(model, node, feature_rows(model, k, node, hashed))
+            own_z = z[room.place[: len(z)], model.digits[own, k]]
+            # Logits are small, as biases are logarithms of shares: no need to take the greatest away.
+            out[where] += own_z - np.log(np.exp(z, out=z) @ room.ones)
+    return out / np.log(10)
 
 
 class Trainer:
-    """Gradient updates of a copy of the tables."""
+    """Gradient updates of a copy of the table."""
 
     def __init__(self, model: Model, rate: float = RATE) -> None:
-        self.model, self.rate, self.start = model, rate, model.tables
-        self.model.tables = [t.astype(np.float32) for t in self.start]
-        self.squares = [np.full(len(t), 1e-2, np.float32) for t in model.tables]
-        self.seen = [np.zeros(len(t), np.int64) for t in model.tables]
+        self.model, self.rate, self.start = model, rate, model.table
+        self.model.table = self.start.astype(np.float32)
+        self.squares = np.full(len(model.table), 1e-2, np.float32)
+        self.seen = np.zeros(len(model.table), np.int64)
+        self.room = _Buffers()
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
         m = self.model
+        room = self.room
         p1, p2 = _context(ids, starts, m.n_model)
-        d = digits(ids, m.n_model, m.depth)
+        leaf = np.where((ids < 0) | (ids >= m.n_model), m.n_model, ids)
         for at in range(0, len(ids), CHUNK):
             part = slice(at, at + CHUNK)
-            a, b, q = p1[part], p2[part], [x[part] for x in d]
-            before, own = np.zeros(len(a), np.int64), q[0]
-            for k in range(m.depth):
-                if not len(a):
+            own, hashed = leaf[part], contexts(p1[part], p2[part])
+            for k in range(m.nodes.shape[1]):
+                node = m.nodes[own, k]
+                go = np.flatnonzero(node >= 0)
+                if not len(go):
                     break
-                rows = features(m, k, before, a, b)
-                _, e = _softmax(m, k, before, rows)
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(e)), own] -= 1
+                if len(go) < len(node):
+                    own, node, hashed = own[go], node[go], [h[go] for h in hashed]
+                rows = feature_rows(m, k, node, hashed)
+                e = room.logits(m, node, rows)
+                np.exp(e, out=e)
+                e /= (e @ room.ones)[:, None]
+                e[room.place[: len(e)], m.digits[own, k]] -= 1
                 for r in rows:
-                    self._step(k, r, e)
-                go = q[0] != WIDTH - 1
-                before, a, b, q = before[go] * WIDTH + own[go], a[go], b[go], [x[go] for x in q]
-                own = q[min(k + 1, m.depth - 1)]
+                    self._step(r, e)
 
-    def _step(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+    def _step(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        n, room, table = len(rows), self.room, self.model.table
+        order = np.argsort(rows.astype(np.int32), kind="stable")
         r = rows[order]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        r = r[first]
-        g = np.add.reduceat(gradient[order], first, axis=0)
-        count = np.diff(np.r_[first, len(rows)])
-        self.squares[k][r] += (g * g).sum(axis=1) / np.sqrt(count)
-        self.model.tables[k][r] -= (self.rate / np.sqrt(self.squares[k][r]))[:, None] * g
-        self.seen[k][r] += count
-
-    def changes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(digit, rows, times seen, change) of the rows that changed."""
-        for k, seen in enumerate(self.seen):
-            at = np.flatnonzero(seen)
-            yield k, at, seen[at], self.model.tables[k][at] - self.start[k][at]
-
-
-def _flat(model: Model, texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words with the end, their places in the head, and where each text starts among them."""
-    places = model.places()
-    words = [[*byte_words(t.as_py()), END] for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
-    return words, ids, np.cumsum(sizes) - sizes
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        r, count = r[first], np.diff(first, append=n)
+        g, own = room.sums[: len(r)], room.more[: len(r)]
+        np.add.reduceat(np.take(gradient, order, axis=0, out=room.more[:n], mode="clip"), first, axis=0, out=g)
+        self.squares[r] += np.einsum("ij,ij->i", g, g) / np.sqrt(count)
+        g *= (self.rate / np.sqrt(self.squares[r]))[:, None].astype(np.float32)
+        table[r] = np.subtract(np.take(table, r, axis=0, out=own, mode="clip"), g, out=own)
+        self.seen[r] += count
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, times seen, change) of the rows that changed."""
+        at = np.flatnonzero(self.seen)
+        return at, self.seen[at], self.model.table[at] - self.start[at]
+
+
+def _flat(model: Model, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of all texts, each text's end after them, their places in the head, and where each text starts among them."""
+    words, sizes = column_words(texts)
+    ids = np.insert(model.places(words), np.cumsum(sizes), model.end_place)
+    return words, ids, np.cumsum(sizes + 1) - sizes - 1
 
 
 def _held_out(id_col: str):
@@ -223,20 +265,12 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """(word, c) of the texts, with the end of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(byte_words(text.as_py()))
-            counts[END] += batch.num_rows
-            if len(counts) > _FLUSH:
-                yield out(counts)
-                counts = Counter()
-        counts = +counts
-        if counts:
-            yield out(counts)
+        for batch in grouped(batches, 0):
+            words, _ = column_words(batch.column(0))
+            coded = words.dictionary_encode()
+            known = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
+            count = np.append(np.bincount(coded.indices.to_numpy(), minlength=len(known) - 1), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([known.cast(pa.large_binary()).cast(pa.binary()), pa.array(count, pa.int64())], names=["word", "c"])
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -254,45 +288,40 @@ def start_model(counts: DataFrame, *, head: int = HEAD) -> Model:
     rows = counts.where(F.col("c") >= least).collect() if words else []  # head rows at most
     rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     c = np.array([r["c"] for r in rows], np.float64)
-    n_model, depth = len(rows), depth_of(len(rows))
-    model = Model(uuid.uuid4().hex, spark.sparkContext.broadcast([bytes(r["word"]) for r in rows]), len(rows), least, np.log10(c + 0.5), total, distinct, words == distinct, n_model, total - int(c.sum()), depth, max(ROWS, 1 << max(0, n_model - 1).bit_length()))
-    mass = np.zeros(WIDTH**depth)
-    mass[:n_model] = c
-    classes = mass.reshape(WIDTH, -1).sum(axis=1)
-    classes[-1] = model.rare_total + 0.5
-    log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9)), -1e9).astype(np.float32)
-    model.bias = [log(classes)[None, :], *(log(mass.reshape(WIDTH**k, WIDTH, -1).sum(axis=2)) for k in range(1, depth))]
-    model.tables = [np.zeros((model.rows, WIDTH), np.float32) for _ in range(depth)]
-    return model
+    n_model, rare_total = len(rows), total - int(c.sum())
+    nodes, digits, outcomes = tree(np.append(c, rare_total + 0.5))
+    bias = np.where(outcomes > 0, np.log(np.maximum(outcomes, 1e-9) / outcomes.sum(axis=1, keepdims=True)), -80.0).astype(np.float32)
+    words_sent = spark.sparkContext.broadcast([bytes(r["word"]).decode("utf-8", "surrogatepass") for r in rows])
+    table = np.zeros((max(ROWS, 1 << (2 * n_model - 1).bit_length()), WIDTH), np.float32)
+    return Model(uuid.uuid4().hex, words_sent, n_model, least, np.log10(c + 0.5), total, distinct, words == distinct, n_model, rare_total, nodes, digits, bias, table)
 
 
 def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> Model:
     """Distributed gradient updates over all tokens of all texts, rounds times; a text is in one slice of a round."""
-    spark, n_rows = texts.sparkSession, model.depth * model.rows
+    spark = texts.sparkSession
     slices, tasks = slices_of(model.total, task_tokens)
     for turn in range(rounds * slices):
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == turn % slices) if slices > 1 else texts
-        sent = spark.sparkContext.broadcast([t.astype(np.float16) for t in model.tables])
-        bare = Model(**{**model.__dict__, "tables": []})
+        sent = spark.sparkContext.broadcast(model.table.astype(np.float16))
+        bare = Model(**{**model.__dict__, "table": None})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, bare=bare) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(Model(**{**bare.__dict__, "tables": sent.value}))
-            for batch in batches:
-                if batch.num_rows:
-                    _, ids, starts = _flat(trainer.model, batch.column(0))
-                    trainer.learn(ids, starts)
-            for k, rows, seen, change in trainer.changes():
-                raw = change.astype("<f2").tobytes()
-                for at in range(0, len(rows), 10_000):
-                    some = rows[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(some + k * bare.rows), pa.array(seen[at : at + 10_000]), pa.array([raw[2 * WIDTH * i : 2 * WIDTH * (i + 1)] for i in range(at, at + len(some))], pa.binary())], names=["row", "seen", "change"])
+            trainer = Trainer(Model(**{**bare.__dict__, "table": sent.value}))
+            for batch in grouped(batches, 0):
+                trainer.learn(*_flat(trainer.model, batch.column(0))[1:])
+            rows, seen, change = trainer.changes()
+            raw = change.astype("<f2").tobytes()
+            for at in range(0, len(rows), 10_000):
+                some = rows[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[at : at + 10_000]), pa.array([raw[2 * WIDTH * i : 2 * WIDTH * (i + 1)] for i in range(at, at + len(some))], pa.binary())], names=["row", "seen", "change"])
 
         # Fewer, larger tasks than files: the changes that travel then keep to the number of tokens.
         changes = part.coalesce(tasks).mapInArrow(run, "row long, seen long, change binary")
+        n_rows = len(model.table)
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, at = np.full(n_rows, -1, np.int32), np.empty(0, np.int64)  # where a row of this task is
-            sums, seen = np.zeros((0, WIDTH), np.float64), np.zeros(0, np.int64)
+            sums, seen = np.zeros((0, WIDTH), np.int64), np.zeros(0, np.int64)
             for batch in batches:
                 if batch.num_rows:
                     row, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -302,17 +331,16 @@ def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens:
                     at = np.r_[at, new]
                     if len(at) > len(seen):
                         sums, seen = (np.concatenate([x, np.zeros((len(at), *x.shape[1:]), x.dtype)]) for x in (sums, seen))
-                    np.add.at(sums, place[row], change * n[:, None])
+                    # Whole numbers: sums don't depend on the order of arrival.
+                    np.add.at(sums, place[row], np.rint(change / STEP).astype(np.int64) * n[:, None])
                     np.add.at(seen, place[row], n)
-            mean = (sums[: len(at)] / seen[: len(at), None]).astype("<f2")
+            mean = (sums[: len(at)] * STEP / np.maximum(seen[: len(at), None], 1)).astype("<f2")
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in mean], pa.binary())], names=["row", "change"])
 
-        merged = changes.repartition(F.col("row")).mapInArrow(merge, "row long, change binary").toArrow()  # depth * rows rows at most
+        merged = changes.repartition(F.col("row")).mapInArrow(merge, "row long, change binary").toArrow()  # as many rows as the table at most
         for batch in merged.to_batches(10_000):
-            row, change = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, WIDTH)
-            for k in np.unique(row // model.rows).tolist():
-                own = row // model.rows == k
-                model.tables[k][row[own] % model.rows] += change[own]
+            if batch.num_rows:
+                model.table[batch.column(0).to_numpy()] += np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, WIDTH)
         del merged
         sent.destroy()
     return model
@@ -320,15 +348,13 @@ def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens:
 
 def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """rows (doc_id, text, held_out) with n_tokens, n_known, train_tokens, base_score, score in place of text."""
-    sent = rows.sparkSession.sparkContext.broadcast([t.astype(np.float16) for t in model.tables])
-    bare = Model(**{**model.__dict__, "tables": []})
+    sent = rows.sparkSession.sparkContext.broadcast(model.table.astype(np.float16))
+    bare = Model(**{**model.__dict__, "table": None})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**{**bare.__dict__, "tables": [t.astype(np.float32) for t in sent.value]})
+        m = Model(**{**bare.__dict__, "table": sent.value.astype(np.float32)})
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in grouped(batches, 1):
             words, ids, starts = _flat(m, batch.column(1))
             in_head = ids >= 0
             log_c = np.where(in_head, m.log_counts[np.maximum(ids, 0)] if m.n_head else 0.0, np.log10(0.5) if m.complete else 0.0)
@@ -337,14 +363,15 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             sums = lambda x: np.add.reduceat(x, starts)
             n = np.diff(np.r_[starts, len(ids)])
             # Words whose count must be looked up: none if the head holds all that were seen.
-            far: list[list[bytes]] = [[] for _ in words]
-            if not m.complete:
-                doc = np.repeat(np.arange(len(words)), n)
-                for i in np.flatnonzero(~in_head).tolist():
-                    far[doc[i]].append(words[doc[i]][i - starts[doc[i]]])
-            uids = uid + np.arange(len(words))
-            uid += len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column(0), batch.column(2), pa.array(n), pa.array(sums(in_head.astype(np.int64))), pa.array(sums(log_c - m.base_norm)), pa.array(sums(log_probabilities(m, ids, starts) + share)), pa.array(far, pa.list_(pa.binary()))], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"])
+            ends = starts + n - 1
+            asked = ~in_head & (not m.complete)
+            asked[ends] = False  # the end is looked up below if the head is too small even for it
+            far = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sums(asked.astype(np.int64)))]), words.filter(pa.array(np.delete(asked, ends))))
+            if not m.complete and m.end_place < 0:
+                far = pa.array([[*x, END] for x in far.to_pylist()], far.type)
+            uids = uid + np.arange(batch.num_rows)
+            uid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column(0), batch.column(2), pa.array(n), pa.array(sums(in_head.astype(np.int64))), pa.array(sums(log_c - m.base_norm)), pa.array(sums(log_probabilities(m, ids, starts) + share)), far.cast(pa.list_(pa.string())).cast(pa.list_(pa.binary()))], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"])
 
     got = rows.select("doc_id", "text", "held_out").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, far array<binary>")
     if not model.complete:
