@@ -50,7 +50,7 @@ _heads: dict[str, tuple[pa.Array, int]] = {}
 @dataclass
 class Model:
     key: str
-    head: object  # a broadcast of the frequent words, most frequent first
+    head: object  # a broadcast of the frequent words, most frequent first, as an Arrow column
     n_head: int
     least: int  # of the head's counts
     log_counts: np.ndarray  # of the head: log10(count + 0.5)
@@ -76,7 +76,7 @@ class Model:
         """Words of the head, and where the end is among them (-1: nowhere); kept for each Python worker."""
         if self.key not in _heads:
             _heads.clear()
-            words = pa.array(self.head.value, pa.large_string())
+            words = self.head.value
             _heads[self.key] = words, pc.index(words, END).as_py()
         return _heads[self.key]
 
@@ -291,7 +291,7 @@ def start_model(counts: DataFrame, *, head: int = HEAD) -> Model:
     n_model, rare_total = len(rows), total - int(c.sum())
     nodes, digits, outcomes = tree(np.append(c, rare_total + 0.5))
     bias = np.where(outcomes > 0, np.log(np.maximum(outcomes, 1e-9) / outcomes.sum(axis=1, keepdims=True)), -80.0).astype(np.float32)
-    words_sent = spark.sparkContext.broadcast([bytes(r["word"]).decode("utf-8", "surrogatepass") for r in rows])
+    words_sent = spark.sparkContext.broadcast(pa.array([bytes(r["word"]) for r in rows], pa.large_binary()).cast(pa.large_string()))
     table = np.zeros((max(ROWS, 1 << (2 * n_model - 1).bit_length()), WIDTH), np.float32)
     return Model(uuid.uuid4().hex, words_sent, n_model, least, np.log10(c + 0.5), total, distinct, words == distinct, n_model, rare_total, nodes, digits, bias, table)
 
