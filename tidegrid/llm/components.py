@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
-def _pull(edges: DataFrame, name: str) -> DataFrame:
-    """edges (a, b) with the least b of each a, as m. A table of its own, so that hot nodes can be split."""
+def _pull(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b) with the least b of each a, as m, and the table of these: one of its own, so that hot nodes can be split."""
     least = written(edges.groupBy("a").agg(F.min("b").alias("m")), f"{name}-min")
-    return edges.join(least, "a")
+    return edges.join(least, "a"), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,11 +29,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = (print_now["n"], print_now["s"])
         # Large star: each node's larger neighbours go to its least neighbour or itself.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _pull(both, "large").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large, least = _pull(both, "large")
+        large = large.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         large = written(large, "links")
+        drop_written(least)
         # Small star: each node's smaller neighbours, and itself, go to the least of them.
-        small = _pull(large, "small")
+        small, least = _pull(large, "small")
         small = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         old, now = now, written(small, "links")
-        drop_written(old)
-        drop_written(large)
+        for done in (old, large, least):
+            drop_written(done)
