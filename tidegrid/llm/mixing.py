@@ -98,8 +98,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    base = written(base, "sizes")
-    sources = ranked(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    # Columns that are kept can be whole texts: they are read again for the result instead of written here.
+    sizes = written(base.select("doc_id", "source", "size", "key"), "sizes")
+    base = base if keep else sizes
+    sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")))
     sources = written(sources, "weights")
     sources = written(fill_targets(sources, most).withColumn("shards", F.ceil(F.col("n_docs") / shard_docs)), "targets")
@@ -107,8 +109,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
     # Not by name: source may be null. Spark broadcasts the sources if they are few, else it splits hot ones.
     right = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target", "shards")
-    rows = base.join(right, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.col("key"), F.col("shards"))).drop("s_source", "shards")
-    cells = rows.groupBy("sid", "shard").agg(F.sum("size").alias("n"), F.first("source_size").alias("all"), F.first("target").alias("target"))
+    dealt = lambda x: x.join(right, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", F.pmod(F.col("key"), F.col("shards"))).drop("s_source", "shards")
+    rows = dealt(base)
+    cells = dealt(sizes).groupBy("sid", "shard").agg(F.sum("size").alias("n"), F.first("source_size").alias("all"), F.first("target").alias("target"))
     cells = written(cells.select("sid", "shard", "n", F.when(F.col("all") > 0, F.col("target") * F.col("n") / F.col("all")).otherwise(0.0).alias("votes")), "cells")
     cells = sainte_lague(cells, round(total / block_words), order=("sid", "shard"))
     words = F.least(F.col("quota") * block_words, F.col("n") * most)

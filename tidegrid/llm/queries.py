@@ -75,6 +75,30 @@ m AS (SELECT r, q.host || q.path AS rule, q.verdict, row_number() OVER (PARTITIO
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, n_expressions
 FROM p JOIN size USING (r) LEFT JOIN m ON p.r = m.r AND m.k = 1""" % ", ".join(str(r) for r in URL_RULES)
 
+#: Components of links (a, b), both ways, by the least that each reaches.
+_REACHED = "r(node, reach) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach), c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)"
+
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), {_REACHED}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id"""
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, url, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to, url FROM f"""
+
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.x = y.x AND x.doc_id <> y.doc_id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+{_REACHED}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON c.node = doc_id"""
+
 QUERIES: dict[str, Query] = {
     "op1_vamana_dedup": op1_vamana_dedup,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 SQL: dict[str, str] = {
+    "op1_vamana_dedup": OP1_SQL,
+    "op3_warc_archive": OP3_SQL,
+    "op5_setsketch_dedup": OP5_SQL,
     "op2_license_scan": licenses.scan_sql(),
     "op10_url_filter": OP10_SQL,
 }
