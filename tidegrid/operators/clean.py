@@ -14,20 +14,24 @@ from ..spec import CleaningConfig, ColumnMapping
 
 REQUIRED = ("StartTime", "EndTime", "StartStationId", "EndStationId")
 #: Formats that whole columns are tried with, in this order.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
-#: Name fragments by which a source column is proposed for a canonical one.
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss")
+#: What else a value that fits none of them is tried with.
+OTHER_FORMATS = ("MM/dd/yyyy HH:mm",)
+#: Names by which a source column is proposed for a canonical one.
 ALIASES = {
-    "StartTime": ("started_at", "starttime", "start_time", "start date"), "EndTime": ("ended_at", "stoptime", "stop_time", "end_time", "end date"),
-    "StartStationId": ("start_station_id", "start station id", "from_station_id"), "EndStationId": ("end_station_id", "end station id", "to_station_id"),
-    "TripId": ("ride_id", "trip_id"), "UserId": ("user_id", "usertype"), "BikeId": ("bike_id", "bikeid"),
-}
+    "StartTime": ("start_time", "starttime", "start_datetime", "departure_time", "trip_start_time", "begin_time", "started_at"),
+    "EndTime": ("end_time", "endtime", "stoptime", "end_datetime", "arrival_time", "trip_end_time", "finish_time", "ended_at"),
+    "StartStationId": ("start_station_id", "startstation", "start_station", "origin_station_id", "from_station_id", "departure_station_id"),
+    "EndStationId": ("end_station_id", "endstation", "end_station", "destination_station_id", "to_station_id", "arrival_station_id"),
+    "TripId": ("trip_id", "tripid", "ride_id", "journey_id", "trip_number", "id"),
+}
 
 
 def suggest_columns(columns: list[str]) -> dict[str, str]:
-    """The first column, whatever its case, that matches each canonical name's patterns."""
+    """For each canonical name the column that has its first alias there is, whatever the case."""
     out = {}
-    for name, patterns in ALIASES.items():
-        hit = next((c for p in patterns for c in columns if p in c.lower()), None)
+    for name, aliases in ALIASES.items():
+        hit = next((c for p in aliases for c in columns if p == c.lower()), None)
         if hit:
             out[name] = hit
     return out
@@ -57,7 +61,7 @@ def parse_times(df: DataFrame, columns: list[str], formats: tuple[str, ...] = TI
     for c in text:
         whole = next((f for i, f in enumerate(formats) if not found[f"{c}|{i}"]), None)
         tries = [F.try_to_timestamp(F.col(c), F.lit(f)) for f in ([whole] if whole else formats)]
-        out[c] = F.coalesce(*tries, *([] if whole else [F.try_to_timestamp(F.col(c))]))
+        out[c] = F.coalesce(*tries, *([] if whole else [*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in OTHER_FORMATS], F.try_to_timestamp(F.col(c))]))
     return df.withColumns(out)
 
 
@@ -215,19 +219,23 @@ def add_derived(df: DataFrame) -> DataFrame:
     return df.withColumns(derived_trip_columns())
 
 
-def quality_checks(df: DataFrame, low: float = 0.5, high: float = 1440.0) -> DataFrame:
-    """One row of checks that cleaned trips pass, in one pass but for repeated ids."""
+def quality_checks(df: DataFrame, low: float = 0.5, high: float = 1440.0, least_round_trip: float = 3.0) -> DataFrame:
+    """One row of checks that cleaned trips pass, in one pass but for repeated ids and rows. No rows pass all but has_rows."""
     good = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
-    ids = df.agg((F.count("TripId") == F.countDistinct("TripId")).alias("unique_trip_ids")) if "TripId" in df.columns else df.sparkSession.range(1).select(F.lit(True).alias("unique_trip_ids"))
+    named = "TripId" in df.columns
+    ids = df.agg((F.count("TripId") == F.countDistinct("TripId")).alias("unique_trip_ids")) if named else df.sparkSession.range(1).select(F.lit(True).alias("unique_trip_ids"))
+    again = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).agg((F.coalesce(F.max("_n"), F.lit(1)) == 1).alias("no_duplicates"))
     checks = df.agg(
+        good(F.col("TripId").isNotNull() if named else F.lit(True)).alias("trip_ids_present"),
         good(F.col("StartTime").isNotNull() & F.col("EndTime").isNotNull()).alias("times_present"),
         good(F.col("StartStationId").isNotNull() & F.col("EndStationId").isNotNull()).alias("stations_present"),
         good(F.col("EndTime") >= F.col("StartTime")).alias("times_in_order"),
         good(F.col("duration_seconds") >= 0).alias("durations_positive"),
         good(F.col("duration_minutes").between(low, high)).alias("durations_in_bounds"),
+        good(~((F.col("StartStationId") == F.col("EndStationId")) & (F.col("duration_minutes") < least_round_trip))).alias("reasonable_round_trips"),
         (F.count("*") > 0).alias("has_rows"),
     )
-    return checks.crossJoin(F.broadcast(ids))
+    return checks.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(again))  # a row each
 
 
 def audit(steps: list[tuple[str, DataFrame]]) -> DataFrame:

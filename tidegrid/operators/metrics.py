@@ -28,10 +28,9 @@ def regression_metrics(df: DataFrame, groups: tuple[str, ...], y: str = "y", pre
     """
     t, p = F.col(y).cast("double"), F.col(pred).cast("double")
     size = F.abs(t) + F.abs(p)
-    n, sum_t, sum_t2 = F.count(t), F.sum(t), F.sum(t * t)
     own = {k: f(t, p) for k, f in (custom or {}).items()}
     out = df.groupBy(*groups).agg(
-        (1 - _over(F.sum((t - p) * (t - p)), sum_t2 - sum_t * sum_t / n)).alias("r2"), F.avg(F.abs(t - p)).alias("mae"), F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"),
+        (1 - _over(F.sum((t - p) * (t - p)), F.var_pop(t) * F.count(t))).alias("r2"), F.avg(F.abs(t - p)).alias("mae"), F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"),
         F.avg(F.when(size == 0, 0.0).otherwise(2 * F.abs(t - p) / F.when(size != 0, size))).alias("smape"), *[c.alias(k) for k, c in own.items()],
     )
     if scale is None:

@@ -106,7 +106,9 @@ def derived_features(spark, d):
     return _clean(spark, d).select("TripId", *[c.alias(n) for n, c in derived_trip_columns().items()])
 
 
-@query(f"""WITH {CLEAN_SQL} SELECT true AS times_present, true AS stations_present, true AS times_in_order, true AS durations_positive,
+@query(f"""WITH {CLEAN_SQL} SELECT bool_and(TripId IS NOT NULL) AS trip_ids_present, bool_and(StartTime IS NOT NULL AND EndTime IS NOT NULL) AS times_present,
+bool_and(StartStationId IS NOT NULL AND EndStationId IS NOT NULL) AS stations_present, bool_and(EndTime >= StartTime) AS times_in_order, bool_and(EndTime - StartTime >= INTERVAL 0 SECOND) AS durations_positive,
+bool_and(NOT (StartStationId = EndStationId AND duration_minutes < 3)) AS reasonable_round_trips, count(*) = (SELECT count(*) FROM (SELECT DISTINCT * FROM clean)) AS no_duplicates,
 bool_and(duration_minutes BETWEEN 0.5 AND 1440) AS durations_in_bounds, count(*) > 0 AS has_rows, count(TripId) = count(DISTINCT TripId) AS unique_trip_ids FROM clean""")
 def quality_checks(spark, d):
     return clean.quality_checks(_clean(spark, d))

@@ -166,6 +166,6 @@ def lag_bfill_nulls(spark, d):
     return temporal.add_lags_filled(p, ("x",), (2,), temporal.window(SPEC))
 
 
-@query(f"WITH {PANEL_SQL} SELECT district_id, count(*) AS n_rows, 0::BIGINT AS n_repeated, 0::BIGINT AS n_null FROM panel GROUP BY 1")
+@query(f"WITH {PANEL_SQL} SELECT district_id, count(*) AS n_rows, count(timestamp) - count(DISTINCT timestamp) AS n_repeated, count(*) - count(timestamp) AS n_null FROM panel GROUP BY 1")
 def time_checks(spark, d):
     return temporal.check_times(_panel(spark, d), SPEC)

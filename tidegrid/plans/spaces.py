@@ -17,7 +17,7 @@ _BOXES = [("south_west", -1.0, -1.0, 0.0, 0.0), ("south_east", 0.001, -1.0, 1.0,
 _P = "p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 _B = "b(district_id, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, a, b, c, d in _BOXES) + ")"
 _IN = "x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
-_E = f"{_P}, e AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.point_id <> b.point_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {RADIUS * RADIUS!r}::DOUBLE WHERE a.point_id < 500 AND b.point_id < 500)"
+_E = f"{_P}, e AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.point_id <> b.point_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {RADIUS * RADIUS!r}::DOUBLE)"
 
 
 def _districts(spark):
@@ -49,7 +49,7 @@ def adjacency_radius(spark, d):
     return spatial.neighbours_within(tables.points(spark, d), RADIUS, "point_id")
 
 
-@query(f"WITH {_E} SELECT point_id, coalesce(array_to_string(list_sort(list(b) FILTER (b IS NOT NULL)), ','), '') AS neighbours FROM p LEFT JOIN e ON a = point_id WHERE point_id < 500 GROUP BY 1")
+@query(f"WITH {_E} SELECT point_id, coalesce(array_to_string(list_sort(list(b) FILTER (b IS NOT NULL)), ','), '') AS neighbours FROM p LEFT JOIN e ON a = point_id GROUP BY 1")
 def adjacency_lists(spark, d):
     s = tables.points(spark, d)
     return spatial.adjacency_lists(s, spatial.neighbours_within(s, RADIUS, "point_id"), "point_id").withColumn("neighbours", F.array_join("neighbours", ","))
@@ -66,18 +66,18 @@ def web_mercator_points(spark, d):
     return tables.points(spark, d).select("point_id", x.alias("x"), y.alias("y"))
 
 
-@query(f"WITH {_E} SELECT point_id AS node, count(b) AS degree, count(b) / (count(*) FILTER (true) * 0 + (SELECT count(*) FROM p WHERE point_id < 500) - 1)::DOUBLE AS degree_centrality FROM p LEFT JOIN e ON a = point_id WHERE point_id < 500 GROUP BY 1")
+@query(f"WITH {_E} SELECT point_id AS node, count(b) AS degree, count(b) / (count(*) FILTER (true) * 0 + (SELECT count(*) FROM p) - 1)::DOUBLE AS degree_centrality FROM p LEFT JOIN e ON a = point_id GROUP BY 1")
 def degree(spark, d):
     return graph.degree(*_graph(spark, d))
 
 
 @query(f"""WITH {_E}, t AS (SELECT x.a AS node, count(*) AS t FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY 1), g AS (SELECT a AS node, count(*) AS d FROM e GROUP BY 1)
-SELECT point_id AS node, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM p LEFT JOIN g ON g.node = point_id LEFT JOIN t ON t.node = point_id WHERE point_id < 500""")
+SELECT point_id AS node, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM p LEFT JOIN g ON g.node = point_id LEFT JOIN t ON t.node = point_id""")
 def clustering(spark, d):
     return graph.clustering(*_graph(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_E}, r(node, reach) AS (SELECT point_id, point_id FROM p WHERE point_id < 500 UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+@query(f"""WITH RECURSIVE {_E}, r(node, reach) AS (SELECT point_id, point_id FROM p UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def graph_components(spark, d):
     return graph.components(*_graph(spark, d))
@@ -88,7 +88,7 @@ def pagerank(spark, d):
     return graph.pagerank(*_graph(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_E}, r(node, reach, k) AS (SELECT point_id, point_id, 0 FROM p WHERE point_id < 500 UNION SELECT r.node, e.b, k + 1 FROM r JOIN e ON e.a = r.reach WHERE k < 40),
+@query(f"""WITH RECURSIVE {_E}, r(node, reach, k) AS (SELECT point_id, point_id, 0 FROM p UNION SELECT r.node, e.b, k + 1 FROM r JOIN e ON e.a = r.reach WHERE k < 40),
 s AS (SELECT node, reach, min(k) AS k FROM r GROUP BY ALL), c AS (SELECT node, count(*) - 1 AS m, sum(k) AS far FROM s GROUP BY 1)
 SELECT node, CASE WHEN far > 0 THEN m / far::DOUBLE * m / ((SELECT count(*) FROM c) - 1)::DOUBLE ELSE 0 END AS closeness FROM c""")
 def closeness(spark, d):

@@ -9,6 +9,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,23 +72,28 @@ def source_summary(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "month string, source_count long, csv_count long")
 
 
-def _bad_encoding(spark: SparkSession, files: list[str]) -> bool:
-    """Whether a line of the files isn't UTF-8."""
-    raw = spark.read.text(files)
-    return not raw.where(~F.is_valid_utf8("value")).isEmpty()
+def _not_utf8(spark: SparkSession, files: list[str]) -> set[str]:
+    """Paths of the files that hold a line that isn't UTF-8."""
+    raw = spark.read.text(files).where(~F.is_valid_utf8("value")).select(F.input_file_name().alias("f")).distinct()
+    return {unquote(urlparse(r["f"]).path) for r in raw.collect()}  # files, not lines
 
 
-def read_csv(spark: SparkSession, files: list[str] | str) -> DataFrame:
-    """All columns as strings; files that aren't UTF-8 are read as latin-1. Files may have their own columns: they are united by name."""
+def read_csv(spark: SparkSession, files: list[str] | str, *, multi_line: bool = False) -> DataFrame:
+    """All columns as strings; each file that isn't UTF-8 is read as latin-1. Files may have their own columns: they are united by name.
+
+    A doubled quote within quotes is a quote. multi_line: quoted fields can hold line ends, and a file is one task.
+    """
     files = [files] if isinstance(files, str) else list(files)
-    encoding = "ISO-8859-1" if _bad_encoding(spark, files) else "UTF-8"
+    latin = _not_utf8(spark, files)
+    reader = lambda e: spark.read.option("header", True).option("encoding", e).option("escape", '"').option("multiLine", multi_line)
     heads: dict[tuple, list[str]] = {}
     for f in files:
-        heads.setdefault(tuple(standard_names(spark.read.option("header", True).option("encoding", encoding).csv(f).columns)), []).append(f)
+        encoding = "ISO-8859-1" if urlparse(f).path in latin else "UTF-8"
+        heads.setdefault((encoding, *standard_names(reader(encoding).csv(f).columns)), []).append(f)
     out = None
-    for names, some in heads.items():
+    for (encoding, *names), some in heads.items():
         schema = StructType([StructField(n, StringType()) for n in names])
-        one = spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", True).schema(schema).csv(some)
+        one = reader(encoding).option("enforceSchema", True).schema(schema).csv(some)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
