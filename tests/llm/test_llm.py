@@ -115,6 +115,32 @@ def test_op1_audit_is_by_query(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == components(list(got), list(zip(*(x.tolist() for x in np.nonzero(near)))))
 
 
+def test_op1_searches_cross_shards(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(500, 16))
+    vecs = np.concatenate([base[k] + rng.normal(size=(int(rng.integers(1, 12)), 16)) * 0.12 for k in range(500)] + [base[0] + rng.normal(size=(400, 16)) * 0.15])
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(vamana, "SHARD_ROWS", 150)  # some 24 clusters
+    monkeypatch.setattr(vamana, "SHARD_MOST", 250)  # of which the dense one is dealt
+    monkeypatch.setattr(vamana, "REGION_MOST", 1500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>").repartition(5)
+    out = vamana.near_vectors(df)
+    got = {r["vec_id"]: r for r in out.collect()}
+    found, true = np.array([got[i]["n_links"] for i in range(len(vecs))]), near.sum(axis=1)
+    assert out._tidegrid_recall[16][0] >= 0.99 and (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    linked = true > 0
+    assert np.mean(found[linked] / true[linked]) >= 0.99
+    want = components(range(len(vecs)), list(zip(*(x.tolist() for x in np.nonzero(near)))))
+    assert np.mean([got[i]["component_id"] == want[i] for i in want]) >= 0.99
+
+
+def test_op1_all_equal(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 2.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["component_id"], r["kept"]) for r in vamana.near_vectors(df).collect()} == {(49, 0, True), (49, 0, False)}
+
+
 def test_op1_search_of_a_dense_group():
     rng = np.random.default_rng(2)
     center = rng.normal(size=32)

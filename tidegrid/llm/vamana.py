@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop_written, hashed_sample, written
@@ -18,18 +19,16 @@ from .components import connected_components
 
 #: Centroids are fitted on so many vectors at most; there is one for SHARD_ROWS vectors, and MOST_CLUSTERS at most.
 SAMPLE, SHARD_ROWS, MOST_CLUSTERS = 20_000, 1000, 1024
-#: Clusters that a vector is a member of, and that it searches at first.
-MEMBER_OF, PROBES = 2, 3
-#: A shard has about so many members at most, a search so many queries at once; larger clusters and query sets are dealt.
-SHARD_MOST, QUERY_MOST = 3000, 1000
+#: Clusters that a vector is a member of, and those, the nearest to its own, whose united graph it searches at first.
+MEMBER_OF, REACH = 2, 6
+#: A shard has about so many members at most, a search so many queries and so many nodes at once; what is larger is dealt.
+SHARD_MOST, QUERY_MOST, REGION_MOST = 3000, 1000, 12_000
 #: Neighbours of a node, candidates they are pruned from, how much farther a detour may be, width of the search.
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 #: Links that lead out of a dense group: so many to nodes OUTER_FAR times as far as the last neighbour, and so many back.
 OUTER, OUTER_BACK, OUTER_FAR = 4, 8, 3.0
 #: Links that lead to each node from its own neighbours at least.
 WAYS_IN = 3
-#: Nodes, drawn at random, where searches of a shard may begin besides its medoids.
-ENTRIES = 96
 #: Nodes that miss the threshold by so much are still expanded.
 SLACK = 0.08
 #: (Query, node) pairs that are expanded at once.
@@ -152,25 +151,27 @@ def build_graph(vecs: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
 
 
 class Searcher:
-    """Searches one shard's part of the graph for many queries at once."""
+    """Searches the graph of some shards, united, for many queries at once."""
 
-    def __init__(self, vecs: np.ndarray, neighbours: list[np.ndarray]) -> None:
+    def __init__(self, vecs: np.ndarray, neighbours: list[np.ndarray], cluster: np.ndarray | None = None) -> None:
         self.vecs = vecs
         wide = max(map(len, neighbours), default=0)
         self.table = np.full((len(vecs), max(1, wide)), -1, np.int64)
         for i, x in enumerate(neighbours):
             self.table[i, : len(x)] = x
-        center = vecs.mean(axis=0)
-        some = np.random.default_rng(len(vecs)).choice(len(vecs), min(ENTRIES, len(vecs)), replace=False)
-        self.entries = np.union1d(self._medoids(center), some)
+        cluster = np.zeros(len(vecs), np.int64) if cluster is None else cluster
+        self.entries = self._medoids([np.flatnonzero(cluster == c) for c in np.unique(cluster)])
 
-    def _medoids(self, center: np.ndarray) -> np.ndarray:
-        """The node nearest the centre, and, where the graph falls into parts, that of each part that has none yet."""
-        order = np.argsort(-(self.vecs @ center), kind="stable")
+    def _medoids(self, clusters: list[np.ndarray]) -> np.ndarray:
+        """The node nearest each cluster's centre, and, where the graph falls into parts, that of each part that has none yet."""
+        first = [int(c[(self.vecs[c] @ self.vecs[c].mean(axis=0)).argmax()]) for c in clusters]
+        order = np.concatenate([np.array(first, np.int64), np.argsort(-(self.vecs @ self.vecs.mean(axis=0)), kind="stable")])
         seen = np.zeros(len(self.vecs), bool)
         out = []
-        for start in order.tolist():
+        for k, start in enumerate(order.tolist()):
             if seen[start]:
+                if k < len(first):
+                    out.append(start)
                 continue
             out.append(start)
             seen[start] = True
@@ -197,8 +198,8 @@ class Searcher:
             out[part] = np.einsum("ij,ij->i", queries[q[part]], self.vecs[nodes[part]])
         return q, nodes, out
 
-    def within(self, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least this cosine: a greedy search from the medoids, then all in range are expanded until none is new."""
+    def within(self, queries: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of at least this cosine: a greedy search from the medoids and from the query's own node (own; -1: none), then all in range are expanded until none is new."""
         n = len(queries)
         self.seen = np.zeros((n, len(self.vecs)), bool)
         sims = np.full((n, beam), -2.0)
@@ -226,6 +227,8 @@ class Searcher:
 
         every = np.repeat(np.arange(n), len(self.entries))
         merge(*self._look(queries, every, np.tile(self.entries, n)))
+        if own is not None:
+            merge(*self._look(queries, np.arange(n), own))
         while True:
             q = np.flatnonzero(~done.all(axis=1))
             if not len(q):
@@ -267,24 +270,24 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam: int, member_of: int) -> tuple[DataFrame, DataFrame]:
+def _search_links(classes: DataFrame, dim: int, least: float, reach: int, beam: int, member_of: int) -> tuple[DataFrame, DataFrame]:
     """(rep, n, k): weights and number of the classes that each class links with; (a, b): links that connect what links connect."""
     spark = classes.sparkSession
     n = classes.count()
     few = hashed_sample(classes.select("rep", "vec"), SAMPLE, "rep").toPandas()
     centers = fit_centroids(_matrix(few["vec"], dim), int(np.clip(-(-n // SHARD_ROWS), 1, MOST_CLUSTERS)))
-    member_of, probes = min(member_of, len(centers)), min(probes, len(centers))
+    member_of, reach = min(member_of, len(centers)), min(reach, len(centers))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                order = np.argsort(-(_matrix(batch.column(2).to_pylist(), dim) @ centers.T), axis=1, kind="stable")[:, : max(probes, member_of)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(order.tolist(), pa.list_(pa.int32()))], names=["rep", "w", "vec", "near"])
+                order = np.argsort(-(_matrix(batch.column(2).to_pylist(), dim) @ centers.T), axis=1, kind="stable")[:, :member_of]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(order.tolist(), pa.list_(pa.int32()))], names=["rep", "w", "vec", "of"])
 
-    placed = written(classes.select("rep", "w", "vec").mapInArrow(assign, "rep long, w long, vec binary, near array<int>"), "placed")
-    member = placed.select("rep", "w", "vec", F.slice("near", 1, member_of).alias("of"), F.explode(F.slice("near", 1, member_of)).alias("cluster"))
-    sizes = written(member.groupBy("cluster").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("subs")), "cluster-sizes")
-    member = written(member.join(F.broadcast(sizes), "cluster").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs"), "shards")  # MOST_CLUSTERS rows
+    placed = written(classes.select("rep", "w", "vec").mapInArrow(assign, "rep long, w long, vec binary, of array<int>"), "placed")
+    member = placed.select("rep", "w", "vec", "of", F.explode("of").alias("cluster"))
+    sizes = written(member.groupBy("cluster").agg(F.count("*").alias("members"), F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("subs")), "cluster-sizes")
+    member = written(member.join(F.broadcast(sizes), "cluster").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs", "members"), "shards")  # MOST_CLUSTERS rows
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
@@ -294,43 +297,52 @@ def _search_links(classes: DataFrame, dim: int, least: float, probes: int, beam:
     lists = member.select("cluster", "sub", "rep", "vec").groupBy("cluster", "sub").applyInPandas(build, "rep long, near array<long>")
     graph = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # member_of lists a node at most
     nodes = member.join(graph, "rep")
-    ask = placed.select("rep", "vec", F.posexplode(F.slice("near", 1, probes)).alias("rank", "cluster"), F.slice("near", 1, probes).alias("probed"))
-    asked = ask.groupBy("cluster").agg(F.ceil(F.count("*") / QUERY_MOST).cast("int").alias("blocks")).join(sizes, "cluster")
-    asked = written(asked, "queries")  # MOST_CLUSTERS rows
-    ask = ask.join(F.broadcast(asked), "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    ask = ask.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cluster", "sub", "block", "rep", "vec", F.slice("probed", F.lit(1), F.col("rank")).alias("before"))
+
+    # A class searches the region of its nearest cluster: the clusters nearest to that one, in this order.
+    between = centers @ centers.T
+    np.fill_diagonal(between, 2)
+    regions = np.argsort(-between, axis=1, kind="stable")[:, :reach]
+    region = spark.createDataFrame([(h, int(c), k) for h, x in enumerate(regions) for k, c in enumerate(x)], "home int, cluster int, rank int")  # reach * MOST_CLUSTERS rows
+    before = F.coalesce(F.sum("size").over(W.partitionBy("home").orderBy("rank", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shards = sizes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cluster", "sub", (F.col("members") / F.col("subs")).alias("size"))
+    parts = written(shards.join(F.broadcast(region), "cluster").withColumn("part", F.floor(before / REGION_MOST).cast("int")).select("cluster", "sub", "home", "part"), "parts")
+    asked = placed.groupBy(F.element_at("of", 1).alias("home")).agg(F.ceil(F.count("*") / QUERY_MOST).cast("int").alias("blocks"))
+    asked = written(asked.join(parts.groupBy("home").agg((F.max("part") + 1).alias("parts")), "home"), "queries")  # MOST_CLUSTERS rows
+    ask = placed.select("rep", "vec", F.element_at("of", 1).alias("home")).join(F.broadcast(asked), "home").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("home", "part", "block", "rep", "vec")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
+        # A node of several of a region's clusters counts in the first of them, so that a region holds it once.
+        rank = {int(c): k for k, c in enumerate(regions[pdf["home"].iloc[0]])}
+        first = [rank[c] == min(rank.get(int(x), reach) for x in of) for c, of in zip(pdf["cluster"], pdf["of"])]
+        pdf = pdf[first].sort_values("rep", kind="stable")
         ids = pdf["rep"].to_numpy()
         at = {r: i for i, r in enumerate(ids.tolist())}
         near = [np.array([at[r] for r in x if r in at], np.int32) for x in pdf["near"]]
-        of = np.array([[c for c in x if c != pdf["cluster"].iloc[0]] + [-1] * (len(x) == 1) for x in map(list, pdf["of"])], np.int32).reshape(len(ids), -1)
-        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1].to_numpy(), "sub": pdf["sub"].iloc[:1].to_numpy(), "ids": [ids.tobytes()], "w": [pdf["w"].to_numpy().tobytes()], "vecs": [b"".join(pdf["vec"])], "ends": [np.cumsum([len(x) for x in near]).astype(np.int64).tobytes()], "near": [np.concatenate([*near, np.empty(0, np.int32)]).astype(np.int32).tobytes()], "of": [of.tobytes()]})
+        return pd.DataFrame({"ids": [ids.tobytes()], "w": [pdf["w"].to_numpy().tobytes()], "vecs": [b"".join(pdf["vec"])], "ends": [np.cumsum([len(x) for x in near]).astype(np.int64).tobytes()], "near": [np.concatenate([*near, np.empty(0, np.int32)]).astype(np.int32).tobytes()], "cluster": [pdf["cluster"].to_numpy(np.int32).tobytes()]})
 
-    packed = nodes.groupBy("cluster", "sub").applyInPandas(pack, "cluster int, sub int, ids binary, w binary, vecs binary, ends binary, near binary, of binary")
-    packed = packed.join(F.broadcast(asked.select("cluster", "blocks")), "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    def packed_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pack(pdf).assign(home=key[0], part=key[1])
+
+    packed = nodes.join(parts, ["cluster", "sub"]).groupBy("home", "part").applyInPandas(packed_of, "ids binary, w binary, vecs binary, ends binary, near binary, cluster binary, home int, part int")
+    packed = packed.join(F.broadcast(asked.select("home", "blocks")), "home").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def search(key, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shard):
+        if not len(queries) or not len(shard) or not shard["ids"].iloc[0]:
             return pd.DataFrame({"rep": [], "n": [], "k": [], "root": []}).astype("int64")
         row = shard.iloc[0]
         ids, w = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["w"], np.int64)
         ends = np.frombuffer(row["ends"], np.int64)
         near = np.split(np.frombuffer(row["near"], np.int32).astype(np.int64), ends[:-1])
-        of = np.frombuffer(row["of"], np.int32).reshape(len(ids), -1)
         reps = queries["rep"].to_numpy()
-        q, x = Searcher(_matrix([row["vecs"]], dim), near).within(_matrix(queries["vec"], dim), least, beam)
+        own = np.minimum(np.searchsorted(ids, reps), len(ids) - 1)
+        own = np.where(ids[own] == reps, own, -1)
+        q, x = Searcher(_matrix([row["vecs"]], dim), near, np.frombuffer(row["cluster"], np.int32)).within(_matrix(queries["vec"], dim), least, beam, own)
         other = reps[q] != ids[x]
         q, x = q[other], x[other]
-        # What a cluster probed before holds too was counted there.
-        before = np.full((len(reps), probes), -2, np.int64)
-        for i, b in enumerate(queries["before"]):
-            before[i, : len(b)] = b
-        again = (of[x][:, :, None] == before[q][:, None, :]).any(axis=(1, 2))
-        return _summed(reps, ids, w, q, x, ~again)
-
-    found = ask.groupBy("cluster", "sub", "block").cogroup(packed.groupBy("cluster", "sub", "block")).applyInPandas(search, _FOUND)
+        return _summed(reps, ids, w, q, x, np.ones(len(q), bool))
+
+    found = ask.groupBy("home", "part", "block").cogroup(packed.groupBy("home", "part", "block")).applyInPandas(search, _FOUND)
     return _links_of(written(found, "found"))
 
 
@@ -403,8 +415,10 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     vectors that a vector was found linked with, component_id is the least vec_id that links reach.
 
     Vectors equal once at length 1 are a class. Each class is a member of its nearest clusters' shards. A
-    graph is built in each shard, the lists of a class that several shards hold are united, and each class
-    searches the clusters nearest to it. A search doesn't leave its clusters. All found links are exact; an audit
+    graph is built in each shard and the lists of a class that several shards hold are united. A class searches
+    the united graph of its nearest cluster and of those around it, from the medoids and from its own node, and goes
+    from shard to shard along united lists; only of regions of more than REGION_MOST nodes does it search the
+    parts one by one. All found links are exact; an audit
     measures the mean recall of queries that have links and, below AUDIT_RECALL, has the search made once more with
     more clusters and a wider beam, and then all pairs compared in blocks. The result's _tidegrid_recall has, by
     dimension, the recall, the queries with links and the queries that the audit drew; recall None: nothing has links.
@@ -420,8 +434,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     counts, edges, recall = None, None, {}
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):  # few: vectors of one model have one
         own = classes.where(F.col("dim") == dim)
-        for probes, beam, member_of in ((PROBES, BEAM, MEMBER_OF), (3 * PROBES, 4 * BEAM, 2 * MEMBER_OF)):
-            n, e = _search_links(own, dim, least, probes, beam, member_of)
+        for reach, beam, member_of in ((REACH, BEAM, MEMBER_OF), (3 * REACH, 4 * BEAM, 2 * MEMBER_OF)):
+            n, e = _search_links(own, dim, least, reach, beam, member_of)
             recall[dim] = audit(own, n, dim, least)
             log.info("dimension %d, beam %d: recall %s, mean of %d queries with links out of %d", dim, beam, *recall[dim])
             if recall[dim][0] is None or recall[dim][0] >= AUDIT_RECALL:
