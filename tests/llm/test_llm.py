@@ -559,3 +559,44 @@ def test_pipeline_stages(spark, tmp_path):
     for i, x in zip(mixed["doc_id"], encoded("byte_bpe_50k.json", mixed["text"].tolist())):
         true[i] += len(x)
     assert pieces == dict(true)
+
+
+def test_op4_score_is_the_ratio(spark):
+    """The score against the formula over exact buckets, and the same verdicts under another layout, with more labels than the bound."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice([f"{'g' if i % 2 else 'b'}{k}" for k in range(60)] + [f"c{k}" for k in range(60)], 60)), "s") for i in range(300)]
+    df = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    half = lambda i: zlib.crc32(str(i).encode()) % 2 == 0
+    raw, trusted = collections.Counter(), collections.Counter()
+    for i, t, _ in rows:
+        b = quality.buckets_of(t, quality.BUCKETS).tolist()
+        raw.update(b)
+        if i < 260 and i % 2 and half(i):
+            trusted.update(b)
+    n, m, size = sum(raw.values()), sum(trusted.values()), quality.BUCKETS
+    for i, t, _ in rows[:20]:
+        b = quality.buckets_of(t, size).tolist()
+        want = sum(math.log((trusted[x] + 1) / (m + size)) - math.log((raw[x] + 1) / (n + size)) for x in b) / len(b)
+        assert model.score(t) == pytest.approx(want, abs=1e-5)
+    few = [quality.fit(df.repartition(k, "text"), labels.repartition(k, "doc_id"), labelled=40) for k in (4, 7)]
+    assert few[0].threshold == few[1].threshold and (few[0].ratio == few[1].ratio).all()
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "s"), (1, text, "s"), (2, text + " more", None), (None, " ".join(f"x{k}" for k in range(50)), "s"), (3, None, "s"), (4, "", "t"), (5, "few words", "t")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, rep long, label string, kept string"
+    full = spark.createDataFrame([(i, t, "en", s, len(t or ""), 0, "x", "x") for i, t, s in rows], kind)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for df, n in ((full, 2), (full.where("false"), 0)):
+        kept = corpus_pipeline.quality_rules(spark, df, str(tmp_path))
+        assert kept.columns == df.columns and kept.where("text IS NULL OR length(text) < 20").count() == 0
+        one = corpus_pipeline.near_duplicates(spark, kept, str(tmp_path))
+        assert one.columns == df.columns and one.where("doc_id IS NOT NULL").count() == (1 if n else 0) and one.count() == n
+        mixed = corpus_pipeline.mix_sources(spark, one, str(tmp_path))
+        assert mixed.columns == df.columns and (mixed.count() > 0) == (n > 0)
+        assert (corpus_pipeline.pack_sequences(spark, mixed, str(tmp_path)).count() > 0) == (n > 0)

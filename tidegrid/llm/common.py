@@ -57,7 +57,8 @@ def column_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def release_memory() -> None:
-    """Gives back what a Python worker has freed: Arrow and the C library would keep it, in each of several idle workers."""
+    """Forgets kept words and gives back what a Python worker has freed, at the end of a task: Arrow and the C library would keep it, in each of several idle workers."""
+    _hashes.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL(None).malloc_trim(0)

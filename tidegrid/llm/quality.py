@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_sample, word_hashes
+from .common import bounded_batches, hashed_sample, release_memory, word_hashes
 
 #: n-grams of one and two tokens are hashed to so many buckets.
 BUCKETS = 1 << 17
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, labelled:
                 np.add.at(raw, b, 1)
                 if good:
                     np.add.at(trusted, b, 1)
+        release_memory()
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], trusted[at])], names=["bucket", "raw", "trusted"])
 
@@ -162,6 +163,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, id_
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types)), *batch.columns[2:]], names=[*names, *(f"keep_{i}" for i in range(len(keep)))])
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     extra = "".join(f", keep_{i} {rows.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep)))
