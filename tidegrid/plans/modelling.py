@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar, temporal
-from ..operators import learned, metrics, models, split
+from ..operators import learned, metrics, models, reports, split
 from ..sources import tables
 from ..sources.tables import PANEL_SQL
 from ..spec import PanelSpec, Task
@@ -87,6 +87,42 @@ def trial_params(spark, d):
     return metrics.min_max_params(tables.read(spark, d, "part").withColumnRenamed("p_partkey", "trial"), ("p_size", "p_retailprice"))
 
 
+@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, crowd FROM panel ORDER BY timestamp, district_id, crowd LIMIT 100")
+def first_training_rows(spark, d):
+    return reports.first_rows(_panel(spark, d), 100, "timestamp")
+
+
+_TRIALS = "t AS (SELECT p_partkey AS trial, p_brand AS param, p_retailprice::DOUBLE AS value FROM part)"
+
+
+def _trials(spark, d):
+    return tables.read(spark, d, "part").select(F.col("p_partkey").alias("trial"), F.col("p_brand").alias("param"), F.col("p_retailprice").cast("double").alias("value"))
+
+
+@query(f"WITH {_TRIALS} SELECT * FROM t WHERE value IS NOT NULL ORDER BY value DESC, trial LIMIT 20")
+def best_trials(spark, d):
+    return reports.best_trials(_trials(spark, d), 20, "value", "trial", largest=True)
+
+
+@query(f"""WITH {_TRIALS}, w AS (SELECT *, count(value) OVER f AS n, quantile_cont(value, 0.5) OVER f AS m, lag(value) OVER (PARTITION BY param ORDER BY trial) AS b FROM t WINDOW f AS (PARTITION BY param ORDER BY trial ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT trial, param, CASE WHEN n = 5 THEN m END AS median, coalesce(value - b, 0) AS took FROM w""")
+def smoothed_trials(spark, d):
+    w = reports.trial_window("trial", "param")
+    return _trials(spark, d).select("trial", "param", reports.centred_median("value", 5, w).alias("median"), reports.since_first("value", w).alias("took"))
+
+
+@query(f"WITH {PANEL_SQL} SELECT district_id, avg(crowd) FILTER (hour(timestamp) % 4 = 0) AS h_0, avg(crowd) FILTER (hour(timestamp) % 4 = 1) AS h_1, avg(crowd) FILTER (hour(timestamp) % 4 = 3) AS h_3 FROM panel GROUP BY 1")
+def metrics_by_horizon(spark, d):
+    return reports.by_horizon(_panel(spark, d).withColumn("horizon", F.hour("timestamp") % 4), "district_id", "horizon", "crowd", [0, 1, 3])
+
+
+@query(f"WITH {PANEL_SQL} SELECT p.district_id, p.timestamp, p.crowd AS y, q.crowd + 1 AS y_pred FROM panel p JOIN panel q ON p.district_id = q.district_id AND p.timestamp = q.timestamp WHERE hour(q.timestamp) % 2 = 0")
+def aligned_predictions(spark, d):
+    p = _panel(spark, d)
+    truth = p.withColumnRenamed("crowd", "y")
+    return reports.aligned(truth, p.where(F.hour("timestamp") % 2 == 0).select("district_id", "timestamp", (F.col("crowd") + 1).alias("y_pred")), "district_id", "timestamp")
+
+
 def _supervised(spark, d):
     p = _panel(spark, d)
     p = p.withColumns(calendar.calendar_parts("timestamp", ("hour", "dayofweek")))
