@@ -117,7 +117,7 @@ def quality_checks(spark, d):
 @query(f"""WITH {CLEAN_SQL},
 s AS (SELECT 0 AS place, 'input' AS step, count(*) AS remaining FROM trips
   UNION ALL SELECT 1, 'missing', count(*) FROM trips WHERE StartStationId IS NOT NULL AND EndStationId IS NOT NULL
-  UNION ALL SELECT 2, 'duplicates', count(*) FROM trips WHERE StartStationId IS NOT NULL AND EndStationId IS NOT NULL
+  UNION ALL SELECT 2, 'duplicates', count(DISTINCT TripId) FROM trips WHERE StartStationId IS NOT NULL AND EndStationId IS NOT NULL
   UNION ALL SELECT 3, 'times', count(*) FROM clean
   UNION ALL SELECT 4, 'round_trips', count(*) FROM clean WHERE NOT (StartStationId = EndStationId AND duration_minutes < 3)
   UNION ALL SELECT 5, 'outliers', count(*) FROM clean, (SELECT quantile_cont(duration_minutes, 0.25) AS a, quantile_cont(duration_minutes, 0.75) AS b FROM clean WHERE NOT (StartStationId = EndStationId AND duration_minutes < 3))
