@@ -379,11 +379,12 @@ def test_op6_whole_head_has_paths(spark):
 
 def encoded(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*x.ids, 2], "<u4") for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-TEXTS = ["", " ", "a  b", " a b ", "x\n y", "x \ny", "a\x1c b", "it's a 'tis I'LL", "<|endoftext|> a <|endoftext|>", "Á é ́x ΑΣ ΟΔΟΣ b", "日本 語 123 4567", "a\tb  c\n\n d", "İI x ﬁ", "\u200b a\u200b b", "\x85 a \x85", "a" * 500 + " b", "THE the The the", None]
+TEXTS = ["", " ", "a  b", " a b ", "x\n y", "x \ny", "a\x1c b", "it's a 'tis I'LL", "<|endoftext|> a <|endoftext|>", "Á é ́x ΑΣ ΟΔΟΣ b", "日本 語 123 4567", "a\tb  c\n\n d", "İI x ﬁ", "\u200b a\u200b b", "\x85 a \x85", "a" * 500 + " b", "THE the The the", None, "First.\n\nSecond", "a\r\nb\r\n\r\nc", "x\n\n\ny", "a <|endoftext|><|startoftext|>b", "<|EndOfText|> a", ".\nB\nc\n\nd"]
+#: What fuzzed texts are made of.
+BITS = ["\n", "\n\n", "\r\n", " ", "  ", "\t", "\x0b", "\x1f", "\x1c", "\x85", "\u2028", "a", "b", "I", "Hello", "it's", "'ll", "'S", ".", ",", "!", "1", "23", "é", "e\u0301", "日本", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "-", "\u0338", "the", "The", "\u200b", "İ", "\u3000"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -394,8 +395,20 @@ def test_cached_encoding_is_exact(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x[:-1].tolist() for x in encoded(name, texts)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("plain", [False, True])
+def test_encoding_of_fuzzed_texts_is_exact(name, plain):
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(BITS, rng.integers(0, 14))) for _ in range(20_000)]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = plain
+    e = tokens.Encoder(public_tokenizers.path(name), cache_items=3000, plain_specials=plain)
+    for k in range(0, len(texts), 500):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[k : k + 500])] == [x.ids for x in t.encode_batch(texts[k : k + 500], add_special_tokens=False)]
+
+
 def test_op7_packing(spark):
-    rows = corpus(n=80)
+    rows = [*corpus(n=80), *((1000 + k, t, "s1") for k, t in enumerate(TEXTS))]
     got = packing.pack_documents(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 2, 256, block_items=40).toPandas()
     ids = encoded("byte_bpe_50k.json", [t for _, t, _ in rows])
     want = collections.Counter()
@@ -493,7 +506,7 @@ def test_op8_highest_quotients(spark):
 
 
 def test_op9_store(spark):
-    rows = corpus(n=60) + [(-5, "first", "s"), (10**12, "last", "s")]
+    rows = corpus(n=60) + [(-5, "first", "s"), (10**12, "last", "s"), *((1000 + k, t, "s1") for k, t in enumerate(TEXTS)), *((None, f"no id {k}", "s") for k in range(3000))]
     df = docs(spark, rows)
     path = common.new_path(spark, "ids")
     manifest = idstore.write_ids(df, path, public_tokenizers.path("word_bpe_49k.json"), 2)

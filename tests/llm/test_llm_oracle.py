@@ -28,5 +28,5 @@ def test_same_rows(spark, name):
     got = con.execute(queries.SQL[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
-    theirs = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in got.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()) == theirs
+    theirs = sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in got.fetchall()), key=str)
+    assert sorted((tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()), key=str) == theirs

@@ -120,7 +120,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_wid
 
     # Encoded where they are read: only frames travel, and the sort's sample of ids doesn't encode again.
     frames = written(rows.mapInArrow(press, "doc_id long, n_tokens long, frame binary"), "id-frames")
-    done = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "file string, number long, first long, n_docs long, n_tokens long")
+    # Rows that share an id, or have none, are dealt by a second key: they needn't fit in one task.
+    dealt = frames.withColumn("_own", F.xxhash64("frame")).repartitionByRange("doc_id", "_own").sortWithinPartitions("doc_id", "_own").drop("_own")
+    done = dealt.mapInArrow(write, "file string, number long, first long, n_docs long, n_tokens long")
     manifest = written(done, "ids-manifest")
     drop_written(frames)
     return manifest

@@ -25,10 +25,11 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: What Python calls white space, for a native search: a text with two in a row, or with a space at an end, is cut by _LONE_SPACE.
 _WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ODD = rf"^ | $|{_WHITE}{_WHITE}"
-#: Both tokenizers end a run of letters before these signs, and white space before a letter. Natively a mark goes in between.
-_CUT = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=\n)(?=[A-Za-z])")
+#: Both tokenizers end a run of letters before these signs, and a lone line end before a letter: of a run of white space
+#: the last character stands apart there, so the run mustn't be cut off. Natively a mark goes in between.
+_CUT = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=\S\n)(?=[A-Za-z])")
 _MARK = "\x1f"
-_MARKED = [(r"([A-Za-z])([.,;:!?\n])", rf"\1{_MARK}\2"), (r"\n([A-Za-z])", f"\n{_MARK}\\1")]
+_MARKED = [(_WHITE.replace("[", "([^", 1) + r")\n([A-Za-z])", f"\\1\n{_MARK}\\2"), (r"([A-Za-z])([.,;:!?\n])", rf"\1{_MARK}\2")]
 #: Pieces that are encoded as one text, characters of a piece that is kept, stretches whose ids are gathered at once.
 _TOGETHER, _LONG, _GATHER = 64, 64, 1 << 17
 #: Bytes of texts that are encoded at once.
@@ -51,13 +52,20 @@ class Encoder:
     """Gives the ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) would.
 
     cache_items: pieces that are kept, some 40 bytes each; once there are more, only those of the latest texts stay.
+    plain_specials: strings of special tokens in a text are ordinary text; else each is its token, as is the library's default.
     """
 
-    def __init__(self, path: str, cache_items: int = 500_000) -> None:
+    def __init__(self, path: str, cache_items: int = 500_000, *, plain_specials: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {} if plain_specials else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens that aren't plain strings of the raw text")
+        self.specials = added
+        self.at_specials = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+        # Texts are cut at special tokens before they come to it; what lower-casing makes of other signs is ordinary text.
+        self.tokenizer.encode_special_tokens = True
         self.cache_items = cache_items
         self.known = pa.array([], pa.large_string())
         self.store, self.starts, self.lengths = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -163,6 +171,20 @@ class Encoder:
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = pc.match_substring_regex(texts, self.at_specials.pattern).to_numpy(zero_copy_only=False) if self.specials else np.zeros(len(texts), bool)
+        if not marked.any():
+            return self._encode_plain(texts)
+        # Stretches between special tokens are texts of their own; the tokens, at odd places, are put in after them.
+        split = [self.at_specials.split(t.as_py()) if m else [t.as_py()] for t, m in zip(texts, marked.tolist())]
+        ids, counts = self._encode_plain(pa.array([p for parts in split for p in parts[::2]], pa.large_string()))
+        stretches = np.array([(len(parts) + 1) // 2 for parts in split])
+        inner = np.ones(len(counts), bool)  # stretches that a special token follows
+        inner[np.cumsum(stretches) - 1] = False
+        own = np.array([self.specials[p] for parts in split for p in parts[1::2]], "<u4")
+        whole = np.insert(ids, np.cumsum(counts)[inner], own)
+        return whole, np.add.reduceat(counts, np.cumsum(stretches) - stretches) + stretches - 1
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.folds:
             texts = pc.ascii_lower(texts)
         counts = np.zeros(len(texts), np.int64)
@@ -198,9 +220,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, *, plain_specials: bool = False) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, plain_specials=plain_specials)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
