@@ -10,10 +10,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm import common, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, warc
+from tidegrid.llm import common, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, warc
 from tidegrid.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string"
@@ -522,7 +523,6 @@ def test_op9_store(spark):
     assert not any(crc.values()) and [r["doc_id"] for r in got] == sorted((i for i, _, _ in rows), key=lambda i: (i is not None, i or 0))
     first = manifest.orderBy("number", "first").first()
     assert idstore.read_one(path, first["file"], 1).tolist() in [x.tolist() for (i, _, _), x in zip(rows, ids) if i is None]
-    assert manifest.select("number").distinct().count() > 1
     where, folder = common.filesystem(path)
     with pytest.raises(ValueError):
         list(idstore._read_block(where, folder, first["file"], 0, 1, b"another dictionary"))
@@ -614,3 +614,39 @@ def test_pipeline_stages_of_odd_tables(spark, tmp_path):
         mixed = corpus_pipeline.mix_sources(spark, one, str(tmp_path))
         assert mixed.columns == df.columns and (mixed.count() > 0) == (n > 0)
         assert (corpus_pipeline.pack_sequences(spark, mixed, str(tmp_path)).count() > 0) == (n > 0)
+
+
+def piece_ids(texts):
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode([t or "" for t in texts])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_op13_counts(spark, monkeypatch, name):
+    rng = np.random.default_rng(3)
+    rows = [*corpus(n=40), *((1000 + k, t, "s1") for k, t in enumerate(TEXTS)), (2000, "日本語" * 2000, "s"), (2001, "a \u2581 b \u2581\u2581c " * 300, "s"), (2002, "one <|endoftext|> two  three\n\nfour " * 400, "s")]
+    rows += [(3000 + k, "".join(rng.choice(BITS, rng.integers(0, 60))), "s") for k in range(400)]
+    texts = [t for _, t, _ in rows]
+    path = public_tokenizers.path(name)
+    sizes = [len(x) for x in piece_ids(texts)] if name.endswith(".model") else [len(x.ids) for x in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    want = collections.Counter((i, len((t or "").encode()), n, n > 500) for (i, t, _), n in zip(rows, sizes))
+    assert collections.Counter(tuple(r) for r in counts.count_tokens(docs(spark, rows), path, limit=500).collect()) == want
+    assert counts.count_tokens(docs(spark, rows).where("doc_id < 0"), path).count() == 0
+    # In one process, with small pieces and batches, split at every boundary that is looked for.
+    monkeypatch.setattr(counts, "KEPT_STRETCHES", 50)
+    own = counts.PieceCounter(path) if name.endswith(".model") else tokens.Encoder(path, cache_items=50)
+    for t, n in zip(texts, sizes):
+        parts = counts.split_text(t or "", 7)
+        assert "".join(parts) == (t or "")
+        if not (name.endswith(".model") and "\u2581" in (t or "")):
+            parts = [p[1:] if k and name.endswith(".model") else p for k, p in enumerate(parts)]
+            assert own.count_column(pa.array(parts)).sum() == n
+    assert own.count_column(pa.array([None, "", "a"], pa.string())).tolist()[:2] == [0, 0]
+
+
+def test_op13_batches_are_balanced():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        sizes = rng.integers(0, 5000, n)
+        runs = counts.balanced(sizes, 100_000)
+        assert [k for a, b in runs for k in range(a, b)] == list(range(n))
+        assert all(sizes[a:b].sum() <= 105_000 for a, b in runs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
+from . import counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 OP10_SQL = """
 WITH rules(host, path, verdict) AS (VALUES %s),
 p AS (SELECT row_number() OVER () AS r, page_id,
@@ -110,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
+    "op13_token_counts": op13_token_counts,
 }
 SQL: dict[str, str] = {
     "op1_vamana_dedup": OP1_SQL,

@@ -11,6 +11,7 @@ import itertools
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,38 @@ def _gathered(store: np.ndarray, starts: np.ndarray, lengths: np.ndarray, place:
     return out
 
 
+@dataclass
+class Stretches:
+    """Texts cut before each lone space, which is dropped. A text that isn't empty has one stretch at least."""
+
+    rows: np.ndarray  #: numbers of the texts that aren't empty, ascending
+    sizes: np.ndarray  #: how many stretches each of those has
+    place: np.ndarray  #: of all stretches, in order, the number among the distinct ones
+    words: pa.Array  #: the distinct ones
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def stretches(texts: pa.Array) -> Stretches:
+    """The stretches of a large_string column without nulls, natively but for texts with other white space than lone spaces."""
+    full = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) & full
+    rows = np.concatenate([np.flatnonzero(full & ~odd), np.flatnonzero(odd)])
+    lists = [pc.split_pattern(texts.filter(pa.array(full & ~odd)), " ")]
+    if odd.any():
+        lists.append(pa.array([_LONE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists[0].type))
+    sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+    coded = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+    place = coded.indices.to_numpy()
+    if odd.any():  # in the order of the texts
+        order, starts = np.argsort(rows, kind="stable"), np.cumsum(sizes) - sizes
+        sizes, starts, rows = sizes[order], starts[order], rows[order]
+        place = place[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    return Stretches(rows, sizes, place, coded.dictionary)
+
+
 class Encoder:
     """Gives the ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) would.
 
@@ -153,20 +186,20 @@ class Encoder:
             self.starts = np.cumsum(self.lengths) - self.lengths
         return store, starts[place], lengths[place]
 
-    def _coded(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _coded(self, distinct: pa.Array, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """Ids of distinct stretches one after another, with the space before those that have one, and the number of each one's."""
-        if pc.any(pc.match_substring(stretches, _MARK)).as_py():
-            split = pa.array([_CUT.split(s) for s in stretches.to_pylist()], pa.large_list(pa.large_string()))
+        if pc.any(pc.match_substring(distinct, _MARK)).as_py():
+            split = pa.array([_CUT.split(s) for s in distinct.to_pylist()], pa.large_list(pa.large_string()))
         else:
             for pattern, by in _MARKED:
-                stretches = pc.replace_substring_regex(stretches, pattern, by)
-            split = pc.split_pattern(stretches, _MARK)
+                distinct = pc.replace_substring_regex(distinct, pattern, by)
+            split = pc.split_pattern(distinct, _MARK)
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         store, begin, lengths = self._looked_up(coded.dictionary)
         place = coded.indices.to_numpy()
         counts = np.add.reduceat(lengths[place], np.cumsum(sizes) - sizes)
-        return _gathered(store, begin, lengths, place), counts
+        return _gathered(store, begin, lengths, place) if ids else None, counts
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's; a null text has none."""
@@ -184,35 +217,35 @@ class Encoder:
         whole = np.insert(ids, np.cumsum(counts)[inner], own)
         return whole, np.add.reduceat(counts, np.cumsum(stretches) - stretches) + stretches - 1
 
+    def _coded_texts(self, texts: pa.Array, ids: bool) -> tuple[Stretches, np.ndarray, np.ndarray | None, np.ndarray]:
+        """The stretches of texts; of each its number, and the ids of all (None if only counts are asked for) with their counts."""
+        found = stretches(pc.ascii_lower(texts) if self.folds else texts)
+        # The first stretch of a text has no space before it: those are numbered after the others.
+        place, starts = found.place.copy(), found.starts
+        heads, inverse = np.unique(place[starts], return_inverse=True)
+        place[starts] = len(found.words) + inverse
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), found.words, pa.scalar(" ", pa.large_string()))
+        return found, place, *self._coded(pa.concat_arrays([spaced, found.words.take(pa.array(heads))]), ids)
+
     def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.folds:
-            texts = pc.ascii_lower(texts)
         counts = np.zeros(len(texts), np.int64)
-        full = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) & full
-        rows = np.concatenate([np.flatnonzero(full & ~odd), np.flatnonzero(odd)])
-        if not len(rows):
+        if not pc.any(pc.not_equal(texts, "")).as_py():
             return np.empty(0, "<u4"), counts
-        lists = [pc.split_pattern(texts.filter(pa.array(full & ~odd)), " ")]
-        if odd.any():
-            lists.append(pa.array([_LONE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists[0].type))
-        sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
-        coded = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
-        place, words = coded.indices.to_numpy().copy(), coded.dictionary
-        # The first stretch of a text has no space before it: those are numbered after the others.
-        starts = np.cumsum(sizes) - sizes
-        heads, inverse = np.unique(place[starts], return_inverse=True)
-        place[starts] = len(words) + inverse
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
-        store, lengths = self._coded(pa.concat_arrays([spaced, words.take(pa.array(heads))]))
-        if odd.any():  # stretches in the order of the texts
-            order = np.argsort(rows, kind="stable")
-            sizes, starts, rows = sizes[order], starts[order], rows[order]
-            place = place[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            starts = np.cumsum(sizes) - sizes
-        counts[rows] = np.add.reduceat(lengths[place], starts)
+        found, place, store, lengths = self._coded_texts(texts, True)
+        counts[found.rows] = np.add.reduceat(lengths[place], found.starts)
         return _gathered(store, np.cumsum(lengths) - lengths, lengths, place), counts
 
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, without putting the ids together; 0 for a null text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.specials and pc.any(pc.match_substring_regex(texts, self.at_specials.pattern)).as_py():
+            return self.encode_column(texts)[1]
+        counts = np.zeros(len(texts), np.int64)
+        if pc.any(pc.not_equal(texts, "")).as_py():
+            found, place, _, lengths = self._coded_texts(texts, False)
+            counts[found.rows] = np.add.reduceat(lengths[place], found.starts)
+        return counts
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
         ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
