@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm import common, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, warc
+from tidegrid.llm import align, common, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, warc
 from tidegrid.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string"
@@ -650,3 +650,52 @@ def test_op13_batches_are_balanced():
         runs = counts.balanced(sizes, 100_000)
         assert [k for a, b in runs for k in range(a, b)] == list(range(n))
         assert all(sizes[a:b].sum() <= 105_000 for a, b in runs)
+
+
+def brute_alignment(texts):
+    """By the bytes of whole texts: a's and b's ranges, groups between common ends, all overlapping pairs."""
+    a_tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_tok.encode_special_tokens = True
+    b_tok = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a_name, of = {i: t for t, i in a_tok.get_vocab().items()}, align.byte_of_char()
+    out, count = [], collections.Counter()
+    for t in texts:
+        a = a_tok.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = b_tok.encode(t) if t else []
+        a_bytes = [bytes(of[c] for c in a_name[i]) for i in a]
+        b_bytes = [bytes([int(b_tok.id_to_piece(i)[3:5], 16)]) if b_tok.is_byte(i) else b_tok.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+        whole = (" " + t).encode() if t else b""
+        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+            a, b, a_bytes, b_bytes = [], [], [], []
+        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
+        links = [(i, j) for i, e, x in zip(a, a_ends, a_bytes) for j, f, y in zip(b, b_ends, b_bytes) if e - len(x) < f and f - len(y) < e]
+        cuts = sorted(set(a_ends) & set(b_ends))
+        at, groups = 0, []
+        for c in cuts:
+            groups.append(",".join(str(i) for i, e in zip(a, a_ends) if at < e <= c) + "|" + ",".join(str(i) for i, e in zip(b, b_ends) if at < e <= c))
+            at = c
+        out.append((len(a), len(b), len(groups), links, ";".join(groups)))
+        count.update(links)
+    best = {}
+    for (i, j), n in count.items():
+        best[j] = max(best.get(j, 0), n)
+    return [(a, b, g, len(l), sum(count[x] == best[x[1]] for x in l), sum(count[x] for x in l), hashlib.sha256(s.encode()).hexdigest() if s else "") for a, b, g, l, s in out]
+
+
+def test_op12_alignment(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [r for r in corpus(n=30) if r[0] != 106] + [(1000 + k, t, "s1") for k, t in enumerate(TEXTS)]
+    rows += [(2000, "日本語" * 20, "s"), (2001, "a \u2581 b, c", "s"), (2002, "\u2581", "s"), (2003, "aaaaaaaaaaaaaaaaaaaaa" * 9, "s"), (2004, "Élan,été.\nÀ la;x\nz", "s"), (2005, "<0x0A> <unk></s> 😀😀 ×, a×,", "s"), (2006, "\x00 a\x00", "s")]
+    rows += [(3000 + k, "".join(rng.choice([*BITS, "É", "×", "\u2581", "😀", "ing", "tion"], rng.integers(0, 40), p=[0.98 / (len(BITS) + 5)] * len(BITS) + [0.98 / (len(BITS) + 5)] * 2 + [0.02] + [0.98 / (len(BITS) + 5)] * 3)), "s") for k in range(300)]
+    want = collections.Counter((i, *x) for (i, _, _), x in zip(rows, brute_alignment([t or "" for _, t, _ in rows])))
+    df = docs(spark, rows)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    done = align.align(df, *paths, block_bytes=2000)
+    got = done.documents()
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    monkeypatch.setattr(align, "PAIRS_SENT", 5)  # links and counts are shuffled
+    shown = done.documents(with_groups=True).collect()
+    assert collections.Counter(tuple(r)[:8] for r in shown) == want
+    assert all((hashlib.sha256(r["groups"].encode()).hexdigest() if r["groups"] else "") == r["groups_sha256"] for r in shown)
+    assert align.align_documents(df.where("doc_id < 0"), *paths).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
+from . import align, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
+    "op12_token_alignment": op12_token_alignment,
     "op13_token_counts": op13_token_counts,
 }
 SQL: dict[str, str] = {
