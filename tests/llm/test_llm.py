@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm import align, common, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, warc
+from tidegrid.llm import align, common, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, tokens, urlrules, vamana, variants, warc
 from tidegrid.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string"
@@ -699,3 +699,68 @@ def test_op12_alignment(spark, monkeypatch):
     assert collections.Counter(tuple(r)[:8] for r in shown) == want
     assert all((hashlib.sha256(r["groups"].encode()).hexdigest() if r["groups"] else "") == r["groups_sha256"] for r in shown)
     assert align.align_documents(df.where("doc_id < 0"), *paths).count() == 0
+
+
+def edits(w, alphabet):
+    """All strings one inserted, deleted or replaced code point away."""
+    out = {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + c + w[k + 1 :] for k in range(len(w)) for c in alphabet} | {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in alphabet}
+    return out - {w}
+
+
+def brute_variants(counts):
+    alphabet = sorted({c for w in counts for c in w})
+    near = {w: [x for x in edits(w, alphabet) if x in counts] for w in counts}
+    best = {w: min(near[w], key=lambda x: (-counts[x], x), default=None) for w in counts}
+    form = {w: b if b is not None and counts[b] >= 2 * counts[w] else None for w, b in best.items()}
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n, len(near[w]), counts[form[w]] if form[w] else None) for w, n in counts.items()}
+
+
+def test_op11_near_words(spark):
+    rng = np.random.default_rng(6)
+    words = {"".join(rng.choice(list("abé"), rng.integers(5, 9))) for _ in range(600)}
+    words |= {"".join(rng.choice(list("abcdefgh"), rng.integers(9, 13))) for _ in range(300)}
+    long = "".join(rng.choice(list("abcdefghijk"), 400))
+    words |= {long, long[1:], long[:-1], long[:200] + "z" + long[200:], long[:200] + "z" + long[201:], long[:47], long[:48], long[:49], "a" * 50, "a" * 51, "a" * 52, "b" + "a" * 50}
+    words |= {w for x in sorted(words)[::7] for w in sorted(edits(x, "aé"))[::5]}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    got = [tuple(r) for r in variants.near_words(df).collect()]
+    alphabet = sorted({c for w in words for c in w})
+    want = {(w, x) for w in words for x in edits(w, alphabet) if x in words and w < x}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_op11_variants(spark):
+    rng = np.random.default_rng(7)
+    # Chains of forms, ties of n, and words on the least counts.
+    base = ["".join(rng.choice(list("abcdé"), rng.integers(5, 9))) for _ in range(60)]
+    counts = collections.Counter({w: int(2 ** rng.integers(1, 9)) + 1 for w in base})
+    for w in base:
+        for x in rng.choice(sorted(edits(w, "abé")), 6):
+            if len(x) >= 5:
+                counts[str(x)] = int(rng.choice([3, 4, 8, 16, 17, 33]))
+    df = spark.createDataFrame(sorted(counts.items()), "word string, n long")
+    assert {tuple(r) for r in variants.group_variants(df).collect()} == brute_variants(counts)
+    assert variants.group_variants(df.where("n < 0")).count() == 0
+
+
+def test_op11_words_of_documents(spark):
+    rows = corpus(n=40) + [(500 + k, t, "s") for k, t in enumerate(["Hello, HELLO hello-hellO", "École école ÉCOLE x", "xÀÿ×÷abcd", "helloworldhelloworld " * 50, "", None, "日本hello日本"] * 3)] + [(None, "nulls nulls nulls Nulls", "s")] * 40
+    words = collections.Counter()
+    for i, t, _ in rows:
+        for run in re.findall(r"[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            words[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    want = {w: n for w, n in words.items() if len(w) >= 5 and n >= 3}
+    df = docs(spark, rows)
+    assert {r["word"]: r["n"] for r in variants.count_words(variants.occurrences(df)).collect()} == want
+    assert {tuple(r) for r in variants.spelling_variants(df).collect()} == brute_variants(want)
+    plain = {r["word"] for r in variants.occurrences(df, every=0).collect()}
+    assert "hello" in plain and None not in plain
+    assert variants.spelling_variants(df.where("doc_id < 0")).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import align, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, warc
+from . import align, counts, idstore, licenses, maxent, mixing, packing, quality, setsketch, urlrules, vamana, variants, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -107,6 +111,24 @@ l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.x = y.x AND x.d
 {_REACHED}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON c.node = doc_id"""
 
+#: The CRC-32 of `<id>:<run>` by a table, made from the polynomial; words one edit apart by what is left of them without one letter.
+OP11_SQL = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i::BIGINT] || list_transform(range(8), lambda x: x::BIGINT), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM counted, crc),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, n, unnest(range(length(word))) AS k FROM w),
+r AS (SELECT word, n, k, word[1 : k] || word[k + 2 :] AS rest FROM d),
+pairs AS (SELECT x.word, y.word AS other, y.n AS other_n FROM r x JOIN r y USING (rest, k) WHERE x.word <> y.word
+  UNION SELECT r.word, w.word, w.n FROM r JOIN w ON r.rest = w.word UNION SELECT w.word, r.word, r.n FROM r JOIN w ON r.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM pairs GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+path(word, root) AS (SELECT word, word FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.root WHERE f.form IS NOT NULL),
+ends AS (SELECT path.word, path.root FROM path JOIN f ON f.word = path.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
+
 QUERIES: dict[str, Query] = {
     "op1_vamana_dedup": op1_vamana_dedup,
     "op2_license_scan": op2_license_scan,
@@ -118,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_alignment": op12_token_alignment,
     "op13_token_counts": op13_token_counts,
 }
@@ -127,4 +150,5 @@ SQL: dict[str, str] = {
     "op5_setsketch_dedup": OP5_SQL,
     "op2_license_scan": licenses.scan_sql(),
     "op10_url_filter": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
