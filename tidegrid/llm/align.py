@@ -8,6 +8,7 @@ equi-join on unit and offset, running cut counts as group ids, joins with the co
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,11 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, written
+from .common import bounded_batches, release_memory, written
 from .tokens import _gathered, grouped, stretches
 
 #: Bytes of texts, about, that make a block: a block's distinct units are one row, joined with its documents.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Units that one task aligns, about, and units that are tokenized at once.
 UNITS_PER_TASK, TOGETHER = 100_000, 4096
 #: Id pairs up to which their counts are broadcast (some 60 bytes each); beyond, links and counts are shuffled.
@@ -171,17 +172,48 @@ def align_units(units: DataFrame, vocab: DataFrame, b_from: int, parts: int) ->
     both = placed.groupBy("unit_id", "start").agg(F.max(F.when(~F.col("of_b"), F.col("id"))).alias("new_a"), F.max(F.when(F.col("of_b"), F.col("id"))).alias("new_b"))
     so_far = W.partitionBy("unit_id").orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = F.col("new_a").isNotNull() & F.col("new_b").isNotNull()
+    first = F.when(cut & (F.col("start") > 0), ";").when(cut, "").otherwise(",")
     links = both.select(
         "unit_id", "start", F.last("new_a", ignorenulls=True).over(so_far).alias("a"), F.last("new_b", ignorenulls=True).over(so_far).alias("b"), F.sum(cut.cast("int")).over(so_far).alias("group"),
-        F.when(F.col("new_a").isNotNull(), F.concat(F.when(F.col("new_b").isNull(), ",").when(F.col("start") > 0, ";").otherwise(""), F.col("new_a").cast("string"))).alias("text_a"),
-        F.when(F.col("new_b").isNotNull(), F.concat(F.when(F.col("new_a").isNull(), ",").otherwise("|"), F.col("new_b").cast("string"))).alias("text_b"),
+        F.when(F.col("new_a").isNotNull(), F.concat(first, F.col("new_a").cast("string"))).alias("text_a"), F.when(F.col("new_b").isNotNull(), F.concat(first, F.col("new_b").cast("string"))).alias("text_b"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("start", "group", "a", "b", "text_a", "text_b")))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "a", "b", "text_a", "text_b")))
     found = links.groupBy("unit_id").agg(F.count("text_a").alias("n_a"), F.count("text_b").alias("n_b"), F.max("group").cast("long").alias("n_groups"), F.count("*").alias("n_links"), ordered.alias("l"))
-    own = lambda side, name: F.transform(F.filter("l", lambda x: x[name].isNotNull()), lambda x: F.struct(x["group"].alias("group"), F.lit(side).alias("side"), x["start"].alias("start"), x[name].alias("text")))
-    text = F.array_join(F.transform(F.array_sort(F.concat(own(0, "text_a"), own(1, "text_b"))), lambda x: x["text"]), "")
-    own_links = F.transform("l", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    return rows.select("unit_id", "unit", "n").join(found, "unit_id").select("unit", "n", "n_a", "n_b", "n_groups", "n_links", text.alias("groups"), own_links.alias("links"))
+    ids = lambda name: F.array_join(F.col("l")[name], "")  # noqa: E731  of one side: 1,2;3
+    text = F.when(F.col("n_groups") == 1, F.concat(ids("text_a"), F.lit("|"), ids("text_b"))).otherwise(F.array_join(F.zip_with(F.split(ids("text_a"), ";"), F.split(ids("text_b"), ";"), lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
+    return rows.select("unit_id", "unit", "n").join(found, "unit_id").select("unit", "n", "n_a", "n_b", "n_groups", "n_links", text.alias("groups"), F.arrays_zip(F.col("l")["a"].alias("a"), F.col("l")["b"].alias("b")).alias("links"))
+
+
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def _assembled(docs: pa.StructArray, units: pa.Table, with_groups: bool) -> pa.Table:
+    """The documents of a block from its units: sums and joined texts."""
+    lists = docs.field("units")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.empty(units.num_rows, np.int64)
+    rows[units.column("place").to_numpy()] = np.arange(units.num_rows)
+    some, starts = sizes > 0, np.cumsum(sizes) - sizes
+    out = {"doc_id": docs.field("doc_id")}
+    for c in _NUMBERS:
+        total = np.zeros(len(sizes), np.int64)
+        if some.any():
+            total[some] = np.add.reduceat(units.column(c).to_numpy()[rows][place], starts[some])
+        out[c] = pa.array(total)
+    texts = units.column("groups").combine_chunks().take(pa.array(rows)).cast(pa.large_string())
+    shas, groups = [], []
+    for at in range(0, len(sizes), 1024):  # the texts of so many documents at once
+        n = sizes[at : at + 1024]
+        own = place[int(starts[at]) : int(starts[at]) + int(n.sum())]
+        joined = pc.binary_join(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), texts.take(pa.array(own))), pa.scalar(";", pa.large_string())).to_pylist()
+        shas += [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in joined]
+        groups += joined if with_groups else []
+    out["groups_sha256"] = pa.array(shas, pa.string())
+    if with_groups:
+        out["groups"] = pa.array(groups, pa.string())
+    release_memory()
+    return pa.table(out)
 
 
 @dataclass
@@ -201,24 +233,19 @@ class Alignment:
         return links.join(pairs, ["a", "b"]).groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
     def documents(self, *, with_groups: bool = False) -> DataFrame:
-        """A row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; with_groups: the groups' text too."""
-        numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        """A row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; with_groups: the groups' text too.
+
+        The units of a block and its documents meet by block: numbers are summed, texts joined, at the units' places.
+        """
         scored = self.units.drop("n", "links").join(self.unit_scores(), "unit")
-        places = self.blocks.select("block", F.posexplode("units").alias("place", "unit"))
-        of_block = places.join(scored, "unit").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", *numbers, "groups"))).alias("own"))
-        rows = self.blocks.select("block", "docs").join(of_block, "block", "left")
-        unit = lambda i: F.get("own", i)
-        zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in numbers])
-
-        def document(d):
-            total = F.aggregate(d["units"], zero, lambda s, i: F.struct(*[(s[c] + unit(i)[c]).alias(c) for c in numbers]))
-            return F.struct(d["doc_id"].alias("doc_id"), total.alias("total"), F.array_join(F.transform(d["units"], lambda i: unit(i)["groups"]), ";").alias("groups"))
-
-        # The texts of groups are digested one document at a time, unless they are asked for.
-        out = (lambda x: x) if with_groups else lambda x: F.struct(x["doc_id"].alias("doc_id"), x["total"].alias("total"), F.when(x["groups"] == "", "").otherwise(F.sha2(x["groups"], 256)).alias("sha"))
-        found = rows.select(F.inline(F.transform("docs", lambda d: out(document(d)))))
-        sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)) if with_groups else F.col("sha")
-        return found.select("doc_id", "total.*", sha.alias("groups_sha256"), *(["groups"] if with_groups else []))
+        places = self.blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("place", "unit"))
+        of_block = places.join(scored, "unit").select("of", "place", *_NUMBERS, "groups")
+
+        def assemble(docs: pa.Table, units: pa.Table) -> pa.Table:
+            return _assembled(docs.column("docs").combine_chunks().flatten(), units, with_groups)
+
+        schema = f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string" + (", groups string" if with_groups else "")
+        return self.blocks.select("block", "docs").groupBy("block").cogroup(of_block.groupBy("of")).applyInArrow(assemble, schema)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Alignment:
