@@ -28,7 +28,7 @@ from .common import bounded_batches, release_memory, written
 from .tokens import _gathered, grouped, stretches
 
 #: Bytes of texts, about, that make a block: a block's distinct units are one row, joined with its documents.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Units that one task aligns, about, and units that are tokenized at once.
 UNITS_PER_TASK, TOGETHER = 100_000, 4096
 #: Id pairs up to which their counts are broadcast (some 60 bytes each); beyond, links and counts are shuffled.
@@ -125,11 +125,16 @@ def split_blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = B
                 units, own, lengths = cut_units(spaced)
                 sizes[found.rows] = np.add.reduceat(lengths[found.place], found.starts)
                 flat = _gathered(own, np.cumsum(lengths) - lengths, lengths, found.place)
+                del found, spaced, own, lengths
+            del texts
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             own_docs = pa.StructArray.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], fields=list(_DOC))
             once = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             counts = pa.array(np.bincount(flat, minlength=len(units)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), once(own_docs), once(units.cast(pa.string())), once(counts)], schema=_BLOCK)
+            out = pa.RecordBatch.from_arrays([pa.array([number]), once(own_docs), once(units.cast(pa.string())), once(counts)], schema=_BLOCK)
+            del batch, own_docs, units, flat, counts
+            yield out
+            del out
             number += 1
 
     return docs.mapInArrow(run, "block long, docs array<struct<doc_id: long, units: array<int>>>, units array<string>, counts array<long>")
@@ -144,6 +149,7 @@ def encode_units(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 some = batch.slice(at, TOGETHER)
                 a, b = pair(a_path, b_path).encode(some.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["unit", "n", "a", "b"])
+        release_memory()
 
     return units.mapInArrow(run, "unit string, n long, a array<int>, b array<int>")
 
@@ -257,7 +263,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     document is joined with; a run without any place to cut is one unit, whose tokens are sorted, not crossed.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=4 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(split_blocks(rows, a_path, b_path, block_bytes), "blocks")
     distinct = blocks.select(F.inline(F.arrays_zip("units", "counts"))).groupBy(F.col("units").alias("unit")).agg(F.sum("counts").alias("n"))
