@@ -27,15 +27,43 @@ def test_windows_match_pandas(spark, series):
     df = spark.createDataFrame(series)
     w = temporal.window(SPEC)
     cols = {s: temporal.rolling("x", 5, s, w) for s in temporal.STATS}
-    got = df.select("g", "t", *[c.alias(n) for n, c in cols.items()], temporal.ewm_folded("x", 4, w).alias("ewm"), temporal.lag_filled("x", 3, w).alias("lag")).toPandas().sort_values(["g", "t"])
+    got = df.select("g", "t", *[c.alias(n) for n, c in cols.items()], temporal.lag_filled("x", 3, w).alias("lag")).toPandas().sort_values(["g", "t"])
     by = series.sort_values(["g", "t"]).groupby("g")["x"]
     for s in ("mean", "sum", "min", "max", "count", "std", "var", "median", "skew", "kurt"):
         want = by.transform(lambda x, s=s: getattr(x.rolling(5, min_periods=1), s)())
         np.testing.assert_allclose(got[s].astype(float).to_numpy(), want.to_numpy(), atol=1e-6, err_msg=s)
-    np.testing.assert_allclose(got["ewm"].to_numpy(), by.transform(lambda x: x.ewm(span=4, adjust=False).mean()).to_numpy())
     np.testing.assert_allclose(got["lag"].to_numpy(), by.transform(lambda x: x.shift(3).bfill()).to_numpy())
 
 
+@pytest.mark.parametrize("rows", [None, 7])
+def test_ewm_matches_pandas(spark, monkeypatch, rows):
+    """Long and short groups, null at the start, long gaps, a null group, one group over many ranges and stretches."""
+    if rows:
+        monkeypatch.setattr(temporal, "STRETCH_ROWS", rows)
+    rng = np.random.default_rng(9)
+    frames = []
+    for g, n in (("a", 3000), ("b", 1), ("c", 40), (None, 25), ("d", 900)):
+        x = rng.normal(size=n) * 10
+        x[rng.random(n) < 0.3] = np.nan
+        if g == "d":
+            x[:30] = np.nan
+            x[100:800] = np.nan
+        if g == "b":
+            x[:] = np.nan
+        frames.append(pd.DataFrame({"g": g, "t": pd.date_range("2024-01-01", periods=n, freq="h"), "x": x, "y": np.arange(n, dtype=float)}))
+    whole = pd.concat(frames, ignore_index=True)
+    rows = [(r.g, r.t.to_pydatetime(), None if np.isnan(r.x) else r.x, r.y) for r in whole.itertuples()]
+    df = spark.createDataFrame(rows, "g string, t timestamp_ntz, x double, y double").repartition(5)
+    spans = (1, 2, 3, 50, 10**6)
+    got = temporal.add_ewm(df, PanelSpec(("g",), "t", ("x",)), ("x", "y"), spans).toPandas().sort_values(["g", "t"], na_position="last")
+    whole = whole.sort_values(["g", "t"], na_position="last")
+    for c in ("x", "y"):
+        for s in spans:
+            want = whole.groupby("g", dropna=False)[c].transform(lambda v, s=s: v.ewm(span=s, adjust=False).mean())
+            np.testing.assert_allclose(got[f"{c}_ewm_{s}"].astype(float), want, rtol=1e-9, atol=1e-9, err_msg=f"{c} {s}")
+    assert temporal.add_ewm(df.where("g = 'z'"), PanelSpec(("g",), "t", ("x",)), ("x",), (3,)).count() == 0
+
+
 def test_derivatives_match_pandas(spark, series):
     df = spark.createDataFrame(series)
     w = temporal.window(SPEC)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from ..operators.order import join_null_safe, small
 from ..spec import PanelSpec
+from ..storage import written
 
 STATS = ("mean", "sum", "min", "max", "count", "std", "var", "median", "skew", "kurt")
 
@@ -51,28 +53,69 @@ def rolling(c: str, k: int, stat: str, w: WindowSpec) -> Column:
     raise ValueError(f"unknown statistic {stat!r}; known: {STATS}")
 
 
-def ewm_folded(c: str, span: int, w: WindowSpec) -> Column:
-    """Exponentially weighted mean without null values, for short groups: each row folds all rows before it."""
-    alpha = 2.0 / (span + 1)
-    past = F.collect_list(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return F.aggregate(F.slice(past, F.lit(2), F.greatest(F.size(past) - 1, F.lit(0))), F.element_at(past, 1).cast("double"), lambda y, x: y * (1 - alpha) + x * alpha)
-
-
-def add_ewm(df: DataFrame, panel: PanelSpec, columns: tuple[str, ...], spans: tuple[int, ...]) -> DataFrame:
-    """{c}_ewm_{span}: the same for groups of any length and with nulls, linear in rows, a group at a time in Arrow batches."""
-    schema = StructType(list(df.schema.fields))
-    names = [f"{c}_ewm_{s}" for c in columns for s in spans]
-    for n in names:
-        schema = schema.add(n, "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([panel.time, *panel.ties], kind="stable")
-        for c in columns:
-            for s in spans:
-                pdf[f"{c}_ewm_{s}"] = pdf[c].astype("float64").ewm(span=s, adjust=False).mean()
-        return pdf
-
-    return df.groupBy(*panel.groups).applyInPandas(run, schema)
+#: Rows of a stretch at most, and the logarithm that the weights of one may fall by: quotients of weights stay within a double.
+STRETCH_ROWS, STRETCH_DECAY = 65_536, 500.0
+
+
+def add_ewm(df: DataFrame, panel: PanelSpec, columns: tuple[str, ...], spans: tuple[int, ...], restart_at: tuple[str, ...] = ()) -> DataFrame:
+    """{c}_ewm_{span}: exponentially weighted means in order of time, y = a * y' + (1 - a) * x; a null keeps y, and lets older weights decay.
+
+    Each observation maps the mean before it to the mean after it, linearly. Rows are dealt to ranges of (groups, time), so that one
+    long group is many tasks; within a range, stretches of some rows compose their maps by running sums. A short second pass composes the
+    maps of stretches, by doubling, in order; then each row's mean is its own stretch's map of the mean before that. Linear in rows.
+    Groups may be null. Rows that share a time, and ties, follow one another in any order.
+    """
+    own = [*panel.groups, *restart_at]
+    keys = [*own, panel.time, *panel.ties]
+    alphas = {s: 2.0 / (s + 1) for s in spans}
+    rows = min([STRETCH_ROWS, *[max(1, int(STRETCH_DECAY / -math.log(1 - a))) for a in alphas.values() if a < 1]])
+    dealt = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    in_range = Window.partitionBy("_range", *own).orderBy(panel.time, *panel.ties)
+    dealt = written(dealt.withColumn("_at", F.row_number().over(in_range) - 1), "ranges")  # places are data from here on
+    dealt = dealt.withColumns({"_stretch": F.floor(F.col("_at") / rows), "_at": F.col("_at") % rows})
+    stretch = ["_range", "_stretch"]
+    for c in columns:
+        seen = F.col(c).isNotNull()
+        ends = dealt.groupBy(*own, *stretch).agg(F.count("*").alias("_rows"), F.max(F.when(seen, F.col("_at"))).alias("_seen"))
+        order = Window.partitionBy(*own).orderBy(*stretch)
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        ends = ends.withColumn("_gap", F.col("_first") - F.last(F.col("_first") + F.col("_seen"), ignorenulls=True).over(earlier))  # null: nothing was seen
+        out = join_null_safe(dealt, small(ends.select(*own, *stretch, "_gap")), [*own, *stretch])
+        inside = Window.partitionBy(*stretch, *own).orderBy("_at")
+        past, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        steps = F.col("_at") - F.coalesce(F.last(F.when(seen, F.col("_at")), ignorenulls=True).over(past), -F.col("_gap"))
+        out = out.withColumn("_steps", F.when(seen, steps))
+        logs, parts = {}, {}
+        for s, a in alphas.items():
+            # y = keep * y' + take * x; where the old weight is nothing, or there is no y', as if y' were 0 and x alone counted.
+            decay = F.col("_steps") * math.log(1 - a) if a < 1 else F.lit(-math.inf)
+            fresh = F.col("_steps").isNull() | (decay < -STRETCH_DECAY)
+            weight = F.exp(decay)
+            logs[f"_log_{s}"] = F.when(seen, F.when(fresh, 0.0).otherwise(decay - F.log(weight + a)))
+            parts[f"_take_{s}"] = F.when(seen, F.when(fresh, 1.0).otherwise(a / (weight + a)) * F.col(c).cast("double"))
+            parts[f"_fresh_{s}"] = F.when(seen, fresh)
+        out = out.withColumns(logs | parts)
+        # A fresh observation ends what came before in its stretch: sums run from there. Only the first can be one, save for span 1.
+        out = out.withColumns({f"_from_{s}": F.coalesce(F.sum(F.col(f"_fresh_{s}").cast("int")).over(so_far), F.lit(0)) for s in spans})
+        at = {s: Window.partitionBy(*stretch, *own, f"_from_{s}").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow) for s in spans}
+        out = out.withColumns({f"_log_{s}": F.coalesce(F.sum(f"_log_{s}").over(at[s]), F.lit(0.0)) for s in spans})
+        out = out.withColumns({f"_sum_{s}": F.coalesce(F.sum(F.col(f"_take_{s}") * F.exp(-F.col(f"_log_{s}"))).over(at[s]), F.lit(0.0)) for s in spans})
+        out = written(out.drop("_gap", "_steps", *[f"_{x}_{s}" for s in spans for x in ("take", "fresh")]), "stretches")
+        last = lambda x: F.max_by(x, "_at")
+        maps = out.groupBy(*own, *stretch).agg(*[z for s in spans for z in (F.when(last(F.col(f"_from_{s}")) > 0, 0.0).otherwise(F.exp(last(F.col(f"_log_{s}")))).alias(f"_keep_{s}"), (last(F.col(f"_sum_{s}")) * F.exp(last(F.col(f"_log_{s}")))).alias(f"_add_{s}"))], F.max(seen).alias("_any"))
+        most = maps.groupBy(*own).count().agg(F.max("count")).first()[0] or 1
+        k = 1
+        while k < most:  # each map composed with the k maps before it
+            before = lambda x, k=k: F.lag(x, k).over(order)
+            maps = maps.withColumns({f"_add_{s}": F.col(f"_add_{s}") + F.col(f"_keep_{s}") * F.coalesce(before(f"_add_{s}"), F.lit(0.0)) for s in spans} | {f"_keep_{s}": F.col(f"_keep_{s}") * F.coalesce(before(f"_keep_{s}"), F.lit(1.0)) for s in spans} | {"_any": F.col("_any") | F.coalesce(before("_any"), F.lit(False))})
+            k *= 2
+        carried = maps.select(*own, *stretch, *[F.coalesce(F.lag(f"_add_{s}").over(order), F.lit(0.0)).alias(f"_in_{s}") for s in spans], F.coalesce(F.lag("_any").over(order), F.lit(False)).alias("_known"))
+        out = join_null_safe(out, small(carried), [*own, *stretch])
+        known = F.col("_known") | F.coalesce(F.max(seen).over(Window.partitionBy(*stretch, *own).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))
+        mean = lambda s: F.exp(F.col(f"_log_{s}")) * (F.col(f"_sum_{s}") + F.when(F.col(f"_from_{s}") > 0, 0.0).otherwise(F.col(f"_in_{s}")))
+        dealt = out.withColumns({f"{c}_ewm_{s}": F.when(known, mean(s)) for s in spans}).drop("_known", *[f"_{x}_{s}" for s in spans for x in ("log", "sum", "from", "in")])
+    return dealt.drop("_range", "_stretch", "_at")
 
 
 def difference(c: str, k: int, w: WindowSpec) -> Column:

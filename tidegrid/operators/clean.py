@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, derived_trip_columns, seconds_between
 from ..spec import CleaningConfig, ColumnMapping
+from ..storage import written
+from .order import quantiles
 
 REQUIRED = ("StartTime", "EndTime", "StartStationId", "EndStationId")
 #: Formats that whole columns are tried with, in this order.
@@ -111,7 +113,7 @@ def _with_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, c: str, factor: float = 1.5, lower: float = 0.25, upper: float = 0.75) -> DataFrame:
-    q = df.agg(F.percentile(c, F.array(F.lit(lower), F.lit(upper))).alias("q"))
+    q = quantiles(df, {"q": F.col(c)}, (lower, upper))
     a, b = F.element_at("q", 1), F.element_at("q", 2)
     return q.select((a - factor * (b - a)).alias("_low"), (b + factor * (b - a)).alias("_high"), a.alias("_q1"), b.alias("_q3"))
 
@@ -192,10 +194,13 @@ def drop_outliers_forest(df: DataFrame, features: dict[str, Column], contaminati
     Its trees are fitted on rows drawn by the hash of their id (of all columns where there is none), so equal
     values are drawn as often as they occur. All rows are scored; the threshold is the quantile of all scores.
     """
-    wide = df.withColumns({f"_f{i}": F.coalesce(c.cast("double"), F.lit(-1.0)) for i, c in enumerate(features.values())})
-    names = [f"_f{i}" for i in range(len(features))]
-    keys = [id_col] if id_col in df.columns else df.columns
-    x = wide.orderBy(F.xxhash64(*keys), *names).limit(sample).select(*names).toPandas().to_numpy()
+    inputs = [F.coalesce(c.cast("double"), F.lit(-1.0)) for c in features.values()]
+    hashed = F.xxhash64(*([id_col] if id_col in df.columns else df.columns))
+    # A bound on the hashes leaves about 1.2 times the sample, of which the least are taken: no partition sends a sample's worth of rows.
+    share = 1.2 * sample / max(1, df.count())
+    some = df if share >= 1 else df.where(hashed.cast("double") / 2.0**64 + 0.5 < share)
+    drawn = some.select(hashed.alias("h"), *[c.alias(str(i)) for i, c in enumerate(inputs)])
+    x = drawn.orderBy(*drawn.columns).limit(sample).drop("h").toPandas().to_numpy()
     if not len(x):
         return df
     forest = IsolationForest(contamination=contamination, seed=seed).fit(x)
@@ -205,8 +210,8 @@ def drop_outliers_forest(df: DataFrame, features: dict[str, Column], contaminati
         for cols in batches:
             yield pd.Series(forest.score(np.column_stack(cols)))
 
-    scored = wide.withColumn("_score", score(*names)).drop(*names)
-    most = scored.agg(F.percentile("_score", F.lit(1 - contamination)).alias("_most"))
+    scored = written(df.withColumn("_score", score(*inputs)), "scored")
+    most = quantiles(scored, {"_most": F.col("_score")}, (1 - contamination,)).select(F.get("_most", 0).alias("_most"))
     return scored.crossJoin(F.broadcast(most)).where("_score <= _most").drop("_score", "_most")
 
 

@@ -1,20 +1,35 @@
-"""Operators that learn a small state and apply it: fit(df) gives a model, model.transform(df) a frame. States are DataFrames."""
+"""Operators that learn a state from a frame and apply it to others, as a whole or by group.
+
+An estimator says which tables it learns, keyed by the groups it's given, and which columns it adds from them. fit() evaluates the
+tables once. ByGroup fits any estimator for each group on its own, in the same few passes; a fitted model can be saved and loaded.
+"""
 
 from __future__ import annotations
 
 import abc
+import dataclasses
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.temporal import window
 from ..spec import PanelSpec
+from ..storage import written
+from .order import join_null_safe, positions, quantiles, small, with_rank
+
+#: The layout of saved models.
+VERSION = 1
+State = dict[str, DataFrame]
+
 
-#: A state of at most so many rows is broadcast; a larger one is joined by its keys.
-BROADCAST_ROWS = 100_000
+def attach(df: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """df with a state's columns: by its keys, nulls being equal, or those of its one row."""
+    return join_null_safe(df, small(table), keys, "left") if keys else df.crossJoin(F.broadcast(table))
 
 
 class Model(abc.ABC):
@@ -28,15 +43,97 @@ class Model(abc.ABC):
 
 class Estimator(abc.ABC):
     @abc.abstractmethod
-    def fit(self, df: DataFrame) -> Model: ...
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        """Tables of a row a group, or a row a group and category."""
+
+    @abc.abstractmethod
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame: ...
+
+    @abc.abstractmethod
+    def names(self, state: State) -> list[str]: ...
+
+    def fit(self, df: DataFrame) -> Fitted:
+        return Fitted(self, {name: written(t, name) for name, t in self.learn(df).items()})
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 
 
-def small(state: DataFrame) -> DataFrame:
-    """state, broadcast if a count shows that it is small."""
-    return F.broadcast(state) if state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else state
+class UnseenGroups(KeyError):
+    """Groups that a model wasn't fitted for."""
+
+
+@dataclass
+class Fitted(Model):
+    """An estimator with its state. unseen: rows of groups that weren't fitted raise an error that names them, or get nulls."""
+
+    of: Estimator
+    state: State
+    groups: tuple[str, ...] = ()
+    unseen: str = "error"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.groups and self.unseen == "error":
+            others = join_null_safe(df.select(*self.groups).distinct(), small(self.state["groups"]), self.groups, "left_anti")
+            if found := others.limit(10).collect():
+                raise UnseenGroups(f"never fitted: {', '.join(str(tuple(r)) for r in found)}")
+        return self.of.apply(df, self.state, self.groups)
+
+    def names(self) -> list[str]:
+        return self.of.names(self.state)
+
+    def save(self, path: str) -> None:
+        """A manifest with settings and schemas, and a Parquet table for each of the state's. Overwrites what is there."""
+        spark = next(iter(self.state.values())).sparkSession
+        for name, t in self.state.items():
+            t.write.mode("overwrite").parquet(f"{path}/{name}")
+        manifest = {"version": VERSION, "estimator": type(self.of).__name__, "settings": dataclasses.asdict(self.of), "groups": self.groups, "unseen": self.unseen, "tables": {n: t.schema.jsonValue() for n, t in self.state.items()}}
+        write_manifest(spark, path, manifest)
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    if manifest["version"] != VERSION:
+        raise ValueError(f"{path} has layout {manifest['version']}, not {VERSION}")
+    return manifest
+
+
+def settings_of(kind: type, values: dict):
+    """A dataclass of settings from what JSON makes of it: lists become tuples, panels PanelSpec."""
+    plain = lambda v: tuple(map(plain, v)) if isinstance(v, list) else v
+    return kind(**{k: PanelSpec(**{a: plain(b) for a, b in v.items()}) if k == "panel" else {a: plain(b) for a, b in v.items()} if isinstance(v, dict) else plain(v) for k, v in values.items()})
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    """A saved model. Its tables are read when it is applied."""
+    m = read_manifest(spark, path)
+    kinds = {k.__name__: k for k in Estimator.__subclasses__()}
+    if m["estimator"] not in kinds:
+        raise ValueError(f"unknown estimator {m['estimator']!r}")
+    state = {n: spark.read.schema(StructType.fromJson(t)).parquet(f"{path}/{n}") for n, t in m["tables"].items()}
+    return Fitted(settings_of(kinds[m["estimator"]], m["settings"]), state, tuple(m["groups"]), m["unseen"])
+
+
+class ByGroup:
+    """Fits an estimator for each group on its own: one keyed table of states for all, joined when it is applied."""
+
+    def __init__(self, base: Estimator, groups: tuple[str, ...], unseen: str = "error") -> None:
+        if not groups or unseen not in ("error", "null"):
+            raise ValueError("groups must be named; unseen is error or null")
+        self.base, self.groups, self.unseen = base, tuple(groups), unseen
+
+    def fit(self, df: DataFrame) -> Fitted:
+        if lacking := [g for g in self.groups if g not in df.columns]:
+            raise ValueError(f"no group columns {lacking}")
+        tables = {**self.base.learn(df, self.groups), "groups": df.select(*self.groups).distinct()}
+        return Fitted(self.base, {n: written(t, n) for n, t in tables.items()}, self.groups, self.unseen)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
 
 
 def check_quantiles(q: tuple[float, ...]) -> None:
@@ -54,12 +151,9 @@ def multipliers(n: int, scale: float = 2.0) -> list[float]:
     return [scale ** (i - n // 2) for i in range(n)]
 
 
-def bin_of(x: Column, edges: list[float]) -> Column:
+def bin_of(x: Column, edges: Column) -> Column:
     """The bin of x between open ends: the number of edges below it."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + (x > F.lit(float(e))).cast("int")
-    return F.when(x.isNotNull(), out)
+    return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: x > e)))
 
 
 @dataclass
@@ -79,30 +173,29 @@ class TrafficAdjuster(Estimator):
         value = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0)) if self.use_diff else F.col(c)
         return df.withColumns({f"_s_{c}": value(c).cast("double") for c in self.panel.values})
 
-    def fit(self, df: DataFrame) -> TrafficModel:
-        q = F.array(*[F.lit(float(x)) for x in self.quantiles])
-        got = self._signals(df).agg(*[F.percentile(f"_s_{c}", q).alias(c) for c in self.panel.values]).first()
-        edges = {c: sorted(set(got[c] or [])) for c in self.panel.values}
-        if few := [c for c, e in edges.items() if len(e) <= 2]:
-            raise ValueError(f"too few distinct quantiles of {few}")
-        return TrafficModel(self, edges)
-
-
-@dataclass
-class TrafficModel(Model):
-    of: TrafficAdjuster
-    edges: dict[str, list[float]]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.of._signals(df)
-        for c, edges in self.edges.items():
-            n = len(edges) + 1  # the ends are open
-            k = bin_of(F.col(f"_s_{c}"), edges) + 1
-            out = out.withColumns({f"{c}_magnitude": F.element_at(F.array(*map(F.lit, bin_labels(n))), k), f"{c}_adjusted": F.col(c) * F.element_at(F.array(*map(F.lit, multipliers(n, self.of.scale))), k)})
-        return out.drop(*[f"_s_{c}" for c in self.edges])
-
-    def names(self) -> list[str]:
-        return [f"{c}_{x}" for c in self.edges for x in ("magnitude", "adjusted")]
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        values = self.panel.values
+        found = quantiles(self._signals(df), {f"_e_{c}": F.col(f"_s_{c}") for c in values}, self.quantiles, groups)
+        state = written(found.withColumns({f"_e_{c}": F.array_sort(F.array_distinct(f"_e_{c}")) for c in values}), "edges")
+        few = {c: [tuple(r) for r in state.where(F.coalesce(F.size(f"_e_{c}"), F.lit(0)) <= 2).select(*(groups or (F.lit("all").alias("rows"),))).limit(5).collect()] for c in values}
+        if few := {c: r for c, r in few.items() if r}:
+            raise ValueError(f"too few distinct quantiles: {few}")
+        return {"edges": state}
+
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        out, labels = attach(self._signals(df), state["edges"], groups), {}
+        for c in self.panel.values:
+            n = F.size(f"_e_{c}") + 1  # the ends are open
+            k = bin_of(F.col(f"_s_{c}"), F.col(f"_e_{c}"))
+            named = [(i, F.get(F.array(*map(F.lit, bin_labels(i))), k)) for i in range(3, len(self.quantiles) + 2)]
+            label = F.when(n == named[0][0], named[0][1])
+            for i, x in named[1:]:
+                label = label.when(n == i, x)
+            labels |= {f"{c}_magnitude": label, f"{c}_adjusted": F.col(c) * F.pow(F.lit(float(self.scale)), (k - F.floor(n / 2)).cast("double"))}
+        return out.withColumns(labels).drop(*[f"_{x}_{c}" for c in self.panel.values for x in "se"])
+
+    def names(self, state: State) -> list[str]:
+        return [f"{c}_{x}" for c in self.panel.values for x in ("magnitude", "adjusted")]
 
 
 #: Shares at which three and five demand levels are cut. The latter make four bins.
@@ -112,22 +205,13 @@ LEVEL_SHARES = {3: (0, 0.3, 0.7, 1), 5: (0, 0.25, 0.4, 0.85, 1)}
 def demand_levels(df: DataFrame, value: str, classes: int = 3, groups: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """df with level, from 0: cut at shares of the rank, ties in the given order, so that levels have about those shares.
 
-    Without groups, ranks are those of all rows: positions come from value counts, no task sorts all rows.
+    Ranks are those of all rows, or of a group's: see order.with_rank(). No task sorts all rows, a hot group, or a frequent value.
     """
-    shares = LEVEL_SHARES[classes]
-    if groups:
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(value, *ties))
-        n = F.count("*").over(Window.partitionBy(*groups))
-        ranked = df.withColumns({"_r": rank, "_n": n})
-    else:
-        counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-        before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.select(F.col(value).alias("_v"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-        ranked = df.join(base, F.col(value).eqNullSafe(F.col("_v"))).withColumn("_r", F.col("_b") + F.row_number().over(Window.partitionBy(value).orderBy(*(ties or (value,))))).drop("_v", "_b")
+    ranked = with_rank(df, (value, *ties), groups, "_r", "_n")
     level = F.lit(0)
-    for s in shares[1:-1]:
+    for s in LEVEL_SHARES[classes][1:-1]:
         level = level + (F.col("_r") > F.lit(1.0) + F.lit(float(s)) * (F.col("_n") - 1)).cast("int")
-    return ranked.withColumn("level", level).drop("_r", "_n", "_b")
+    return ranked.withColumn("level", level).drop("_r", "_n")
 
 
 def level_edges(levels: DataFrame, value: str, groups: tuple[str, ...] = (), upper_only: bool = False) -> DataFrame:
@@ -151,34 +235,31 @@ def apply_levels(df: DataFrame, value: str, edges: DataFrame, groups: tuple[str,
 
 @dataclass
 class MinMax(Estimator):
+    """Columns scaled to [0, 1] by their least and greatest value; one of a single value becomes 0."""
+
     columns: tuple[str, ...]
     groups: tuple[str, ...] = ()
 
-    def fit(self, df: DataFrame) -> MinMaxModel:
-        state = df.groupBy(*self.groups).agg(*[x for c in self.columns for x in (F.min(c).cast("double").alias(f"_lo_{c}"), F.max(c).cast("double").alias(f"_hi_{c}"))])
-        return MinMaxModel(self, state)
-
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        own = (*groups, *(g for g in self.groups if g not in groups))
+        return {"spans": df.groupBy(*own).agg(*[x for c in self.columns for x in (F.min(c).cast("double").alias(f"_lo_{c}"), F.max(c).cast("double").alias(f"_hi_{c}"))])}
 
-@dataclass
-class MinMaxModel(Model):
-    """Without groups the state is one row. A column of one value becomes 0."""
-
-    of: MinMax
-    state: DataFrame
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.join(small(self.state), list(self.of.groups), "left") if self.of.groups else df.crossJoin(F.broadcast(self.state))
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        out = attach(df, state["spans"], (*groups, *(g for g in self.groups if g not in groups)))
         span = lambda c: F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        scaled = {c: (F.col(c) - F.col(f"_lo_{c}")) / F.when(span(c) != 0, span(c)).otherwise(1.0) for c in self.of.columns}
-        return out.withColumns(scaled).drop(*[f"_{e}_{c}" for c in self.of.columns for e in ("lo", "hi")])
+        scaled = {c: (F.col(c) - F.col(f"_lo_{c}")) / F.when(span(c) != 0, span(c)).otherwise(1.0) for c in self.columns}
+        return out.withColumns(scaled).drop(*[f"_{e}_{c}" for c in self.columns for e in ("lo", "hi")])
 
-    def names(self) -> list[str]:
-        return list(self.of.columns)
+    def names(self, state: State) -> list[str]:
+        return list(self.columns)
 
 
 @dataclass
 class TargetEncoder(Estimator):
-    """Mean target of each category, shrunk to the overall mean: additive by count/(count + prior_weight), or exponential, 1/(1 + exp(-(count - min_samples)/prior_weight))."""
+    """Mean target of each category, shrunk to the overall mean: additive by count/(count + prior_weight), or exponential, 1/(1 + exp(-(count - min_samples)/prior_weight)).
+
+    A category that wasn't seen, or is null, gets the overall mean.
+    """
 
     column: str
     targets: tuple[str, ...]
@@ -190,83 +271,116 @@ class TargetEncoder(Estimator):
         if self.smoothing not in ("additive", "exponential") or self.prior_weight <= 0:
             raise ValueError("smoothing is additive or exponential, with a positive weight")
 
-    def fit(self, df: DataFrame) -> TargetModel:
-        overall = df.agg(*[F.avg(t).alias(t) for t in self.targets]).first()
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        own, names = tuple(g for g in groups if g != self.column), self.names({})
+        overall = df.groupBy(*own).agg(*[F.avg(t).alias(f"_m_{i}") for i, t in enumerate(self.targets)])
         n = F.col("_n").cast("double")
         share = n / (n + self.prior_weight) if self.smoothing == "additive" else 1 / (1 + F.exp(-(n - self.min_samples) / self.prior_weight))
-        state = df.groupBy(self.column).agg(F.count("*").alias("_n"), *[F.avg(t).alias(f"_m{i}") for i, t in enumerate(self.targets)])
-        state = state.select(F.col(self.column).alias("_key"), *[(F.col(f"_m{i}") * share + F.lit(overall[t]) * (1 - share)).alias(f"{self.column}__target_{i}_enc") for i, t in enumerate(self.targets)])
-        return TargetModel(self, state, [overall[t] for t in self.targets])
+        means = df.where(F.col(self.column).isNotNull()).groupBy(*own, self.column).agg(F.count("*").alias("_n"), *[F.avg(t).alias(f"_c_{i}") for i, t in enumerate(self.targets)])
+        encoded = attach(means, overall, own).select(*own, self.column, *[(F.col(f"_c_{i}") * share + F.col(f"_m_{i}") * (1 - share)).alias(x) for i, x in enumerate(names)])
+        return {"overall": overall, "categories": encoded}
 
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        own = tuple(g for g in groups if g != self.column)
+        out = attach(attach(df, state["categories"], (*own, self.column)), state["overall"], own)
+        return out.withColumns({x: F.coalesce(x, f"_m_{i}") for i, x in enumerate(self.names({}))}).drop(*[f"_m_{i}" for i in range(len(self.targets))])
 
-@dataclass
-class TargetModel(Model):
-    of: TargetEncoder
-    state: DataFrame
-    overall: list[float]
+    def names(self, state: State) -> list[str]:
+        return [f"{self.column}__target_{i}_enc" for i in range(len(self.targets))]
 
-    def names(self) -> list[str]:
-        return [f"{self.of.column}__target_{i}_enc" for i in range(len(self.of.targets))]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.join(small(self.state), F.col(self.of.column) == F.col("_key"), "left").drop("_key")
-        return out.withColumns({n: F.coalesce(F.col(n), F.lit(m)) for n, m in zip(self.names(), self.overall)})
+def _unknown(df: DataFrame, known: DataFrame, keys: tuple[str, ...]) -> None:
+    """Raises an error that names categories which a fitted group hasn't got."""
+    *own, column = keys
+    df = join_null_safe(df, small(known.select(*own).distinct()), own, "left_semi") if own else df
+    others = join_null_safe(df.where(F.col(column).isNotNull()).select(*keys).distinct(), small(known.select(*keys)), keys, "left_anti")
+    if found := others.limit(10).collect():
+        raise ValueError(f"unknown categories of {column}: {', '.join(str(tuple(r) if len(keys) > 1 else r[0]) for r in found)}")
 
 
 @dataclass
 class Ordinal(Estimator):
-    """{c}: the place of the category in ascending order; null for one that wasn't seen."""
-
-    column: str
+    """{c}: the place of the category in ascending order, null for null. unknown: categories that weren't seen raise an error, or get unknown_value."""
 
-    def fit(self, df: DataFrame) -> OrdinalModel:
-        values = df.select(F.col(self.column).alias("_key")).where("_key IS NOT NULL").distinct()
-        return OrdinalModel(self.column, values.withColumn("_code", (F.row_number().over(Window.orderBy("_key")) - 1).cast("double")))  # a row a category
-
-
-@dataclass
-class OrdinalModel(Model):
     column: str
-    state: DataFrame
+    unknown: str = "use_encoded_value"
+    unknown_value: float | None = None
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.join(small(self.state), F.col(self.column) == F.col("_key"), "left").drop("_key").withColumn(self.column, F.col("_code")).drop("_code")
-
-    def names(self) -> list[str]:
+    def __post_init__(self) -> None:
+        if self.unknown not in ("error", "use_encoded_value"):
+            raise ValueError("unknown is error or use_encoded_value")
+
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        own = tuple(g for g in groups if g != self.column)
+        placed = positions(df.where(F.col(self.column).isNotNull()).select(*own, self.column).distinct(), [self.column], own)
+        return {"codes": placed.select(*own, self.column, F.col("_before").cast("double").alias("_code"))}
+
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        keys = (*(g for g in groups if g != self.column), self.column)
+        if self.unknown == "error":
+            _unknown(df, state["codes"], keys)
+        code = F.coalesce("_code", F.lit(self.unknown_value).cast("double")) if self.unknown_value is not None else F.col("_code")
+        return attach(df, state["codes"], keys).withColumn(self.column, F.when(F.col(self.column).isNotNull(), code)).drop("_code")
+
+    def names(self, state: State) -> list[str]:
         return [self.column]
 
 
 @dataclass
 class OneHot(Estimator):
-    """{c}_{v}: 1 or 0. Of two categories, if drop_if_binary, only the second has a column; beyond most_categories the rarest share {c}_other."""
+    """{c}_{v}: 1 or 0. Of two categories, if drop_if_binary, only the second has a column; beyond most_categories the rarest share {c}_other.
+
+    unknown: categories that weren't seen raise an error, are 0 in all columns (ignore), or count as rare ones where there are such
+    (infrequent_if_exist). By group, a column is null where the group's own encoding has no such column.
+    """
 
     column: str
     drop_if_binary: bool = True
     most_categories: int = 50
+    unknown: str = "error"
 
-    def fit(self, df: DataFrame) -> OneHotModel:
-        rows = df.where(F.col(self.column).isNotNull()).groupBy(self.column).count().orderBy(F.col("count").desc(), self.column).limit(self.most_categories + 1).collect()  # bounded
-        values = [r[0] for r in rows]
-        other = len(values) > self.most_categories
-        values = sorted(values[: self.most_categories - 1] if other else values)
-        return OneHotModel(self.column, values[1:] if self.drop_if_binary and len(values) == 2 and not other else values, values if other else None)
-
-
-@dataclass
-class OneHotModel(Model):
-    column: str
-    values: list
-    known: list | None
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        c = F.col(self.column)
-        out = {f"{self.column}_{v}": F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)) for v in self.values}
-        if self.known is not None:
-            out[f"{self.column}_other"] = F.coalesce((~c.isin(self.known)).cast("int"), F.lit(0))
-        return df.withColumns(out)
-
-    def names(self) -> list[str]:
-        return [f"{self.column}_{v}" for v in self.values] + ([f"{self.column}_other"] if self.known is not None else [])
+    def __post_init__(self) -> None:
+        if self.unknown not in ("error", "ignore", "infrequent_if_exist"):
+            raise ValueError("unknown is error, ignore or infrequent_if_exist")
+
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        own = tuple(g for g in groups if g != self.column)
+        counts = df.where(F.col(self.column).isNotNull()).groupBy(*own, self.column).agg(F.count("*").alias("_n"))
+        ranked = with_rank(counts.withColumn("_less", -F.col("_n")), ("_less", self.column), own, "_r", "_t")  # the most frequent first
+        many = F.col("_t") > self.most_categories
+        ranked = attach(ranked, counts.groupBy(*own).agg(F.max(self.column).alias("_top")), own)
+        alone = F.when(many, F.col("_r") < self.most_categories).when((F.col("_t") == 2) & F.lit(self.drop_if_binary), F.col(self.column) == F.col("_top")).otherwise(True)
+        return {"categories": ranked.select(*own, self.column, alone.alias("_alone"), (many & ~alone).alias("_rare"))}
+
+    def _values(self, state: State) -> list:
+        rows = state["categories"].where("_alone").select(self.column).distinct().orderBy(self.column).limit(10_000).collect()
+        if len(rows) == 10_000:
+            raise ValueError(f"{self.column} has too many categories for a column each")
+        return [r[0] for r in rows]
+
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        own = tuple(g for g in groups if g != self.column)
+        if self.unknown == "error":
+            _unknown(df, state["categories"], (*own, self.column))
+        c, values, rare = F.col(self.column), self._values(state), self._rare(state)
+        if own:  # which columns a group has, and its rare categories
+            of_group = state["categories"].groupBy(*own).agg(F.collect_set(F.when(F.col("_alone"), F.col(self.column))).alias("_has"), F.collect_set(F.col(self.column)).alias("_known"), F.max("_rare").alias("_any_rare"))
+            out = attach(df, of_group, own)
+            has, known, any_rare = (lambda v: F.array_contains("_has", F.lit(v))), F.array_contains("_known", c), F.col("_any_rare")
+        else:
+            has, any_rare = (lambda v: F.lit(True)), F.lit(rare)
+            known, out = F.col("_alone").isNotNull(), attach(df, state["categories"], (self.column,))
+        cols = {f"{self.column}_{v}": F.when(has(v), F.coalesce((c == F.lit(v)).cast("int"), F.lit(0))) for v in values}
+        if rare:
+            other = ~c.isin(values) & (known | F.lit(self.unknown == "infrequent_if_exist")) if not own else ~F.array_contains("_has", c) & (known | F.lit(self.unknown == "infrequent_if_exist"))
+            cols[f"{self.column}_other"] = F.when(any_rare, F.coalesce(other.cast("int"), F.lit(0)))
+        return out.withColumns(cols).drop("_has", "_known", "_any_rare", "_alone", "_rare")
+
+    def _rare(self, state: State) -> bool:
+        return not state["categories"].where("_rare").isEmpty()
+
+    def names(self, state: State) -> list[str]:
+        return [f"{self.column}_{v}" for v in self._values(state)] + ([f"{self.column}_other"] if self._rare(state) else [])
 
 
 @dataclass
@@ -284,10 +398,13 @@ class Fourier(Estimator):
     one_sided: bool = False
     t_offset: int = 0
 
-    def fit(self, df: DataFrame) -> FourierModel:
-        p, k = self.panel, self.harmonics
+    def _groups(self, groups: tuple[str, ...]) -> list[str]:
+        return [*self.panel.groups, *(g for g in groups if g not in self.panel.groups)]
+
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        p, k, own = self.panel, self.harmonics, self._groups(groups)
         smooth, detrend, width, one_sided = self.smooth, self.detrend, self.window, self.one_sided
-        schema = ", ".join(f"{g} {dict(df.dtypes)[g]}" for g in p.groups) + ", value string, amplitude double, phase double, frequency double, most double"
+        schema = ", ".join(f"{g} {dict(df.dtypes)[g]}" for g in own) + ", value string, amplitude double, phase double, frequency double, most double"
 
         def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values([p.time, *p.ties], kind="stable")
@@ -303,98 +420,87 @@ class Fourier(Estimator):
                 if one_sided:
                     amplitude = np.where(freq < 0, 0.0, np.where(freq == 0, amplitude / 2, amplitude))
                 for i in np.argsort(-amplitude, kind="stable")[:k]:
-                    out.append((*(pdf[g].iloc[0] for g in p.groups), c, amplitude[i], np.angle(f[i]), freq[i], most))
-            return pd.DataFrame(out, columns=[*p.groups, "value", "amplitude", "phase", "frequency", "most"])
-
-        some = df.select(*p.groups, p.time, *p.ties, *p.values)
-        return FourierModel(self, some.groupBy(*p.groups).applyInPandas(spectrum, schema))
-
+                    out.append((*(pdf[g].iloc[0] for g in own), c, amplitude[i], np.angle(f[i]), freq[i], most))
+            return pd.DataFrame(out, columns=[*own, "value", "amplitude", "phase", "frequency", "most"])
 
-@dataclass
-class FourierModel(Model):
-    of: Fourier
-    state: DataFrame
+        some = df.select(*own, p.time, *p.ties, *p.values)
+        waves = some.groupBy(*own).applyInPandas(spectrum, schema).groupBy(*own, "value").agg(F.collect_list(F.struct("amplitude", "phase", "frequency")).alias("w"), F.first("most").alias("most"))
+        return {"waves": waves.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("w", "most").alias("s")))).alias("_waves"))}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
         """fourier_{c}: the sum of waves, within 0 and the greatest value seen. A group that wasn't fitted has null."""
-        p = self.of.panel
-        out = df.withColumn("_t", (F.row_number().over(window(p)) - 1 + self.of.t_offset).cast("double"))
-        waves = self.state.groupBy(*p.groups, "value").agg(F.collect_list(F.struct("amplitude", "phase", "frequency")).alias("w"), F.first("most").alias("most"))
-        waves = small(waves.groupBy(*p.groups).agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("w", "most").alias("s")))).alias("_s")))
-        out = out.join(waves, list(p.groups), "left")
+        own = self._groups(groups)
+        place = F.row_number().over(Window.partitionBy(*own).orderBy(self.panel.time, *self.panel.ties))
+        out = attach(df.withColumn("_t", (place - 1 + self.t_offset).cast("double")), state["waves"], tuple(own))
         cols = {}
-        for c in p.values:
-            s = F.col("_s")[c]
+        for c in self.panel.values:
+            s = F.col("_waves")[c]
             total = F.aggregate(s["w"], F.lit(0.0), lambda a, x: a + x["amplitude"] * F.cos(F.lit(2 * np.pi) * x["frequency"] * F.col("_t") + x["phase"]))
             cols[f"fourier_{c}"] = F.when(total.isNotNull(), F.least(F.greatest(total, F.lit(0.0)), s["most"]))
-        return out.withColumns(cols).drop("_t", "_s")
+        return out.withColumns(cols).drop("_t", "_waves")
 
-    def names(self) -> list[str]:
-        return [f"fourier_{c}" for c in self.of.panel.values]
+    def names(self, state: State) -> list[str]:
+        return [f"fourier_{c}" for c in self.panel.values]
 
 
 @dataclass
 class Power(Estimator):
-    """Yeo-Johnson or Box-Cox by the likeliest exponent, then mean 0 and deviation 1. The exponent comes from one pass over a grid, refined."""
+    """Yeo-Johnson or Box-Cox by the likeliest exponent, or by given ones, then mean 0 and deviation 1.
+
+    The exponent comes from passes over grids around the best so far, of which all groups have their own.
+    """
 
     columns: tuple[str, ...]
     method: str = "yeo-johnson"
     standardize: bool = True
+    exponents: tuple[float, ...] | None = None
+
+    def __post_init__(self) -> None:
+        if self.method not in ("yeo-johnson", "box-cox"):
+            raise ValueError(f"unknown method {self.method!r}")
 
-    def _expr(self, x: Column, lam: float) -> Column:
+    def _expr(self, x: Column, lam: Column) -> Column:
+        raised = lambda y, e: (F.pow(y, e) - 1) / F.when(F.abs(e) >= 1e-9, e)
         if self.method == "box-cox":
-            return F.log(x) if abs(lam) < 1e-9 else (F.pow(x, F.lit(lam)) - 1) / lam
-        up = F.log1p(x) if abs(lam) < 1e-9 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-        down = -F.log1p(-x) if abs(lam - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / (2 - lam)
+            return F.when(F.abs(lam) < 1e-9, F.log(x)).otherwise(raised(x, lam))
+        up = F.when(F.abs(lam) < 1e-9, F.log1p(x)).otherwise(raised(x + 1, lam))
+        down = F.when(F.abs(lam - 2) < 1e-9, -F.log1p(-x)).otherwise(-raised(1 - x, 2 - lam))
         return F.when(x >= 0, up).when(x < 0, down)
 
-    def fit(self, df: DataFrame) -> PowerModel:
-        if self.method not in ("yeo-johnson", "box-cox"):
-            raise ValueError(f"unknown method {self.method!r}")
+    def learn(self, df: DataFrame, groups: tuple[str, ...] = ()) -> State:
+        cols = {i: F.col(c).cast("double") for i, c in enumerate(self.columns)}
+        lam = lambda i: F.col(f"_lam_{i}")
         if self.method == "box-cox":
-            low = df.agg(*[F.min(c).alias(c) for c in self.columns]).first()
-            if bad := [c for c in self.columns if low[c] is None or low[c] <= 0]:
+            low = df.agg(*[F.min(c).alias(str(i)) for i, c in enumerate(self.columns)]).first()
+            if bad := [c for i, c in enumerate(self.columns) if low[str(i)] is None or low[str(i)] <= 0]:
                 raise ValueError(f"Box-Cox needs positive values: {bad}")
-        found = {c: (0.0, 1.0) for c in self.columns}
-        center, step = dict.fromkeys(self.columns, 0.0), 0.5
-        for _ in range(4):
-            grid = {c: [center[c] + step * i for i in range(-8, 9)] for c in self.columns}
-            log = lambda c: F.log(F.col(c)) if self.method == "box-cox" else F.signum(c) * F.log1p(F.abs(c))
-            got = df.agg(*[F.var_pop(self._expr(F.col(c).cast("double"), x)).alias(f"{c}|{i}") for c in self.columns for i, x in enumerate(grid[c])], *[F.avg(log(c)).alias(f"{c}|l") for c in self.columns]).first()
-            for c in self.columns:
-                like = [-0.5 * np.log(max(got[f"{c}|{i}"] or 0, 1e-300)) + (x - 1) * (got[f"{c}|l"] or 0) for i, x in enumerate(grid[c])]
-                center[c] = grid[c][int(np.argmax(like))]
+        first = self.exponents or (0.0,) * len(self.columns)
+        found = df.groupBy(*groups).agg(*[F.lit(float(e)).alias(f"_lam_{i}") for i, e in enumerate(first)])
+        step = 0.5
+        for _ in range(0 if self.exponents else 4):
+            log = lambda i: F.log(cols[i]) if self.method == "box-cox" else F.signum(cols[i]) * F.log1p(F.abs(cols[i]))
+            tried = attach(df, found, groups).groupBy(*groups).agg(
+                *[F.first(f"_lam_{i}").alias(f"_lam_{i}") for i in cols], *[F.avg(log(i)).alias(f"_log_{i}") for i in cols],
+                *[F.var_pop(self._expr(cols[i], lam(i) + step * k)).alias(f"_var_{i}_{k + 8}") for i in cols for k in range(-8, 9)],
+            )
+            likely = lambda i, k: -0.5 * F.log(F.greatest(F.coalesce(f"_var_{i}_{k + 8}", F.lit(0.0)), F.lit(1e-300))) + (lam(i) + step * k - 1) * F.coalesce(f"_log_{i}", F.lit(0.0))
+            best = lambda i: F.array_max(F.array(*[F.struct(likely(i, k).alias("l"), F.lit(-k).alias("k")) for k in range(-8, 9)]))["k"]
+            found = written(tried.select(*groups, *[(lam(i) - step * best(i)).alias(f"_lam_{i}") for i in cols]), "exponents")
             step /= 8
-        stats = df.agg(*[x for c in self.columns for x in (F.avg(self._expr(F.col(c).cast("double"), center[c])).alias(f"{c}|m"), F.stddev_pop(self._expr(F.col(c).cast("double"), center[c])).alias(f"{c}|s"))]).first()
-        found = {c: (stats[f"{c}|m"] or 0.0, stats[f"{c}|s"] or 1.0) for c in self.columns}
-        return PowerModel(self, center, found)
-
+        stats = attach(df, found, groups).groupBy(*groups).agg(*[x for i in cols for x in (F.first(lam(i)).alias(f"_lam_{i}"), F.avg(self._expr(cols[i], lam(i))).alias(f"_mean_{i}"), F.stddev_pop(self._expr(cols[i], lam(i))).alias(f"_std_{i}"))])
+        return {"exponents": stats}
 
-@dataclass
-class PowerModel(Model):
-    of: Power
-    exponents: dict[str, float]
-    stats: dict[str, tuple[float, float]]
+    def apply(self, df: DataFrame, state: State, groups: tuple[str, ...] = ()) -> DataFrame:
+        out, found = attach(df, state["exponents"], groups), {}
+        for i, c in enumerate(self.columns):
+            x, std = self._expr(F.col(c).cast("double"), F.col(f"_lam_{i}")), F.col(f"_std_{i}")
+            found[c] = (x - F.coalesce(f"_mean_{i}", F.lit(0.0))) / F.when(std != 0, std).otherwise(1.0) if self.standardize else x
+        return out.withColumns(found).drop(*[f"_{x}_{i}" for x in ("lam", "mean", "std") for i in range(len(self.columns))])
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = {}
-        for c, lam in self.exponents.items():
-            x = self.of._expr(F.col(c).cast("double"), lam)
-            out[c] = (x - self.stats[c][0]) / self.stats[c][1] if self.of.standardize else x
-        return df.withColumns(out)
-
-    def names(self) -> list[str]:
-        return list(self.exponents)
+    def names(self, state: State) -> list[str]:
+        return list(self.columns)
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     kinds = ("int", "bigint", "smallint", "tinyint", "float", "double")
     return [c for c, t in df.dtypes if (t in kinds or t.startswith("decimal")) and c not in exclude]
-
-
-def save_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
-
-
-def load_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

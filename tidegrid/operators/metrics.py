@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import window
 from ..spec import PanelSpec
+from .order import join_null_safe, quantiles
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -52,8 +53,8 @@ def classification_metrics(df: DataFrame, groups: tuple[str, ...], y: str = "y",
 def metric_quantiles(metrics: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = (), at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """keys, metric and a column q{percent} for each quantile of the metric over groups."""
     long = metrics.unpivot([F.col(k) for k in keys], list(names), "metric", "v") if keys else metrics.select(*names).unpivot([], list(names), "metric", "v")
-    q = F.percentile("v", F.array(*[F.lit(x) for x in at]))
-    return long.groupBy(*keys, "metric").agg(*[F.element_at(q, i + 1).alias(f"q{round(100 * x)}") for i, x in enumerate(at)])
+    found = join_null_safe(long.select(*keys, "metric").distinct(), quantiles(long, {"_q": F.col("v")}, at, (*keys, "metric")), [*keys, "metric"], "left")
+    return found.select(*keys, "metric", *[F.element_at("_q", i + 1).alias(f"q{round(100 * x)}") for i, x in enumerate(at)])
 
 
 def mean_metrics(metrics: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:

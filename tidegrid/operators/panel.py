@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_time, freq_seconds, micros
+from .order import quantiles, small
 
 
 def departures(trips: DataFrame, freq: str = "1h") -> DataFrame:
@@ -23,7 +24,7 @@ def densify(df: DataFrame, freq: str, time: str = "timestamp", group: str = "sta
     step = freq_seconds(freq) * 1_000_000
     span = df.agg(F.min(micros(F.col(time))).alias("a"), F.max(micros(F.col(time))).alias("b")).where("a IS NOT NULL")
     periods = span.select(F.explode(F.sequence("a", "b", F.lit(step))).alias("t")).select(F.timestamp_micros("t").cast("timestamp_ntz").alias(time))
-    grid = df.select(group).where(F.col(group).isNotNull()).distinct().crossJoin(F.broadcast(periods))  # bounded: a century of hours is 900,000 rows
+    grid = df.select(group).where(F.col(group).isNotNull()).distinct().crossJoin(small(periods))  # a grid: all groups at all periods
     out = grid.join(df, [time, group], "left")
     return out.na.fill(fill) if fill else out
 
@@ -70,14 +71,14 @@ def cross_counts(df: DataFrame, row: Column, column: Column, values: list, row_n
 
 def cleaning_report(trips: DataFrame) -> DataFrame:
     d = "duration_minutes"
-    quarters = F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return trips.agg(
+    quarters = quantiles(trips, {"_q": F.col(d)}, (0.25, 0.5, 0.75)).select(*[F.element_at("_q", i + 1).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    one = trips.agg(
         F.count(d).alias("count"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"),
-        *[F.element_at(quarters, i + 1).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
         F.countDistinct("TripId").alias("n_trips"), F.countDistinct("StartStationId").alias("n_start_stations"), F.countDistinct("EndStationId").alias("n_end_stations"),
         F.sum("IsRoundTrip").alias("round_trips"), F.avg("IsRoundTrip").alias("round_trip_share"), F.min("StartTime").alias("first_start"), F.max("StartTime").alias("last_start"),
         F.mode("StartHour", True).alias("peak_hour"), F.mode("StartDayOfWeek", True).alias("peak_day"),
     )
+    return one.crossJoin(F.broadcast(quarters))  # one row each
 
 
 def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import micros
+from .order import positions, quantiles, small, with_rank
 
 
 def time_quantiles(df: DataFrame, time: str, shares: list[float]) -> DataFrame:
     """One row: the times, in microseconds, below which such shares of rows lie, interpolated."""
-    q = df.agg(F.percentile(micros(F.col(time)), F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
+    q = quantiles(df, {"q": micros(F.col(time))}, shares)
     return q.select(*[F.element_at("q", i + 1).alias(f"_q{i}") for i in range(len(shares))])
 
 
@@ -42,15 +43,15 @@ def burn_in_split(df: DataFrame, time: str, test: float = 0.1, burn: float = 0.1
 
 def _ranked_times(df: DataFrame, time: str) -> DataFrame:
     """The distinct times with their rank from 1 and their number: as many rows as periods."""
-    times = df.select(time).where(F.col(time).isNotNull()).distinct()
-    return times.select(time, F.row_number().over(Window.orderBy(time)).alias("_rank"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    times = positions(df.select(time).where(F.col(time).isNotNull()).distinct(), [time])
+    return small(times.select(time, (F.col("_before") + 1).alias("_rank"), F.col("_total").alias("_n")))
 
 
 def increments(df: DataFrame, time: str, k: int) -> DataFrame:
     """increment: the first of k growing shares of the unique times that holds the row. Share i holds all increments up to i."""
     cuts = [F.floor(F.col("_n") * F.lit(i / k)) for i in range(1, k + 1)]
     at = F.coalesce(*[F.when(F.col("_rank") <= c, F.lit(i + 1)) for i, c in enumerate(cuts)])
-    return df.join(F.broadcast(_ranked_times(df, time)), time).withColumn("increment", at).drop("_rank", "_n")
+    return df.join(_ranked_times(df, time), time).withColumn("increment", at).drop("_rank", "_n")
 
 
 def time_series_folds(df: DataFrame, time: str, k: int) -> DataFrame:
@@ -58,25 +59,18 @@ def time_series_folds(df: DataFrame, time: str, k: int) -> DataFrame:
     size = F.floor(F.col("_n") / F.lit(k + 1))
     first = F.col("_n") - F.lit(k) * size
     fold = F.when(F.col("_rank") <= first, 0).otherwise(F.floor((F.col("_rank") - first - 1) / size) + 1)
-    return df.join(F.broadcast(_ranked_times(df, time)), time).withColumn("fold", fold.cast("int")).drop("_rank", "_n")
+    return df.join(_ranked_times(df, time), time).withColumn("fold", fold.cast("int")).drop("_rank", "_n")
 
 
 def position_folds(df: DataFrame, order: tuple[str, ...], k: int = 5) -> DataFrame:
-    """The same by the position of rows in an order, without a task that sorts them all: positions come from counts of ranges."""
-    n = df.count()
-    size = n // (k + 1)
-    if not size:
-        raise ValueError(f"{n} rows don't make {k} folds")
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before, total = {}, 0
-    for r in dealt.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
-        before[r["_part"]] = total
-        total += r["count"]
-    base = df.sparkSession.createDataFrame(list(before.items()), "_part int, _base long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_base")
-    first = n - k * size
-    fold = F.when(place <= first, 0).otherwise(F.floor((place - first - 1) / size) + 1)
-    return dealt.join(F.broadcast(base), "_part").withColumn("fold", fold.cast("int")).drop("_part", "_base")
+    """The same by the position of rows in an order, which tells rows apart: see order.with_rank()."""
+    placed = with_rank(df, order, rank="_place", total="_n")
+    size = F.floor(F.col("_n") / F.lit(k + 1))
+    if df.limit(k + 1).count() <= k:
+        raise ValueError(f"there are too few rows for {k} folds")
+    first = F.col("_n") - F.lit(k) * size
+    fold = F.when(F.col("_place") <= first, 0).otherwise(F.floor((F.col("_place") - first - 1) / size) + 1)
+    return placed.withColumn("fold", fold.cast("int")).drop("_place", "_n")
 
 
 def common_groups(a: DataFrame, b: DataFrame, groups: tuple[str, ...], strict: bool = False) -> tuple[DataFrame, DataFrame]:

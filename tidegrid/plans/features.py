@@ -147,17 +147,35 @@ _register("rolling_stats", ", ".join(f"({x} OVER {_FRAME(k)}){_CAST.get(s, '')}
 _register("rolling_median", f"quantile_cont(crowd, 0.5) OVER {_FRAME(6)} AS crowd_rolling_median_6", lambda w: {"crowd_rolling_median_6": temporal.rolling("crowd", 6, "median", w)})
 _register("rolling_skew_kurt", f"""CASE WHEN count(crowd) OVER {_FRAME(12)} >= 3 THEN CASE WHEN var_pop(crowd) OVER {_FRAME(12)} < 1e-14 THEN 0 ELSE round(skewness(crowd) OVER {_FRAME(12)} + 1e-9, 4) END END AS crowd_rolling_skew_12,
 CASE WHEN count(crowd) OVER {_FRAME(12)} >= 4 THEN CASE WHEN var_pop(crowd) OVER {_FRAME(12)} < 1e-14 THEN -3 ELSE round(kurtosis(crowd) OVER {_FRAME(12)} + 1e-9, 4) END END AS crowd_rolling_kurt_12""", lambda w: {f"crowd_rolling_{s}_12": F.round(temporal.rolling("crowd", 12, s, w) + 1e-9, 4) for s in ("skew", "kurt")})
-_register("ewm", ", ".join(f"list_reduce(list(crowd::DOUBLE) OVER (PARTITION BY district_id ORDER BY timestamp), lambda y, x: y * {1 - 2 / (k + 1)!r}::DOUBLE + x * {2 / (k + 1)!r}::DOUBLE) AS crowd_ewm_{k}" for k in (3, 24)), lambda w: {f"crowd_ewm_{k}": temporal.ewm_folded("crowd", k, w) for k in (3, 24)})
 _register("diff_orders", ", ".join(f"crowd - lag(crowd, {k}) OVER w AS crowd_diff_{k}, (crowd - lag(crowd, {k}) OVER w) - (lag(crowd, 1) OVER w - lag(crowd, {k + 1}) OVER w) AS crowd_diff_rate_{k}" for k in (1, 24)), lambda w: {n: f("crowd", k, w) for k in (1, 24) for n, f in ((f"crowd_diff_{k}", temporal.difference), (f"crowd_diff_rate_{k}", temporal.difference_rate))})
 _register("pct_change", ", ".join(f"CASE WHEN lag(crowd, {k}) OVER w <> 0 THEN greatest(least((crowd - lag(crowd, {k}) OVER w) / (lag(crowd, {k}) OVER w)::DOUBLE, 1), -1) END::DOUBLE AS crowd_pct_change_{k}" for k in (1, 24)), lambda w: {f"crowd_pct_change_{k}": temporal.pct_change("crowd", k, w) for k in (1, 24)})
 _register("rolling_dev_cv", f"crowd - avg(crowd) OVER {_FRAME(24)} AS crowd_deviation_rolling_24, stddev_samp(crowd) OVER {_FRAME(24)} / nullif(avg(crowd) OVER {_FRAME(24)}, 0) AS crowd_cv_rolling_24", lambda w: {"crowd_deviation_rolling_24": temporal.deviation("crowd", 24, w), "crowd_cv_rolling_24": temporal.variation("crowd", 24, w)})
 
 
-@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, crowd, list_reduce(list(crowd::DOUBLE) OVER (PARTITION BY district_id ORDER BY timestamp), lambda y, x: y * {1 - 2 / 13!r}::DOUBLE + x * {2 / 13!r}::DOUBLE) AS crowd_ewm_12 FROM panel {W_SQL}")
+def _ewm_sql(x: str, span: int) -> str:
+    """The mean as a fold over all rows so far: its value and the weight of what came before."""
+    a, d = f"{2 / (span + 1)!r}::DOUBLE", f"{1 - 2 / (span + 1)!r}::DOUBLE"
+    step = f"lambda p, e: {{'x': e.x, 'y': CASE WHEN p.y IS NULL THEN e.x WHEN e.x IS NULL THEN p.y ELSE (p.w * {d} * p.y + {a} * e.x) / (p.w * {d} + {a}) END, 'w': CASE WHEN e.x IS NOT NULL THEN 1::DOUBLE ELSE p.w * {d} END}}"
+    return f"list_reduce([{{'x': NULL::DOUBLE, 'y': NULL::DOUBLE, 'w': NULL::DOUBLE}}] || list({{'x': {x}::DOUBLE, 'y': NULL::DOUBLE, 'w': NULL::DOUBLE}}) OVER (PARTITION BY district_id ORDER BY timestamp), {step}).y"
+
+
+@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, {', '.join(f'{_ewm_sql("crowd", k)} AS crowd_ewm_{k}' for k in (3, 24))} FROM panel")
+def ewm(spark, d):
+    return temporal.add_ewm(_panel(spark, d), SPEC, ("crowd",), (3, 24)).drop("crowd")
+
+
+@query(f"WITH {PANEL_SQL} SELECT district_id, timestamp, crowd, {_ewm_sql('crowd', 12)} AS crowd_ewm_12 FROM panel")
 def ewm_batches(spark, d):
     return temporal.add_ewm(_panel(spark, d), SPEC, ("crowd",), (12,))
 
 
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT district_id, timestamp, CASE WHEN hour(timestamp) % 5 <> 0 AND day(timestamp) % 3 <> 1 THEN crowd END AS x FROM panel)
+SELECT district_id, timestamp, x, {', '.join(f'{_ewm_sql("x", k)} AS x_ewm_{k}' for k in (1, 12, 200))} FROM s""")
+def ewm_nulls(spark, d):
+    p = _panel(spark, d).select("district_id", "timestamp", F.when((F.hour("timestamp") % 5 != 0) & (F.dayofmonth("timestamp") % 3 != 1), F.col("crowd")).alias("x"))
+    return temporal.add_ewm(p, PanelSpec(("district_id",), "timestamp", ("x",)), ("x",), (1, 12, 200))
+
+
 @query(f"""WITH {PANEL_SQL}, s AS (SELECT district_id, timestamp, CASE WHEN hour(timestamp) % 5 <> 0 THEN crowd END AS x FROM panel),
 l AS (SELECT *, lag(x, 2) OVER w AS y FROM s {W_SQL})
 SELECT district_id, timestamp, x, first_value(y IGNORE NULLS) OVER (PARTITION BY district_id ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x_lag_2 FROM l""")

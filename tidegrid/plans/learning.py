@@ -29,6 +29,30 @@ def traffic_adjust(spark, d):
     return learned.TrafficAdjuster(SPEC).fit_transform(_panel(spark, d))
 
 
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT district_id, timestamp, crowd, coalesce(crowd - lag(crowd) OVER (PARTITION BY district_id ORDER BY timestamp), 0)::DOUBLE AS x FROM panel),
+e AS (SELECT district_id, list_sort(list_distinct(quantile_cont(x, [0, 0.3, 0.7, 1]))) AS e FROM s GROUP BY 1),
+b AS (SELECT district_id, timestamp, crowd, len(list_filter(e, lambda v: x > v)) AS k, len(e) + 1 AS n FROM s JOIN e USING (district_id))
+SELECT district_id, timestamp, crowd, CASE n WHEN 5 THEN ['Very_Low', 'Low', 'Medium', 'High', 'Very_High'][k + 1] WHEN 4 THEN 'Q' || k ELSE ['Low', 'Medium', 'High'][k + 1] END AS crowd_magnitude,
+crowd * pow(2.0::DOUBLE, k - n // 2) AS crowd_adjusted FROM b""")
+def traffic_adjust_by_group(spark, d):
+    return learned.ByGroup(learned.TrafficAdjuster(SPEC), ("district_id",)).fit_transform(_panel(spark, d))
+
+
+def _scored(x: str, groups: bool) -> str:
+    over = "PARTITION BY district_id" if groups else ""
+    return f"WITH {PANEL_SQL}, x AS (SELECT district_id, timestamp, {x} AS x FROM panel WHERE crowd > 0) SELECT district_id, timestamp, (x - avg(x) OVER ({over})) / coalesce(nullif(stddev_pop(x) OVER ({over}), 0), 1) AS crowd FROM x"
+
+
+@query(_scored("(sqrt(crowd) - 1) / 0.5::DOUBLE", False))
+def box_cox_given(spark, d):
+    return learned.Power(("crowd",), "box-cox", exponents=(0.5,)).fit_transform(_panel(spark, d).where("crowd > 0"))
+
+
+@query(_scored("(pow(crowd + 1, 0.25::DOUBLE) - 1) / 0.25::DOUBLE", True))
+def yeo_johnson_given_by_group(spark, d):
+    return learned.ByGroup(learned.Power(("crowd",), exponents=(0.25,)), ("district_id",)).fit_transform(_panel(spark, d).where("crowd > 0"))
+
+
 _LEVELS = f"""WITH {PANEL_SQL}, r AS (SELECT district_id, timestamp, crowd, row_number() OVER (PARTITION BY district_id ORDER BY crowd, timestamp) AS k, count(*) OVER (PARTITION BY district_id) AS n FROM panel),
 l AS (SELECT district_id, timestamp, crowd, ((k > 1 + 0.3::DOUBLE * (n - 1))::INTEGER + (k > 1 + 0.7::DOUBLE * (n - 1))::INTEGER) AS level FROM r)"""
 

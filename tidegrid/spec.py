@@ -69,24 +69,52 @@ class CleaningConfig:
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """What the feature pipeline derives; columns in time, temporal and encoded lists must exist."""
+    """What the feature pipeline derives. rbf names time parts or time_period with kernels and span.
+
+    by_group: adjustment and spectra are learned for each group of the panel on its own. power, target, ordinal and onehot columns are
+    those of the panel or derived ones; scaling leaves out what is encoded, what standardised powers made, and `unscaled`.
+    """
 
     panel: PanelSpec
     lags: tuple[int, ...] = (1, 24)
     windows: tuple[int, ...] = (3, 24)
     stats: tuple[str, ...] = ("mean", "std")
     diffs: tuple[int, ...] = (24,)
+    ewm: tuple[int, ...] = ()
     time_parts: tuple[str, ...] = ("hour", "dayofweek")
+    time_period: bool = False
+    transit: bool = False
+    periods: dict[str, tuple[int, int]] = field(default_factory=dict)
+    holidays: tuple[str, ...] = ()
     rbf: dict[str, tuple[int, tuple[float, float]]] = field(default_factory=lambda: {"hour": (12, (0, 23)), "dayofweek": (7, (0, 6))})
     harmonics: int = 30
     fourier_window: int = 24
     quantiles: tuple[float, ...] | None = (0, 0.3, 0.7, 1)
+    use_diff: bool = True
+    by_group: bool = False
+    unseen: str = "error"
+    power: tuple[str, ...] = ()
+    power_method: str = "yeo-johnson"
+    standardize: bool = True
+    target: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    target_weight: float = 10.0
+    target_smoothing: str = "additive"
+    ordinal: tuple[str, ...] = ()
+    unknown_ordinal: str = "use_encoded_value"
+    onehot: tuple[str, ...] = ()
+    unknown_onehot: str = "error"
+    most_categories: int = 50
     scale: bool = True
+    unscaled: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if not self.panel.values:
             raise ValueError("the panel names no value columns")
-        if any(k < 1 for k in (*self.lags, *self.windows, *self.diffs)):
-            raise ValueError("lags, windows and diffs are at least 1")
-        if unknown := set(self.rbf) - set(self.time_parts):
+        if any(k < 1 for k in (*self.lags, *self.windows, *self.diffs, *self.ewm)):
+            raise ValueError("lags, windows, diffs and spans are at least 1")
+        if unknown := set(self.rbf) - set(self.time_parts) - ({"time_period"} if self.time_period else set()):
             raise ValueError(f"RBF features {sorted(unknown)} aren't among the time parts")
+        if both := set(self.ordinal) & set(self.onehot):
+            raise ValueError(f"{sorted(both)} are encoded twice")
+        if self.unseen not in ("error", "null"):
+            raise ValueError("unseen is error or null")
