@@ -18,13 +18,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, release_memory, written
+from .common import bounded_batches, drop_written, release_memory, written
 from .tokens import _gathered, grouped, stretches
 
 #: Bytes of texts, about, that make a block: a block's distinct units are one row, joined with its documents.
@@ -103,12 +104,11 @@ def cut_units(spaced: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_DOC = pa.struct([("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
-_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(_DOC)), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("text", pa.binary()), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def split_blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row a block of rows of (doc_id, text): its documents as numbers of units, its distinct units and how often each occurs."""
+    """A row a block of rows of (doc_id, text): its distinct units and how often each occurs; its documents, how many units each has, and all their units by number (<i4, zstandard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -127,17 +127,16 @@ def split_blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = B
                 flat = _gathered(own, np.cumsum(lengths) - lengths, lengths, found.place)
                 del found, spaced, own, lengths
             del texts
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            own_docs = pa.StructArray.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], fields=list(_DOC))
+            text = zstandard.ZstdCompressor(level=1).compress(flat.astype("<i4").tobytes())
             once = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             counts = pa.array(np.bincount(flat, minlength=len(units)).astype(np.int64))
-            out = pa.RecordBatch.from_arrays([pa.array([number]), once(own_docs), once(units.cast(pa.string())), once(counts)], schema=_BLOCK)
-            del batch, own_docs, units, flat, counts
+            out = pa.RecordBatch.from_arrays([pa.array([number]), once(batch.column(0)), once(pa.array(sizes.astype(np.int32))), pa.array([text], pa.binary()), once(units.cast(pa.string())), once(counts)], schema=_BLOCK)
+            del batch, text, units, flat, counts
             yield out
             del out
             number += 1
 
-    return docs.mapInArrow(run, "block long, docs array<struct<doc_id: long, units: array<int>>>, units array<string>, counts array<long>")
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, text binary, units array<string>, counts array<long>")
 
 
 def encode_units(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -193,21 +192,24 @@ def align_units(units: DataFrame, vocab: DataFrame, b_from: int, parts: int) ->
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _assembled(docs: pa.StructArray, units: pa.Table, with_groups: bool) -> pa.Table:
-    """The documents of a block from its units: sums and joined texts."""
-    lists = docs.field("units")
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    place = lists.flatten().to_numpy(zero_copy_only=False)
+def _assembled(blocks: pa.Table, units: pa.Table, with_groups: bool) -> pa.Table:
+    """The documents of a block from its units: sums and joined texts. units: place, packed (the numbers and the groups' text, a space between)."""
+    block = blocks.select(["doc_ids", "sizes", "text"]).combine_chunks().to_batches()[0]
+    sizes = block.column(1).flatten().to_numpy().astype(np.int64)
+    place = np.frombuffer(zstandard.ZstdDecompressor().decompress(block.column(2)[0].as_py()), "<i4")
     rows = np.empty(units.num_rows, np.int64)
     rows[units.column("place").to_numpy()] = np.arange(units.num_rows)
+    packed = units.column("packed").combine_chunks().take(pa.array(rows)).cast(pa.large_string())
+    fields = pc.split_pattern(packed, " ", max_splits=len(_NUMBERS))
     some, starts = sizes > 0, np.cumsum(sizes) - sizes
-    out = {"doc_id": docs.field("doc_id")}
-    for c in _NUMBERS:
+    out = {"doc_id": block.column(0).flatten()}
+    for k, c in enumerate(_NUMBERS):
         total = np.zeros(len(sizes), np.int64)
         if some.any():
-            total[some] = np.add.reduceat(units.column(c).to_numpy()[rows][place], starts[some])
+            total[some] = np.add.reduceat(pc.list_element(fields, k).cast(pa.int64()).to_numpy()[place], starts[some])
         out[c] = pa.array(total)
-    texts = units.column("groups").combine_chunks().take(pa.array(rows)).cast(pa.large_string())
+    texts = pc.list_element(fields, len(_NUMBERS)) if len(packed) else packed
+    del fields, packed
     shas, groups = [], []
     for at in range(0, len(sizes), 1024):  # the texts of so many documents at once
         n = sizes[at : at + 1024]
@@ -245,13 +247,13 @@ class Alignment:
         """
         scored = self.units.drop("n", "links").join(self.unit_scores(), "unit")
         places = self.blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("place", "unit"))
-        of_block = places.join(scored, "unit").select("of", "place", *_NUMBERS, "groups")
+        of_block = places.join(scored.select("unit", F.concat_ws(" ", *_NUMBERS, "groups").alias("packed")), "unit").select("of", "place", "packed")
 
-        def assemble(docs: pa.Table, units: pa.Table) -> pa.Table:
-            return _assembled(docs.column("docs").combine_chunks().flatten(), units, with_groups)
+        def assemble(blocks: pa.Table, units: pa.Table) -> pa.Table:
+            return _assembled(blocks, units, with_groups)
 
         schema = f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string" + (", groups string" if with_groups else "")
-        return self.blocks.select("block", "docs").groupBy("block").cogroup(of_block.groupBy("of")).applyInArrow(assemble, schema)
+        return self.blocks.select("block", "doc_ids", "sizes", "text").groupBy("block").cogroup(of_block.groupBy("of")).applyInArrow(assemble, schema)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Alignment:
@@ -264,12 +266,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     bounded_batches(spark, size=4 << 20)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # shuffles of written tables go with their jobs; the session keeps this
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(split_blocks(rows, a_path, b_path, block_bytes), "blocks")
     distinct = blocks.select(F.inline(F.arrays_zip("units", "counts"))).groupBy(F.col("units").alias("unit")).agg(F.sum("counts").alias("n"))
     encoded = written(encode_units(distinct, a_path, b_path).withColumn("unit_id", F.monotonically_increasing_id()), "units")
     vocab, b_from = vocabulary(spark, a_path, b_path)
     units = written(align_units(encoded, vocab, b_from, max(1, -(-encoded.count() // UNITS_PER_TASK))), "aligned")
+    drop_written(encoded)
     counted = units.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum("n").alias("n"))
     # Of one id of B there are at most as many pairs as A has ids.
     pairs = written(counted.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("b"))), "pairs")
