@@ -88,14 +88,52 @@ def pagerank(spark, d):
     return graph.pagerank(*_graph(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_E}, r(node, reach, k) AS (SELECT point_id, point_id, 0 FROM p UNION SELECT r.node, e.b, k + 1 FROM r JOIN e ON e.a = r.reach WHERE k < 40),
-s AS (SELECT node, reach, min(k) AS k FROM r GROUP BY ALL), c AS (SELECT node, count(*) - 1 AS m, sum(k) AS far FROM s GROUP BY 1)
+#: Rounds that SQL unrolls.
+_ROUNDS = 12
+_D = "dg AS (SELECT point_id AS node, count(b) AS d, (SELECT count(*) FROM p)::DOUBLE AS n FROM p LEFT JOIN e ON a = point_id GROUP BY 1)"
+_RANKS = ", ".join(
+    f"""r{k} AS (SELECT dg.node, d, n, 0.85 * coalesce(got, 0) + (0.85 * (SELECT coalesce(sum(x) FILTER (d = 0), 0) FROM r{k - 1}) + 0.15) / n AS x
+FROM dg LEFT JOIN (SELECT b AS node, sum(x / d) AS got FROM e JOIN r{k - 1} ON r{k - 1}.node = a GROUP BY 1) USING (node))"""
+    for k in range(1, _ROUNDS + 1)
+)
+
+
+@query(f"WITH {_E}, {_D}, r0 AS (SELECT node, d, n, 1 / n AS x FROM dg), {_RANKS} SELECT node, x AS pagerank FROM r{_ROUNDS}")
+def pagerank_rounds(spark, d):
+    return graph.pagerank(*_graph(spark, d), tol=0.0, rounds=_ROUNDS)
+
+
+_REACHED = "r(node, reach) AS (SELECT point_id, point_id FROM p UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach), c AS (SELECT node, min(reach) AS part FROM r GROUP BY 1)"
+_VECTORS = ", ".join(f"v{k} AS (SELECT v{k - 1}.node, x + coalesce(got, 0) AS x FROM v{k - 1} LEFT JOIN (SELECT a AS node, sum(x) AS got FROM e JOIN v{k - 1} ON v{k - 1}.node = b GROUP BY 1) USING (node))" for k in range(1, _ROUNDS + 1))
+
+
+@query(f"""WITH RECURSIVE {_E}, {_REACHED}, v0 AS (SELECT node, 1::DOUBLE AS x FROM c WHERE part = (SELECT part FROM c GROUP BY part ORDER BY count(*) DESC, part LIMIT 1)), {_VECTORS}
+SELECT c.node, coalesce(x / sqrt((SELECT sum(x * x) FROM v{_ROUNDS})), 0) AS eigenvector FROM c LEFT JOIN v{_ROUNDS} USING (node)""")
+def eigenvector_rounds(spark, d):
+    return graph.eigenvector(*_graph(spark, d), tol=0.0, rounds=_ROUNDS)
+
+
+#: Levels of searches from all nodes, with numbers of shortest paths; no distance here is beyond the last.
+_LEVELS = ", ".join(
+    ["l0 AS MATERIALIZED (SELECT point_id AS s, point_id AS v, 0 AS k, 1::DOUBLE AS n FROM p)"]
+    + [
+        f"""l{k} AS MATERIALIZED (SELECT s, b AS v, {k} AS k, sum(n) AS n FROM l{k - 1} JOIN e ON a = v
+WHERE NOT EXISTS (FROM l{k - 1} y WHERE y.s = l{k - 1}.s AND y.v = b)""" + (f" AND NOT EXISTS (FROM l{k - 2} z WHERE z.s = l{k - 1}.s AND z.v = b)" if k > 1 else "") + " GROUP BY ALL)"
+        for k in range(1, 41)
+    ]
+    + [f"w AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(41))})"]
+)
+
+
+@query(f"""WITH {_E}, {_LEVELS}, c AS (SELECT s AS node, count(*) - 1 AS m, sum(k) AS far FROM w GROUP BY 1)
 SELECT node, CASE WHEN far > 0 THEN m / far::DOUBLE * m / ((SELECT count(*) FROM c) - 1)::DOUBLE ELSE 0 END AS closeness FROM c""")
 def closeness(spark, d):
-    return graph.closeness_betweenness(*_graph(spark, d)).select("node", "closeness")
+    return graph.closeness_betweenness(*_graph(spark, d), between=False)
 
 
-@query()
+@query(f"""WITH {_E}, {_LEVELS},
+through AS (SELECT x.v AS node, sum(x.n * y.n / z.n) AS n FROM w x JOIN w y ON y.s = x.v JOIN w z ON z.s = x.s AND z.v = y.v AND z.k = x.k + y.k WHERE x.k > 0 AND y.k > 0 GROUP BY 1)
+SELECT point_id AS node, coalesce(n, 0) / (((SELECT count(*) FROM p) - 1) * ((SELECT count(*) FROM p) - 2))::DOUBLE AS betweenness FROM p LEFT JOIN through ON node = point_id""")
 def betweenness(spark, d):
     return graph.closeness_betweenness(*_graph(spark, d)).select("node", "betweenness")
 

@@ -46,10 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, evaluated once, as a table of the shared folder: it survives lost executors and has no lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def drop(table: DataFrame) -> None:
-    """Deletes a table of written()."""
-    files = table.inputFiles()
-    delete(*{p for p in _made for f in files[:1] if p.split("://", 1)[-1].lstrip("/") in f})
+    """Deletes a table of written(), which nothing reads any more."""
+    delete(table._stored_at)
