@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, derived_trip_columns, seconds_between
@@ -82,13 +82,13 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def drop_duplicate_trips(df: DataFrame, key: str = "TripId", order: tuple[str, ...] = ("StartTime",)) -> DataFrame:
     """Equal rows once; of rows with one key, the first in the given order, ties by the other columns. Rows without a key all stay."""
-    df = df.distinct()
     if key not in df.columns:
-        return df
+        return df.distinct()
     rest = [c for c in df.columns if c not in (key, *order)]
-    w = Window.partitionBy(key).orderBy(*order, *rest)
-    has = df.where(F.col(key).isNotNull()).withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
-    return has.unionByName(df.where(F.col(key).isNull()))
+    # One shuffle, after the least row of each task: a row without a key is a group of its own, with its equals.
+    row = F.struct(*order, *rest)
+    least = df.groupBy(key, F.when(F.col(key).isNull(), row).alias("_row")).agg(F.min(row).alias("_least"))
+    return least.select(key, "_least.*").select(*df.columns)
 
 
 def add_durations(df: DataFrame) -> DataFrame:
@@ -243,23 +243,20 @@ def quality_checks(df: DataFrame, low: float = 0.5, high: float = 1440.0, least_
     return checks.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(again))  # a row each
 
 
-def audit(steps: list[tuple[str, DataFrame]]) -> DataFrame:
-    """step, removed, remaining, percentage removed, of successive frames: each is counted where it stands."""
-    spark = steps[0][1].sparkSession
-    counts = None
-    for i, (name, df) in enumerate(steps):
-        one = df.agg(F.count("*").alias("remaining")).select(F.lit(i).alias("place"), F.lit(name).alias("step"), "remaining")
-        counts = one if counts is None else counts.unionByName(one)
-    w = Window.orderBy("place")  # one row for each step
-    before = F.lag("remaining").over(w)
-    removed = F.coalesce(before - F.col("remaining"), F.lit(0))
-    del spark
-    return counts.select("step", "remaining", removed.alias("removed"), F.coalesce(removed * 100.0 / F.when(before > 0, before), F.lit(0.0)).alias("percentage"))
+def audit(spark: SparkSession, counts: list[tuple[str, int]]) -> DataFrame:
+    """step, remaining, removed, percentage removed, of successive steps and the rows that they left."""
+    rows, before = [], None
+    for step, n in counts:
+        gone = 0 if before is None else before - n
+        rows.append((step, n, gone, gone * 100.0 / before if before else 0.0))
+        before = n
+    return spark.createDataFrame(rows, "step string, remaining long, removed long, percentage double")
 
 
-def clean_steps(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> list[tuple[str, DataFrame]]:
-    steps = [("input", df)]
-    add = lambda name, out: steps.append((name, out))
+def clean_steps(df: DataFrame, config: CleaningConfig = CleaningConfig(), watch: Callable[[str, DataFrame], DataFrame] = lambda name, out: out) -> list[tuple[str, DataFrame]]:
+    """The frame after each step; the next one goes on from what watch makes of it."""
+    steps = [("input", watch("input", df))]
+    add = lambda name, out: steps.append((name, watch(name, out)))
     add("missing", drop_missing(steps[-1][1]))
     add("duplicates", drop_duplicate_trips(steps[-1][1]))
     add("times", fix_times(steps[-1][1], config.min_minutes, config.max_minutes))
@@ -271,6 +268,16 @@ def clean_steps(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> lis
 
 
 def clean_trips(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[DataFrame, DataFrame]:
-    """Cleaned trips with derived columns, and the audit of what each step removed."""
-    steps = clean_steps(df, config)
-    return add_derived(steps[-1][1]), audit(steps)
+    """Cleaned trips with derived columns, evaluated, and the audit of what each step removed.
+
+    Rows are counted between the steps as they pass, by observations of the one run that writes the trips (or finds the bounds of
+    outliers). Where a lost executor's work is done again, rows can count twice in the audit, never in the trips.
+    """
+    seen: dict[str, Observation] = {}
+
+    def watch(name: str, out: DataFrame) -> DataFrame:
+        seen[name] = Observation()
+        return out.observe(seen[name], F.count(F.lit(1)).alias("n"))
+
+    done = written(add_derived(clean_steps(df, config, watch)[-1][1]), "trips")
+    return done, audit(df.sparkSession, [(name, o.get["n"]) for name, o in seen.items()])
