@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import learned
 from ..sources import tables
 from ..sources.tables import PANEL_SQL
 from ..spec import FeatureConfig, PanelSpec
+from . import pipeline
 from .pipeline import FeaturePipeline
 from .register import Registry
 
@@ -135,6 +137,40 @@ def feature_pipeline(spark, d):
     return FeaturePipeline(FeatureConfig(SPEC)).fit(p).transform(p)
 
 
+def _near(u: str, n: int) -> list[str]:
+    """n kernels around a circle, by the distance of u to each one's centre."""
+    return [f"exp(-pow(least(abs({u} - {i / n!r}::DOUBLE), 1 - abs({u} - {i / n!r}::DOUBLE)) * {n}, 2))" for i in range(n)]
+
+
+_ROWS = lambda k: f"(PARTITION BY district_id ORDER BY timestamp ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+_FEATURES = {
+    "hour": "hour(timestamp)", "dayofweek": "isodow(timestamp) - 1",
+    **{f"hour_rbf_{i + 1}": x for i, x in enumerate(_near("hour(timestamp) / 23.0::DOUBLE", 12))},
+    **{f"dayofweek_rbf_{i + 1}": x for i, x in enumerate(_near("(isodow(timestamp) - 1) / 6.0::DOUBLE", 7))},
+    **{f"crowd_lag_{k}": f"coalesce(lag(crowd, {k}) OVER w, first_value(crowd) OVER w)" for k in (1, 24)},
+    **{f"crowd_rolling_{n}_{k}": f"{f}(crowd) OVER {_ROWS(k)}" for k in (3, 24) for n, f in (("mean", "avg"), ("std", "stddev_samp"))},
+    "crowd_diff_24": "crowd - lag(crowd, 24) OVER w", "crowd_diff_rate_24": "(crowd - lag(crowd, 24) OVER w) - (lag(crowd, 1) OVER w - lag(crowd, 25) OVER w)",
+    "crowd_pct_change_24": "CASE WHEN lag(crowd, 24) OVER w IS NOT NULL THEN greatest(least((crowd - lag(crowd, 24) OVER w) / lag(crowd, 24) OVER w::DOUBLE, 1), -1) END",
+    "crowd_deviation_rolling_24": f"crowd - avg(crowd) OVER {_ROWS(24)}", "crowd_cv_rolling_24": f"stddev_samp(crowd) OVER {_ROWS(24)} / nullif(avg(crowd) OVER {_ROWS(24)}, 0)",
+    "crowd_adjusted": "crowd * pow(2.0::DOUBLE, k - n // 2)",
+}
+_SCALED = lambda c: f"({c} - min({c}) OVER ()) / coalesce(nullif(max({c}) OVER () - min({c}) OVER (), 0), 1)::DOUBLE AS {c}"
+
+
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT district_id, timestamp, crowd, coalesce(crowd - lag(crowd) OVER (PARTITION BY district_id ORDER BY timestamp), 0)::DOUBLE AS x FROM panel),
+e AS (SELECT district_id, list_sort(list_distinct(quantile_cont(x, [0, 0.3, 0.7, 1]))) AS e FROM s GROUP BY 1),
+b AS (SELECT district_id, timestamp, crowd, len(list_filter(e, lambda v: x > v)) AS k, len(e) + 1 AS n FROM s JOIN e USING (district_id)),
+f AS (SELECT district_id, timestamp, crowd, CASE n WHEN 5 THEN ['Very_Low', 'Low', 'Medium', 'High', 'Very_High'][k + 1] WHEN 4 THEN 'Q' || k ELSE ['Low', 'Medium', 'High'][k + 1] END AS crowd_magnitude,
+  {', '.join(f'{x} AS {n}' for n, x in _FEATURES.items())} FROM b WINDOW w AS (PARTITION BY district_id ORDER BY timestamp))
+SELECT district_id, timestamp, crowd, crowd_magnitude, {', '.join(map(_SCALED, _FEATURES))} FROM f""")
+def feature_pipeline_by_group(spark, d):
+    """All but spectra, adjustment by group, saved and loaded before it is applied."""
+    p = _panel(spark, d)
+    path = storage.new_path(spark, "model")
+    FeaturePipeline(FeatureConfig(SPEC, harmonics=0, by_group=True)).fit(p).save(path, spark)
+    return pipeline.load(spark, path).transform(p)
+
+
 @query("SELECT o_orderkey, " + ", ".join(f"o_{c}" for c in ("custkey", "totalprice")) + " FROM orders")
 def numeric_selection(spark, d):
     o = tables.read(spark, d, "orders")
