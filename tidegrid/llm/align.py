@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -190,26 +190,44 @@ def align_units(units: DataFrame, vocab: DataFrame, b_from: int, parts: int) ->
 
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+#: What travels of a unit: all but n_links, which is n_a + n_b - n_groups, and the groups' text, as text of 14 signs in half a byte each.
+_SENT, _SIGNS, _HALF, _PAD = ["n_a", "n_b", "n_groups", "n_best", "count_sum"], "0123456789,;| ", "0123456789abcd", "e"
+
+
+def _packed() -> Column:
+    text = F.translate(F.concat_ws(" ", *_SENT, "groups"), _SIGNS, _HALF)
+    return F.unhex(F.when(F.length(text) % 2 == 1, F.concat(text, F.lit(_PAD))).otherwise(text))
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    """The texts of a binary column."""
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+    halves = np.stack([raw >> 4, raw & 15], axis=1).ravel()
+    kept = halves < len(_SIGNS)
+    at = np.concatenate([[0], np.cumsum(kept)])[2 * np.concatenate([[0], np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64))])]
+    signs = np.frombuffer(_SIGNS.encode(), np.uint8)[halves[kept]]
+    return pa.Array.from_buffers(pa.large_string(), len(packed), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(signs.tobytes())])
 
 
 def _assembled(blocks: pa.Table, units: pa.Table, with_groups: bool) -> pa.Table:
-    """The documents of a block from its units: sums and joined texts. units: place, packed (the numbers and the groups' text, a space between)."""
+    """The documents of a block from its units: sums and joined texts. units: place, packed."""
     block = blocks.select(["doc_ids", "sizes", "text"]).combine_chunks().to_batches()[0]
     sizes = block.column(1).flatten().to_numpy().astype(np.int64)
     place = np.frombuffer(zstandard.ZstdDecompressor().decompress(block.column(2)[0].as_py()), "<i4")
     rows = np.empty(units.num_rows, np.int64)
     rows[units.column("place").to_numpy()] = np.arange(units.num_rows)
-    packed = units.column("packed").combine_chunks().take(pa.array(rows)).cast(pa.large_string())
-    fields = pc.split_pattern(packed, " ", max_splits=len(_NUMBERS))
+    fields = pc.split_pattern(_unpacked(units.column("packed").combine_chunks().take(pa.array(rows))), " ", max_splits=len(_SENT))
+    each = {c: pc.list_element(fields, k).cast(pa.int64()).to_numpy() for k, c in enumerate(_SENT)} if len(rows) else dict.fromkeys(_SENT, np.zeros(0, np.int64))
+    each["n_links"] = each["n_a"] + each["n_b"] - each["n_groups"]  # a link begins where a token of either side does
     some, starts = sizes > 0, np.cumsum(sizes) - sizes
     out = {"doc_id": block.column(0).flatten()}
-    for k, c in enumerate(_NUMBERS):
+    for c in _NUMBERS:
         total = np.zeros(len(sizes), np.int64)
         if some.any():
-            total[some] = np.add.reduceat(pc.list_element(fields, k).cast(pa.int64()).to_numpy()[place], starts[some])
+            total[some] = np.add.reduceat(each[c][place], starts[some])
         out[c] = pa.array(total)
-    texts = pc.list_element(fields, len(_NUMBERS)) if len(packed) else packed
-    del fields, packed
+    texts = pc.list_element(fields, len(_SENT)) if len(rows) else pa.array([], pa.large_string())
+    del fields, each
     shas, groups = [], []
     for at in range(0, len(sizes), 1024):  # the texts of so many documents at once
         n = sizes[at : at + 1024]
@@ -245,9 +263,9 @@ class Alignment:
 
         The units of a block and its documents meet by block: numbers are summed, texts joined, at the units' places.
         """
-        scored = self.units.drop("n", "links").join(self.unit_scores(), "unit")
+        scored = written(self.units.drop("n", "links").join(self.unit_scores(), "unit").select("unit", _packed().alias("packed")), "scored")
         places = self.blocks.select(F.col("block").alias("of"), F.posexplode("units").alias("place", "unit"))
-        of_block = places.join(scored.select("unit", F.concat_ws(" ", *_NUMBERS, "groups").alias("packed")), "unit").select("of", "place", "packed")
+        of_block = places.join(scored, "unit").select("of", "place", "packed")
 
         def assemble(blocks: pa.Table, units: pa.Table) -> pa.Table:
             return _assembled(blocks, units, with_groups)
@@ -281,4 +299,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, **kwargs) -> DataFrame:
-    return align(docs, a_path, b_path, **kwargs).documents()
+    done = align(docs, a_path, b_path, **kwargs)
+    out = done.documents()
+    drop_written(done.units)  # what documents need of it is in a table of its own
+    return out
