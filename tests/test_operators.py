@@ -198,3 +198,37 @@ def test_stream_counts(spark, tmp_path):
     q.stop()
     got = {(r["timestamp"].hour, r["station_id"], r["departures"]) for r in spark.table("counts").collect()}
     assert got == {(8, "a", 2), (8, "b", 2), (9, "a", 2), (9, "b", 2)}
+
+
+def test_points_are_searched_by_square(spark, monkeypatch):
+    """No edge is a row, and squares dealt to several groups, batches of sources and equal places change nothing."""
+    import numpy as np
+
+    from tidegrid.operators import near
+
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(0, 0.5, (25, 2)), np.zeros((4, 2)), rng.normal(5, 0.2, (6, 2)), [[2.0**40, -7.0]]])
+    place = {int(k) * 3: (float(a), float(b)) for k, (a, b) in enumerate(xy)}
+    rows = [(k, *p) for k, p in place.items()] + [(1, None, 0.0), (2, float("nan"), 0.0), (4, float("inf"), 0.0)]
+    monkeypatch.setattr(near, "OWN", 3)
+    got = near.Near(spark.createDataFrame(rows, "id long, x double, y double"), 0.5, "id")
+    around = {a: sorted(b for b, q in place.items() if a != b and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 0.25) for a, p in place.items()}
+    lists = {}
+    for r in got.neighbours().collect():
+        lists.setdefault(r["node"], []).extend(r["neighbours"])
+    assert lists == around
+    triangles = {a: sum(c in around[b] for b in n for c in n) // 2 for a, n in around.items()}
+    assert {r["node"]: (r["d"], r["t"]) for r in got.triangles().collect()} == {a: (len(n), triangles[a]) for a, n in around.items()}
+    steps, paths = {}, {}
+    for s in place:
+        steps[s, s], paths[s, s], front = 0, 1, [s]
+        while front:
+            new = {b for a in front for b in around[a] if (s, b) not in steps}
+            for b in new:
+                paths[s, b] = sum(paths[s, a] for a in front if b in around[a])
+            steps |= {(s, b): steps[s, front[0]] + 1 for b in new}
+            front = sorted(new)
+    through = {v: sum(paths[s, v] * paths[v, t] / paths[s, t] for (s, t), k in steps.items() if v not in (s, t) and (s, v) in steps and (v, t) in steps and steps[s, v] + steps[v, t] == k) for v in place}
+    for r in got.searched(True, at_once=800).collect():
+        own = [k for (s, _), k in steps.items() if s == r["node"] and k]
+        assert (r["far"], r["reached"], r["through"]) == pytest.approx((sum(own), len(own), through[r["node"]]))
