@@ -142,6 +142,26 @@ def test_op1_all_equal(spark):
     assert {(r["n_links"], r["component_id"], r["kept"]) for r in vamana.near_vectors(df).collect()} == {(49, 0, True), (49, 0, False)}
 
 
+def test_op1_sends_few_copies_of_vectors(spark, monkeypatch):
+    """Regions read the index: no node is sent to each region that holds it, and floats travel as floats."""
+    monkeypatch.setattr(vamana, "SHARD_ROWS", 150)  # some 20 clusters
+    rng = np.random.default_rng(8)
+    vecs = np.repeat(rng.normal(size=(1500, 64)), 2, axis=0).astype(np.float32)
+    vecs[1::2] += rng.normal(size=(1500, 64)).astype(np.float32) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vamana.near_vectors(df).collect()}
+    assert sum(v for k, v in shuffled().items() if k not in before) < 5 * vecs.nbytes
+    assert got == {i: (1, i - i % 2) for i in range(3000)}
+
+
 def test_op1_search_of_a_dense_group():
     rng = np.random.default_rng(2)
     center = rng.normal(size=32)

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_written, hashed_sample, written
+from .common import bounded_batches, drop_written, filesystem, forget, hashed_sample, new_path, spread, written
 from .components import connected_components
 
 #: Centroids are fitted on so many vectors at most; there is one for SHARD_ROWS vectors, and MOST_CLUSTERS at most.
@@ -52,18 +53,29 @@ def unit(values) -> np.ndarray | None:
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
+    """vec_id, dim, digest and vec: components as they are where they are floats, as the unit's doubles take twice the room, else the unit."""
+    narrow = rows.schema["embedding"].dataType.elementType.typeName() == "float"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = [unit(x) for x in batch.column(1).to_pylist()]
+            given = batch.column(1).to_pylist()
+            vecs = [unit(x) for x in given]
             dim = [0 if v is None else len(v) for v in vecs]
             digest = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vecs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dim, pa.int32()), pa.array(digest, pa.binary()), pa.array([None if v is None else v.tobytes() for v in vecs], pa.binary())], names=["vec_id", "dim", "digest", "vec"])
+            kept = [None if v is None else np.asarray(x, np.float32).tobytes() if narrow else v.tobytes() for x, v in zip(given, vecs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dim, pa.int32()), pa.array(digest, pa.binary()), pa.array(kept, pa.binary())], names=["vec_id", "dim", "digest", "vec"])
 
     return rows.mapInArrow(run, "vec_id long, dim int, digest binary, vec binary")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
+    """Units in double precision, of units or of components in single precision."""
+    raw = b"".join(column)
+    if len(raw) == 8 * dim * len(column):
+        return np.frombuffer(raw, np.float64).reshape(-1, dim)
+    v = np.frombuffer(raw, np.float32).reshape(-1, dim).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def fit_centroids(sample: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
@@ -284,19 +296,20 @@ def _search_links(classes: DataFrame, dim: int, least: float, reach: int, beam:
                 order = np.argsort(-(_matrix(batch.column(2).to_pylist(), dim) @ centers.T), axis=1, kind="stable")[:, :member_of]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(order.tolist(), pa.list_(pa.int32()))], names=["rep", "w", "vec", "of"])
 
-    placed = written(classes.select("rep", "w", "vec").mapInArrow(assign, "rep long, w long, vec binary, of array<int>"), "placed")
-    member = placed.select("rep", "w", "vec", "of", F.explode("of").alias("cluster"))
-    sizes = written(member.groupBy("cluster").agg(F.count("*").alias("members"), F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("subs")), "cluster-sizes")
-    member = written(member.join(F.broadcast(sizes), "cluster").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs", "members"), "shards")  # MOST_CLUSTERS rows
+    # Assigned twice, as vectors with their clusters would be one table more.
+    placed = classes.select("rep", "w", "vec").mapInArrow(assign, "rep long, w long, vec binary, of array<int>")
+    sizes = written(placed.select(F.explode("of").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("members"), F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("subs")), "cluster-sizes")
+    member = placed.withColumn("cluster", F.explode("of")).join(F.broadcast(sizes), "cluster")  # MOST_CLUSTERS rows
+    member = member.select("cluster", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int").alias("sub"), "rep", "w", "of", "vec")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
+        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
         ids = pdf["rep"].to_numpy()
-        return pd.DataFrame({"rep": ids, "near": [ids[x].tolist() for x in build_graph(_matrix(pdf["vec"], dim))]})
+        return pdf.assign(near=[ids[x].tolist() for x in build_graph(_matrix(pdf["vec"], dim))])
 
-    lists = member.select("cluster", "sub", "rep", "vec").groupBy("cluster", "sub").applyInPandas(build, "rep long, near array<long>")
-    graph = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # member_of lists a node at most
-    nodes = member.join(graph, "rep")
+    # The index: a folder for each shard, that searches read. So no node travels to the regions that hold it, a dozen or so.
+    index = new_path(spark, "index")
+    member.groupBy("cluster", "sub").applyInPandas(build, "cluster int, sub int, rep long, w long, of array<int>, vec binary, near array<long>").write.partitionBy("cluster", "sub").parquet(index)
 
     # A class searches the region of its nearest cluster: the clusters nearest to that one, in this order.
     between = centers @ centers.T
@@ -305,45 +318,75 @@ def _search_links(classes: DataFrame, dim: int, least: float, reach: int, beam:
     region = spark.createDataFrame([(h, int(c), k) for h, x in enumerate(regions) for k, c in enumerate(x)], "home int, cluster int, rank int")  # reach * MOST_CLUSTERS rows
     before = F.coalesce(F.sum("size").over(W.partitionBy("home").orderBy("rank", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shards = sizes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cluster", "sub", (F.col("members") / F.col("subs")).alias("size"))
-    parts = written(shards.join(F.broadcast(region), "cluster").withColumn("part", F.floor(before / REGION_MOST).cast("int")).select("cluster", "sub", "home", "part"), "parts")
-    asked = placed.groupBy(F.element_at("of", 1).alias("home")).agg(F.ceil(F.count("*") / QUERY_MOST).cast("int").alias("blocks"))
-    asked = written(asked.join(parts.groupBy("home").agg((F.max("part") + 1).alias("parts")), "home"), "queries")  # MOST_CLUSTERS rows
-    ask = placed.select("rep", "vec", F.element_at("of", 1).alias("home")).join(F.broadcast(asked), "home").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("home", "part", "block", "rep", "vec")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A node of several of a region's clusters counts in the first of them, so that a region holds it once.
-        rank = {int(c): k for k, c in enumerate(regions[pdf["home"].iloc[0]])}
-        first = [rank[c] == min(rank.get(int(x), reach) for x in of) for c, of in zip(pdf["cluster"], pdf["of"])]
-        pdf = pdf[first].sort_values("rep", kind="stable")
-        ids = pdf["rep"].to_numpy()
-        at = {r: i for i, r in enumerate(ids.tolist())}
-        near = [np.array([at[r] for r in x if r in at], np.int32) for x in pdf["near"]]
-        return pd.DataFrame({"ids": [ids.tobytes()], "w": [pdf["w"].to_numpy().tobytes()], "vecs": [b"".join(pdf["vec"])], "ends": [np.cumsum([len(x) for x in near]).astype(np.int64).tobytes()], "near": [np.concatenate([*near, np.empty(0, np.int32)]).astype(np.int32).tobytes()], "cluster": [pdf["cluster"].to_numpy(np.int32).tobytes()]})
-
-    def packed_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack(pdf).assign(home=key[0], part=key[1])
-
-    packed = nodes.join(parts, ["cluster", "sub"]).groupBy("home", "part").applyInPandas(packed_of, "ids binary, w binary, vecs binary, ends binary, near binary, cluster binary, home int, part int")
-    packed = packed.join(F.broadcast(asked.select("home", "blocks")), "home").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def search(key, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shard) or not shard["ids"].iloc[0]:
-            return pd.DataFrame({"rep": [], "n": [], "k": [], "root": []}).astype("int64")
-        row = shard.iloc[0]
-        ids, w = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["w"], np.int64)
-        ends = np.frombuffer(row["ends"], np.int64)
-        near = np.split(np.frombuffer(row["near"], np.int32).astype(np.int64), ends[:-1])
-        reps = queries["rep"].to_numpy()
-        own = np.minimum(np.searchsorted(ids, reps), len(ids) - 1)
-        own = np.where(ids[own] == reps, own, -1)
-        q, x = Searcher(_matrix([row["vecs"]], dim), near, np.frombuffer(row["cluster"], np.int32)).within(_matrix(queries["vec"], dim), least, beam, own)
-        other = reps[q] != ids[x]
-        q, x = q[other], x[other]
-        return _summed(reps, ids, w, q, x, np.ones(len(q), bool))
-
-    found = ask.groupBy("home", "part", "block").cogroup(packed.groupBy("home", "part", "block")).applyInPandas(search, _FOUND)
-    return _links_of(written(found, "found"))
+    parts = shards.join(F.broadcast(region), "cluster").withColumn("part", F.floor(before / REGION_MOST).cast("int")).groupBy("home", "part").agg(F.sort_array(F.collect_list(F.struct("rank", "cluster", "sub"))).alias("shards"))
+    # Each shard's classes search each part of their region: some numbers a row.
+    jobs = written(shards.select(F.col("cluster").alias("home"), "sub").join(parts, "home"), "jobs")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = filesystem(index)
+        for batch in batches:
+            for job in batch.to_pylist():
+                home = job["home"]
+                asked = _shard(where, folder, home, job["sub"])
+                asked = None if asked is None else asked[asked["of"].map(lambda of: of[0] == home)]
+                nodes = [x for x in (_shard(where, folder, s["cluster"], s["sub"]) for s in job["shards"]) if x is not None]
+                if asked is None or not len(asked) or not nodes:
+                    continue
+                ids, w, vecs, near, cluster = _united(pd.concat(nodes, ignore_index=True), regions[home], dim)
+                if not len(ids):
+                    continue
+                searcher = Searcher(vecs, near, cluster)
+                for at in range(0, len(asked), QUERY_MOST):
+                    some = asked.iloc[at : at + QUERY_MOST]
+                    reps = some["rep"].to_numpy()
+                    own = np.minimum(np.searchsorted(ids, reps), len(ids) - 1)
+                    own = np.where(ids[own] == reps, own, -1)
+                    q, x = searcher.within(_matrix(some["vec"], dim), least, beam, own)
+                    other = reps[q] != ids[x]
+                    q, x = q[other], x[other]
+                    yield pa.RecordBatch.from_pandas(_summed(reps, ids, w, q, x, np.ones(len(q), bool)), preserve_index=False)
+
+    found = written(jobs.repartition(spread(jobs)).mapInArrow(search, _FOUND), "found")
+    forget(index)
+    for done in (sizes, jobs):
+        drop_written(done)
+    return _links_of(found)
+
+
+def _shard(where, folder: str, cluster: int, sub: int) -> pd.DataFrame | None:
+    """A shard of the index by ascending rep; None if it is empty."""
+    from pyarrow import fs
+
+    found = where.get_file_info(fs.FileSelector(f"{folder}/cluster={cluster}/sub={sub}", allow_not_found=True))
+    rows = []
+    for x in found:
+        if x.base_name.endswith(".parquet"):
+            with where.open_input_file(x.path) as f:
+                rows.append(pq.ParquetFile(f).read())
+    return pa.concat_tables(rows).to_pandas().assign(cluster=cluster).sort_values("rep", kind="stable", ignore_index=True) if rows else None
+
+
+def _united(nodes: pd.DataFrame, region: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Ids, weights, vectors, neighbours and clusters of a part's nodes, with the lists of all shards of the part that hold a node united.
+
+    A node of several of a region's clusters counts in the first of them, so that a region holds it once.
+    """
+    rank = {int(c): k for k, c in enumerate(region)}
+    first = np.array([rank[c] == min(rank.get(int(x), len(rank)) for x in of) for c, of in zip(nodes["cluster"], nodes["of"])], bool)
+    kept = nodes[first].sort_values("rep", kind="stable")
+    ids = kept["rep"].to_numpy()
+    if not len(ids):
+        return ids, ids, np.empty((0, dim)), [], ids
+
+    def places(reps: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(ids, reps), len(ids) - 1)
+        return np.where(ids[at] == reps, at, -1)
+
+    heads = np.repeat(places(nodes["rep"].to_numpy()), nodes["near"].map(len).to_numpy())
+    tails = places(np.concatenate(nodes["near"].tolist()))
+    links = np.unique((heads * len(ids) + tails)[(heads >= 0) & (tails >= 0)])
+    ends = np.searchsorted(links, np.arange(1, len(ids)) * len(ids))
+    return ids, kept["w"].to_numpy(), _matrix(kept["vec"], dim), np.split(links % len(ids), ends), kept["cluster"].to_numpy()
 
 
 _FOUND = "rep long, n long, k long, root long"
@@ -428,7 +471,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_col: str = "vec_i
     that share an id are one node with several vectors. Other columns are ignored; no rows give no rows.
     """
     bounded_batches(vectors.sparkSession, 4000)
-    rows = written(_prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))), "vectors")
+    rows = _prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding")))
     valid = rows.where("digest IS NOT NULL AND vec_id IS NOT NULL")
     classes = written(valid.groupBy("dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec")), "classes")
     counts, edges, recall = None, None, {}
