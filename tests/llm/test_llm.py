@@ -428,6 +428,22 @@ def test_encoding_of_fuzzed_texts_is_exact(name, plain):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[k : k + 500])] == [x.ids for x in t.encode_batch(texts[k : k + 500], add_special_tokens=False)]
 
 
+def test_encoder_holds_few_strings_and_goes_with_other_tasks(monkeypatch):
+    monkeypatch.setattr(tokens, "_STRINGS", 50)
+    monkeypatch.setattr(tokens, "_TABLE", 70)
+    path, held = public_tokenizers.path("byte_bpe_50k.json"), []
+    e, whole = tokens.encoder(path), tokens.Encoder._encoded
+    monkeypatch.setattr(tokens.Encoder, "_encoded", lambda self, pieces: held.append(len(pieces)) or whole(self, pieces))
+    texts = [" ".join(f"few{k % 97}x{k}" for k in range(i, i + 300)) for i in (0, 200, 0)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x[:-1].tolist() for x in encoded("byte_bpe_50k.json", texts)]
+    assert max(held) <= 50 and sum(held) <= len(e.known) > 70  # each once
+    common.release_memory()
+    assert tokens.encoder(path) is e
+    common.release_memory(others=True)
+    assert tokens.encoder.cache_info().currsize == 0
+
+
 def test_op7_packing(spark):
     rows = [*corpus(n=80), *((1000 + k, t, "s1") for k, t in enumerate(TEXTS))]
     got = packing.pack_documents(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 2, 256, block_items=40).toPandas()

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, labelled:
                 np.add.at(raw, b, 1)
                 if good:
                     np.add.at(trusted, b, 1)
-        release_memory()
+        release_memory(others=True)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], trusted[at])], names=["bucket", "raw", "trusted"])
 
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, labelled:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(x.as_py()) for x in batch.column(1)], pa.float64())], names=["role", "score"])
+        release_memory(others=True)
 
     held = some.where("NOT trusted").select("l_id", "role")
     got = texts.join(F.broadcast(held), F.col("doc_id") == F.col("l_id")).select("role", "text").mapInArrow(score, "role string, score double").toPandas()
@@ -163,7 +164,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, id_
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types)), *batch.columns[2:]], names=[*names, *(f"keep_{i}" for i in range(len(keep)))])
-        release_memory()
+        release_memory(others=True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     extra = "".join(f", keep_{i} {rows.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .common import release_memory
+from .common import kept_by_tasks, release_memory
 
 #: A lone space between two characters that aren't white space. In byte-level and word-end BPE alike no
 #: token, and nothing that decides on a token, reaches across the left side of such a space.
@@ -33,6 +34,8 @@ _MARK = "\x1f"
 _MARKED = [(_WHITE.replace("[", "([^", 1) + r")\n([A-Za-z])", f"\\1\n{_MARK}\\2"), (r"([A-Za-z])([.,;:!?\n])", rf"\1{_MARK}\2")]
 #: Pieces that are encoded as one text, characters of a piece that is kept, stretches whose ids are gathered at once.
 _TOGETHER, _LONG, _GATHER = 64, 64, 1 << 17
+#: Pieces that are Python strings at once (some 200 bytes each with its ids), and kept ones that are looked through at once (some 60 in a hash table).
+_STRINGS, _TABLE = 1 << 14, 1 << 17
 #: Bytes of texts that are encoded at once.
 GROUP_BYTES = 6 << 20
 
@@ -89,6 +92,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_items: int = 500_000, *, plain_specials: bool = False) -> None:
+        # A task has one core; the library's threads, one a core of the machine, keep some 40 MB in each Python worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -160,16 +165,21 @@ class Encoder:
 
     def _looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A store of ids, and where in it those of distinct pieces start and how many there are."""
-        found = pc.index_in(pieces, value_set=self.known)
-        missing = pieces.filter(found.is_null())
-        ids = self._encoded(missing.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        store = np.concatenate([self.store, np.frombuffer(b"".join(ids), "<u4")])
+        place = np.full(len(pieces), -1, np.int64)
+        for at in range(0, len(self.known), _TABLE):
+            found = pc.fill_null(pc.index_in(pieces, value_set=self.known.slice(at, _TABLE)), -1).to_numpy()
+            place = np.where(found < 0, place, found + at)
+        new = place < 0
+        missing = pieces.filter(pa.array(new))
+        parts, lengths = [self.store], np.empty(len(missing), np.int64)
+        for at in range(0, len(missing), _STRINGS):
+            ids = self._encoded(missing.slice(at, _STRINGS).to_pylist())
+            lengths[at : at + len(ids)] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            parts.append(np.frombuffer(b"".join(ids), "<u4"))
+        store = np.concatenate(parts)
         starts = np.concatenate([self.starts, len(self.store) + np.cumsum(lengths) - lengths])
         lengths = np.concatenate([self.lengths, lengths])
-        place = found.to_numpy(zero_copy_only=False)
-        place = np.where(np.isnan(place), 0, place).astype(np.int64) if found.null_count else place.astype(np.int64)
-        place[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+        place[new] = len(self.known) + np.arange(len(missing))
         short = pc.less_equal(pc.utf8_length(missing), _LONG).to_numpy(zero_copy_only=False)
         if len(self.known) + len(missing) <= self.cache_items and short.all():
             self.known = pa.concat_arrays([self.known, missing])
@@ -258,6 +268,9 @@ def encoder(path: str, *, plain_specials: bool = False) -> Encoder:
     return Encoder(path, plain_specials=plain_specials)
 
 
+kept_by_tasks.append(encoder.cache_clear)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in larger batches, of most bytes of a text column or one batch more: the more texts, the fewer of their stretches are distinct."""
     held: list[pa.RecordBatch] = []
