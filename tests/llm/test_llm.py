@@ -383,6 +383,32 @@ def test_op6_same_weights_in_any_layout(spark):
     assert (one == two).all() and np.abs(one).sum() > 0
 
 
+def test_op6_changes_travel_in_blocks():
+    rng = np.random.default_rng(3)
+    words, n = pa.array(["a", "b", " "], pa.large_string()), 1 << 13
+    model = lambda: maxent.Model("m", type("Sent", (), {"value": words}), 3, 1, np.zeros(3), 1, 3, True, 3, 0, np.zeros((4, 1), np.int32), np.arange(4, dtype=np.int8)[:, None], np.zeros((1, maxent.WIDTH), np.float32), np.zeros((n, maxent.WIDTH), np.float32))
+    assert model().places(pa.array(["b", "x", "a", "b"], pa.large_string())).tolist() == [1, -1, 0, 1]
+    seen, total, sent = np.zeros(n), np.zeros((n, maxent.WIDTH)), []
+    for _ in range(3):
+        t = maxent.Trainer(model())
+        for _ in range(2):  # a step sums gradients of equal rows, alone or many
+            rows, g = np.r_[np.zeros(500, np.int64), rng.integers(0, 3000, 1500)], rng.random((2000, maxent.WIDTH), dtype=np.float32)
+            table, squares, sums = t.model.table.copy(), t.squares.copy(), np.zeros((n, maxent.WIDTH))
+            np.add.at(sums, rows, g)
+            count = np.bincount(rows, minlength=n)
+            squares += (sums**2).sum(axis=1) / np.sqrt(np.maximum(count, 1))
+            t._step(rows, g)
+            assert t.model.table == pytest.approx(table - maxent.RATE * sums / np.sqrt(squares)[:, None], abs=1e-4)
+            seen += count
+        total += t.model.table * t.seen[:, None]
+        sent += t.changes()
+    assert sum(b.num_rows for b in sent) <= 3 * -(-3000 // maxent.BLOCK)
+    (got,) = maxent.averaged(iter(sent[::-1]))
+    mean = np.zeros((n, maxent.WIDTH))
+    mean.reshape(-1, maxent.BLOCK, maxent.WIDTH)[got["block"].to_numpy()] = np.frombuffer(b"".join(got["change"].to_pylist()), "<f2").reshape(-1, maxent.BLOCK, maxent.WIDTH)
+    assert mean == pytest.approx(total / np.maximum(seen, 1)[:, None], abs=2e-3) and np.abs(mean).sum() > 0
+
+
 def test_op6_whole_head_has_paths(spark):
     words = [f"w{i}" for i in range(9000)]
     df = docs(spark, [(i, " ".join(words[i::30]) + " a b" * 10, "s") for i in range(30)])

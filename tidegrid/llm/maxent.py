@@ -38,6 +38,8 @@ HEAD = 1 << 18
 #: A training task gets about so many tokens; changes are sent once a task.
 TASK_TOKENS = 3_000_000
 RATE, CHUNK, ROUNDS = 0.35, 8192, 1
+#: Neighbouring rows of the table whose changes travel as one record: most rows change in each task.
+BLOCK = 64
 #: Changes are summed as whole multiples of this.
 STEP = 2.0**-20
 #: The end of a document, as a token: no word holds a space.
@@ -149,6 +151,11 @@ def slices_of(tokens: int, task_tokens: int = TASK_TOKENS) -> tuple[int, int]:
     return slices, -(-tasks // slices)
 
 
+def _whole(table: np.ndarray) -> np.ndarray:
+    """A table's rows as one item each, which are written faster than their numbers are."""
+    return table.view(np.dtype((np.void, table.itemsize * table.shape[1])))[:, 0]
+
+
 class _Buffers:
     """Room for the numbers of a chunk, used again and again: to ask the system for it each time costs more than the sums."""
 
@@ -227,27 +234,56 @@ class Trainer:
                 e = room.logits(m, node, rows)
                 np.exp(e, out=e)
                 e /= (e @ room.ones)[:, None]
-                e[room.place[: len(e)], m.digits[own, k]] -= 1
+                e.reshape(-1)[room.place[: len(e)] * WIDTH + m.digits[own, k]] -= 1
                 for r in rows:
                     self._step(r, e)
 
     def _step(self, rows: np.ndarray, gradient: np.ndarray) -> None:
         n, room, table = len(rows), self.room, self.model.table
-        order = np.argsort(rows.astype(np.int32), kind="stable")
-        r = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        key = np.sort(rows * CHUNK + room.place[:n])  # whole numbers sort several times as fast as places by them
+        r = key // CHUNK
+        order = key - r * CHUNK
+        new = np.concatenate([[True], r[1:] != r[:-1]])
+        first = np.flatnonzero(new)
         r, count = r[first], np.diff(first, append=n)
         g, own = room.sums[: len(r)], room.more[: len(r)]
-        np.add.reduceat(np.take(gradient, order, axis=0, out=room.more[:n], mode="clip"), first, axis=0, out=g)
-        self.squares[r] += np.einsum("ij,ij->i", g, g) / np.sqrt(count)
-        g *= (self.rate / np.sqrt(self.squares[r]))[:, None].astype(np.float32)
-        table[r] = np.subtract(np.take(table, r, axis=0, out=own, mode="clip"), g, out=own)
+        np.take(gradient, order[first], axis=0, out=g, mode="clip")
+        many = np.flatnonzero(count > 1)  # most rows stand once in a chunk: nothing is summed up there
+        if len(many):
+            rest = np.take(gradient, order[~new], axis=0, out=room.more[: n - len(r)], mode="clip")
+            more = count[many] - 1
+            g[many] += np.add.reduceat(rest, np.cumsum(more) - more, axis=0)
+        squares = self.squares[r] + np.einsum("ij,ij->i", g, g) / np.sqrt(count, dtype=np.float32)
+        self.squares[r] = squares
+        g *= (self.rate / np.sqrt(squares))[:, None].astype(np.float32)
+        _whole(table)[r] = _whole(np.subtract(np.take(table, r, axis=0, out=own, mode="clip"), g, out=own))
         self.seen[r] += count
 
-    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, times seen, change) of the rows that changed."""
-        at = np.flatnonzero(self.seen)
-        return at, self.seen[at], self.model.table[at] - self.start[at]
+    def changes(self) -> Iterator[pa.RecordBatch]:
+        """(block, times its rows were seen, their changes) of the blocks with rows that changed."""
+        seen, new, old = (x.reshape(len(self.seen) // BLOCK, -1) for x in (self.seen, self.model.table, self.start))
+        full = np.flatnonzero(seen.any(axis=1))
+        for at in range(0, len(full), 256):
+            some = full[at : at + 256]
+            parts = seen[some].astype("<i8"), (new[some] - old[some]).astype("<f2")
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in parts)], names=["block", "seen", "change"])
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, change): the changes of all tasks, averaged by how often each saw a row."""
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, n, change in zip(*(c.to_pylist() for c in batch.columns)):
+            n = np.frombuffer(n, "<i8")
+            # Whole numbers: sums don't depend on the order of arrival.
+            more = np.rint(np.frombuffer(change, "<f2").reshape(BLOCK, WIDTH).astype(np.float64) / STEP).astype(np.int64) * n[:, None]
+            if block in found:
+                for old, x in zip(found[block], (n, more)):
+                    old += x
+            else:
+                found[block] = n.copy(), more
+    mean = [(sums * STEP / np.maximum(n[:, None], 1)).astype("<f2").tobytes() for n, sums in found.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(mean, pa.binary())], names=["block", "change"])
 
 
 def _flat(model: Model, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -309,38 +345,16 @@ def train(texts: DataFrame, model: Model, *, rounds: int = ROUNDS, task_tokens:
             trainer = Trainer(Model(**{**bare.__dict__, "table": sent.value}))
             for batch in grouped(batches, 0):
                 trainer.learn(*_flat(trainer.model, batch.column(0))[1:])
-            rows, seen, change = trainer.changes()
-            raw = change.astype("<f2").tobytes()
-            for at in range(0, len(rows), 10_000):
-                some = rows[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[at : at + 10_000]), pa.array([raw[2 * WIDTH * i : 2 * WIDTH * (i + 1)] for i in range(at, at + len(some))], pa.binary())], names=["row", "seen", "change"])
+            yield from trainer.changes()
 
         # Fewer, larger tasks than files: the changes that travel then keep to the number of tokens.
-        changes = part.coalesce(tasks).mapInArrow(run, "row long, seen long, change binary")
-        n_rows = len(model.table)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place, at = np.full(n_rows, -1, np.int32), np.empty(0, np.int64)  # where a row of this task is
-            sums, seen = np.zeros((0, WIDTH), np.int64), np.zeros(0, np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    row, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    change = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f2").reshape(-1, WIDTH).astype(np.float64)
-                    new = np.unique(row[place[row] < 0])
-                    place[new] = len(at) + np.arange(len(new))
-                    at = np.r_[at, new]
-                    if len(at) > len(seen):
-                        sums, seen = (np.concatenate([x, np.zeros((len(at), *x.shape[1:]), x.dtype)]) for x in (sums, seen))
-                    # Whole numbers: sums don't depend on the order of arrival.
-                    np.add.at(sums, place[row], np.rint(change / STEP).astype(np.int64) * n[:, None])
-                    np.add.at(seen, place[row], n)
-            mean = (sums[: len(at)] * STEP / np.maximum(seen[: len(at), None], 1)).astype("<f2")
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in mean], pa.binary())], names=["row", "change"])
-
-        merged = changes.repartition(F.col("row")).mapInArrow(merge, "row long, change binary").toArrow()  # as many rows as the table at most
-        for batch in merged.to_batches(10_000):
+        changes = part.coalesce(tasks).mapInArrow(run, "block long, seen binary, change binary")
+
+        merged = changes.repartition(F.col("block")).mapInArrow(averaged, "block long, change binary").toArrow()  # as many rows as the table at most
+        blocks = model.table.reshape(-1, BLOCK, WIDTH)
+        for batch in merged.to_batches(256):
             if batch.num_rows:
-                model.table[batch.column(0).to_numpy()] += np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, WIDTH)
+                blocks[batch.column(0).to_numpy()] += np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, BLOCK, WIDTH)
         del merged
         sent.destroy()
     return model
