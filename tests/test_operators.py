@@ -232,3 +232,29 @@ def test_points_are_searched_by_square(spark, monkeypatch):
     for r in got.searched(True, at_once=800).collect():
         own = [k for (s, _), k in steps.items() if s == r["node"] and k]
         assert (r["far"], r["reached"], r["through"]) == pytest.approx((sum(own), len(own), through[r["node"]]))
+
+
+def test_sums_by_strips(spark):
+    import numpy as np
+
+    from tidegrid.operators import near
+
+    rng = np.random.default_rng(7)
+    for n, side, radius in ((1, 1, 0.5), (300, 4, 0.5), (800, 1, 1.0), (500, 0.1, 0.03)):
+        for step in (None, radius / 5):  # a grid has many pairs at the radius
+            x, y = rng.uniform(-side, side, (2, n)) + 3
+            if step:
+                x, y = np.round(x / step) * step, np.round(y / step) * step
+            own, v = rng.random(n) < 0.5, rng.random(n) ** 8
+            for values in (np.ones(n), v):
+                want = np.zeros(n)
+                for at, around, close in near.blocks(x, y, own, radius):
+                    want[at] = close @ values[around]
+                for pairs in (1000, 500_000):
+                    got = near.strip_sums(x, y, own, radius, values, pairs)
+                    assert (got == want).all() if values is not v else got == pytest.approx(want, rel=1e-12, abs=1e-15)
+    x, y = rng.uniform(0, 1, (2, 2600))  # one square of so many points that its task takes strips
+    assert len(x) ** 2 > near.MANY
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    d = (((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) <= 0.81).sum(axis=1) - 1
+    assert {r["node"]: r["d"] for r in near.Near(points, 0.9, "id").degrees().collect()} == dict(enumerate(d.tolist()))
