@@ -234,6 +234,46 @@ def test_points_are_searched_by_square(spark, monkeypatch):
         assert (r["far"], r["reached"], r["through"]) == pytest.approx((sum(own), len(own), through[r["node"]]))
 
 
+def test_searches_keep_no_table_of_distances(spark, monkeypatch):
+    """Crowded parts, several batches, pairs at the radius: sums equal those of all distances, and no level of searches is a table."""
+    import numpy as np
+
+    from tidegrid.operators import near
+
+    rng, tables, write = np.random.default_rng(9), [], near.written
+    xy = np.concatenate([rng.normal(0, 0.06, (60, 2)), rng.uniform(-1, 1, (90, 2)), rng.uniform(3, 4, (20, 2)), np.zeros((2, 2))])
+    xy = np.round(xy / 0.05) * 0.05
+    xy = np.concatenate([xy, [[1e300, 0.0]]])
+    n = len(xy)
+    with np.errstate(over="ignore"):
+        linked = ((xy[:, None] - xy) ** 2).sum(axis=2) <= 0.25 * 0.25
+    assert (near._near(xy[:-1, 0], xy[:-1, 1], xy[:-1, 0], xy[:-1, 1], 0.25) == linked[:-1, :-1]).all()
+    np.fill_diagonal(linked, False)
+    steps, paths, level = np.where(np.eye(n), 0, -1), np.eye(n), 0
+    while (steps == level).any():
+        got = np.where(steps == level, paths, 0) @ linked
+        new = (got > 0) & (steps < 0)
+        level += 1
+        steps[new], paths[new] = level, got[new]
+    through = np.zeros(n)
+    for s in range(n):
+        share = np.zeros(n)
+        for k in range(steps[s].max(), 1, -1):
+            back = linked @ np.where(steps[s] == k, (1 + share) / np.where(paths[s], paths[s], 1), 0)
+            share = np.where(steps[s] == k - 1, back * paths[s], share)
+        through += share
+    monkeypatch.setattr(near, "written", lambda df, name: tables.append(name) or write(df, name))
+    monkeypatch.setattr(near, "TILE", 20)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
+    got = near.Near(points, 0.25, "id")
+    for between in (True, False):
+        for r in got.searched(between, at_once=n * 40).collect():
+            far = steps[r["node"]]
+            assert (r["far"], r["reached"]) == (far[far > 0].sum(), (far > 0).sum())
+            assert r["through"] == pytest.approx(through[r["node"]] if between else 0)
+    assert sorted(set(tables)) == ["near", "searched", "sources"]
+
+
 def test_sums_by_strips(spark):
     import numpy as np
 
